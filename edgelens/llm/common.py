@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy kernel works on at once; a longer text makes a slice of its own.
 SLICE_BYTES = 1 << 21
@@ -34,11 +35,14 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_columns_after(df: DataFrame, *names: str) -> None:
-    """Raise if the columns that an operator adds are already there twice in a way that it can't resolve."""
-    seen = [c.lower() for c in df.columns]
-    if twice := sorted({c for c in names if seen.count(c.lower()) > 1}):
-        raise ValueError(f"ambiguous columns: {twice}")
+#: Keys that semi_join may broadcast; with their overhead about 50 MB.
+FEW_KEYS = 500_000
+
+
+def semi_join(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows of ``df`` whose ``on`` is among ``keys`` (a written table): up to FEW_KEYS distinct ones are broadcast, more are shuffled."""
+    keys = written(keys.select(on).distinct(), "keys")
+    return df.join(F.broadcast(keys) if keys.count() <= FEW_KEYS else keys, on, "left_semi")
 
 
 def byte_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

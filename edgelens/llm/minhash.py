@@ -5,7 +5,7 @@ Inverted lists of retained values give the pairs to look at, the sketch of the u
 the full sets decide. A pair of similarity t or more shares at least c of the values that the sketch of its union
 retains, but for a chance of ``MISS``; so it shares one of the k - c + 1 rarest values of either sketch, and only those
 are listed. Within a list every document meets the list's pivots, not all others: documents that are already in one
-component need no further comparison, and lists that still hold several components go on with four times the pivots.
+component need no further comparison, and lists that still hold several components go on with PIVOTS times the pivots.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from edgelens.llm.common import byte_slices, written
+from edgelens.llm.common import byte_slices, semi_join, written
 from edgelens.llm.components import connected_components
 from edgelens.llm.shingles import shingle_sets
 
@@ -29,6 +29,9 @@ MISS = 1e-7
 #: Values in more than one of so many classes are ordered by their counts; there are at most SKETCH times this many.
 HOT_SHARE = 20_000
 
+#: A list that one round leaves in several components has so many times the pivots in the next.
+PIVOTS = 32
+
 SIGNATURE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
 
@@ -78,7 +81,7 @@ def signatures(docs: DataFrame, words: int, size: int) -> DataFrame:
 
 
 def _postings(classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """(value, cid) of the rarest values of each class."""
+    """(value, cid, n) of the rarest values of each class; n is the size of its set."""
     n = classes.count()
     floor = max(50, n // HOT_SHARE)
     rows = classes.select(F.explode("sketch").alias("value")).groupBy("value").count().filter(F.col("count") >= floor).collect()  # at most n * size / floor <= size * HOT_SHARE
@@ -94,20 +97,23 @@ def _postings(classes: DataFrame, size: int, percent: int) -> DataFrame:
             if len(known):
                 at = np.minimum(np.searchsorted(known[:, 0], values), len(known) - 1)
                 counts = np.where(known[at, 0] == values, known[at, 1], 0)
-            out_v, out_c = [], []
+            out_v, out_c, out_n = [], [], []
             for i, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
                 take = np.lexsort((values[lo:hi], counts[lo:hi]))[: listed(int(sizes[i]), size, percent)]
                 out_v.append(values[lo:hi][take])
                 out_c.append(np.full(len(take), cids[i]))
-            yield pa.record_batch([pa.array(np.concatenate(out_v) if out_v else np.zeros(0, np.int64)), pa.array(np.concatenate(out_c) if out_c else np.zeros(0, np.int64))], names=["value", "cid"])
+                out_n.append(np.full(len(take), sizes[i]))
+            if out_v:
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (out_v, out_c, out_n)], names=["value", "cid", "n"])
 
-    return classes.select("cid", "n_shingles", "sketch").mapInArrow(rarest, "value long, cid long")
+    return classes.select("cid", "n_shingles", "sketch").mapInArrow(rarest, "value long, cid long, n long")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose union's sketch holds enough shared values, and whose sizes can reach the threshold."""
-    side = {x: classes.select(F.col("cid").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("text_key").alias(f"k{x}")) for x in "ab"}
-    both = pairs.join(side["a"], "a").join(side["b"], "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    """The pairs (a, b) whose union's sketch holds enough shared values."""
+    classes = semi_join(classes, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")), "cid")
+    side = {x: classes.select(F.col("cid").alias(x), F.col("sketch").alias(f"s{x}"), F.col("text_key").alias(f"k{x}")) for x in "ab"}
+    both = pairs.join(side["a"], "a").join(side["b"], "b")
     least = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, size)
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), least))
     return both.filter(shared * size >= fewest_shared(size, percent) * F.size(least)).select("a", "b", "ka", "kb")
@@ -132,14 +138,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
                 keep = pa.array(hits, pa.bool_())
                 yield pa.record_batch([part.column("a").filter(keep), part.column("b").filter(keep)], names=["a", "b"])
 
-    needed = pairs.select(F.col("ka").alias("text_key")).union(pairs.select("kb")).distinct()
-    texts = docs.select(F.unhex(F.md5("text")).alias("text_key"), "text").join(needed, "text_key", "left_semi").dropDuplicates(["text_key"])
+    needed = pairs.select(F.col("ka").alias("text_key")).union(pairs.select("kb"))
+    texts = semi_join(docs.select(F.unhex(F.md5("text")).alias("text_key"), "text"), needed, "text_key").groupBy("text_key").agg(F.first("text").alias("text"))
     left = texts.select(F.col("text_key").alias("ka"), F.col("text").alias("ta"))
     right = texts.select(F.col("text_key").alias("kb"), F.col("text").alias("tb"))
     return pairs.join(left, "ka").join(right, "kb").select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, size: int = 128) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, size: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets. component_id is the smallest
@@ -152,29 +158,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, size: in
     classes = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.first("text_key").alias("text_key"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
+    def near(x: str, y: str) -> Column:
+        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+    def new_links(pairs: DataFrame) -> DataFrame:
+        return _confirmed(written(_estimated(pairs, classes, size, percent), "pairs"), docs, words, percent)
+
     postings = _postings(classes, size, percent)
-    lists = postings.groupBy("value").agg(F.count("*").alias("n"), F.min("cid").alias("pivot")).filter("n > 1")
-    members = written(postings.join(lists.select("value", "pivot"), "value"), "lists")
-    pairs = members.filter("cid != pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = written(_confirmed(written(_estimated(pairs, classes, size, percent), "pairs"), docs, words, percent), "links")
-    found = connected_components(links, "a", "b")
-    seen, pivots, rest = pairs, 1, members.filter("cid != pivot").select("value", "cid")
+    lists = postings.groupBy("value").agg(F.count("*").alias("members"), F.min(F.struct("cid", "n")).alias("pivot")).filter("members > 1")
+    members = written(postings.join(lists.select("value", "pivot.cid", "pivot.n").toDF("value", "pivot", "m"), "value").filter("cid != pivot"), "lists")
+    seen = written(members.filter(near("n", "m")).select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct(), "candidates")
+    links = written(new_links(seen), "links")
+    found = written(connected_components(links, "a", "b"), "components")
+    rest, pivots = members.select("value", "cid", "n"), 1
     while True:
-        labelled = rest.join(found.withColumnRenamed("id", "cid"), "cid", "left").select("value", "cid", F.coalesce("component", "cid").alias("component"))
+        labelled = rest.join(found.withColumnRenamed("id", "cid"), "cid", "left").select("value", "cid", "n", F.coalesce("component", "cid").alias("component"))
         mixed = labelled.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("value")
         rest = written(labelled.join(mixed, "value", "left_semi"), "rest")
         if rest.isEmpty():
             break
-        pivots *= 4
+        pivots *= PIVOTS
         picked = rest.withColumn("i", F.row_number().over(Window.partitionBy("value").orderBy("cid"))).filter(F.col("i") <= pivots)
-        picked = picked.select("value", F.col("cid").alias("pivot"), F.col("component").alias("own"))
-        pairs = rest.join(picked, "value").filter("component != own").select(F.greatest("cid", "pivot").alias("a"), F.least("cid", "pivot").alias("b")).distinct()
-        pairs = written(pairs.join(seen, ["a", "b"], "left_anti"), "more")
-        more = _confirmed(written(_estimated(pairs, classes, size, percent), "pairs"), docs, words, percent)
-        links = written(links.union(more), "links")
+        picked = picked.select("value", F.col("cid").alias("pivot"), F.col("n").alias("m"), F.col("component").alias("own"))
+        pairs = rest.join(picked, "value").filter((F.col("component") != F.col("own")) & near("n", "m"))
+        pairs = pairs.select(F.greatest("cid", "pivot").alias("a"), F.least("cid", "pivot").alias("b")).distinct()
+        pairs = written(pairs.join(seen, ["a", "b"], "left_anti"), "candidates")
+        links = written(links.union(new_links(pairs)), "links")
         found = written(connected_components(links, "a", "b"), "components")
-        seen = written(seen.union(pairs), "seen")
-        rest = rest.select("value", "cid").join(picked.select("value", F.col("pivot").alias("cid")), ["value", "cid"], "left_anti")
+        seen = seen.union(pairs)
+        rest = rest.select("value", "cid", "n").join(picked.select("value", F.col("pivot").alias("cid")), ["value", "cid"], "left_anti")
 
     named = classes.select("set_key", "least", "cid").join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
