@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +21,6 @@ SLACK = 1 / 32
 SHORT = 64
 #: So many tasks pool the pieces of their open bins.
 TASKS = 64
-#: Encoded words that a task keeps.
-MEMO = 400_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, {ids}sequence_id long, offset long"
 
@@ -68,39 +65,55 @@ def placed(pieces: list[tuple], sequence: int) -> list[tuple]:
     return out
 
 
+def byte_ranks(tokenizer_path: str) -> dict[bytes, int] | None:
+    """The ids of a byte-level tokenizer file by their bytes, if ids follow the order of merges; else None."""
+    import json
+    from pathlib import Path
+
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    model = json.loads(Path(tokenizer_path).read_text())["model"]
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # a byte that prints is itself; the others follow from U+0100 on
+    of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    if set(of) != set(ByteLevel.alphabet()):
+        return None
+    merged = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+    ids = [model["vocab"][m.replace(" ", "", 1)] for m in merged]
+    if ids != sorted(ids) or min(ids) < max(model["vocab"][c] for c in of):
+        return None
+    return {bytes(of[c] for c in t): i for t, i in model["vocab"].items() if all(c in of for c in t)}
+
+
+#: How a tokenizer of this kind cuts texts before it merges.
+PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 def encoder(tokenizer_path: str):
-    """A function from texts to little-endian unsigned 32-bit ids; words that came before are looked up.
+    """A function from texts to little-endian unsigned 32-bit ids.
 
-    A byte-level tokenizer of this kind cuts before a space that a visible character follows, so the parts between such
-    spaces are encoded apart with equal results.
+    Where the file's ids follow the order of its merges, its vocabulary is run by ``tiktoken``, which gives the same ids
+    as ``tokenizers`` in a sixth of the time; any other file is run by ``tokenizers``.
     """
-    import re
+    import sys
+    from array import array
 
-    import numpy as np
+    import tiktoken
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True
-    odd, parts, memo = re.compile(r" (?:\s|\Z)"), re.compile(r"(?= \S)"), {}
-
-    def encode(texts: list[str]) -> list[bytes]:
-        words = []
-        for t in texts:
-            if not t:
-                words.append([])
-            elif odd.search(t):
-                words.append([w for w in parts.split(t) if w])
-            else:
-                first, *more = t.split(" ")
-                words.append([*([first] if first else []), *[" " + w for w in more]])
-        new = list({w for ws in words for w in ws} - memo.keys())
-        for lo in range(0, len(new), 4096):
-            for w, e in zip(new[lo : lo + 4096], tokenizer.encode_batch_fast(new[lo : lo + 4096], add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(memo.__getitem__, ws)) for ws in words]
-        if len(memo) > MEMO:
-            memo.clear()
-        return out
+    if ranks := byte_ranks(tokenizer_path):
+        ids_of = tiktoken.Encoding("text", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    else:
+        tokenizer = Tokenizer.from_file(tokenizer_path)
+        tokenizer.encode_special_tokens = True
+
+        def ids_of(text: str) -> list[int]:
+            return tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encode(text: str | None) -> bytes:
+        ids = array("I", ids_of(text) if text else [])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     return encode
 
@@ -130,26 +143,21 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
         encode, bins, task = encoder(tokenizer_path), Bins(capacity), TaskContext.get().partitionId()
         sequence, end = task << 32, int(end_id).to_bytes(4, "little")
         for batch in batches:
-            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-            lo = 0
-            while lo < batch.num_rows:
-                hi, held = lo + 1, int(lengths[lo])
-                while hi < batch.num_rows and held + lengths[hi] <= 1 << 22:
-                    held += int(lengths[hi])
-                    hi += 1
-                rows = []
-                for doc, ids in zip(batch.column("doc_id")[lo:hi].to_pylist(), encode(batch.column("text")[lo:hi].to_pylist()), strict=True):
-                    ids += end
-                    n, at = len(ids) // 4, 0
-                    for length in cuts(n, capacity):
-                        part = ids[4 * at : 4 * (at + length)]
-                        piece = (doc, at, length, zlib.crc32(part), n, *([list(memoryview(part).cast("i"))] if with_ids else []))
-                        at += length
-                        if full := bins.add(piece):
-                            rows += placed(full, sequence)
-                            sequence += 1
-                yield _record_batch(rows, with_ids)
-                lo = hi
+            rows = []
+            for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                ids = encode(text.as_py()) + end
+                n, at = len(ids) // 4, 0
+                for length in cuts(n, capacity):
+                    part = ids[4 * at : 4 * (at + length)]
+                    piece = (doc.as_py(), at, length, zlib.crc32(part), n, *([list(memoryview(part).cast("i"))] if with_ids else []))
+                    at += length
+                    if full := bins.add(piece):
+                        rows += placed(full, sequence)
+                        sequence += 1
+                if len(rows) >= 4096:
+                    yield _record_batch(rows, with_ids)
+                    rows = []
+            yield _record_batch(rows, with_ids)
         yield _record_batch([(*p, None, task // TASKS) for p in bins.rest()], with_ids)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
