@@ -2,19 +2,51 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from edgelens.llm import minhash
+from edgelens.llm import minhash, packing, ppm, secrets, suffix
 from edgelens.llm.common import written
 
+#: Bits a byte beyond which no language's model fits a text better than chance.
+CHANCE = 8.0
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose code under every language is longer than the text itself, go; lang becomes the language found."""
+    found = ppm.identify(docs).filter((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= CHANCE))
+    return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays (five words, similarity 0.8)."""
-    keep = minhash.near_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(keep.dropDuplicates(["doc_id"]), "doc_id", "left_semi")
+    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id")
+    return docs.join(kept.dropDuplicates(["doc_id"]), "doc_id", "left_semi")
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What strings of 400 bytes cover that start twice goes, whole characters only; documents of which no word is left go."""
+    return suffix.clean(docs).filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets become a mark."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens; the last stage."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
-STAGES = [("minhash near-dedup", near_dedup)]
+STAGES = [
+    ("language id", language_id),
+    ("minhash near-dedup", near_dedup),
+    ("suffix-array dedup", suffix_dedup),
+    ("secret scans", mask_secrets),
+    ("packing", pack),
+]
 
 #: Language models, sketches and suffix sorting have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None

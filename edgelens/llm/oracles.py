@@ -43,4 +43,17 @@ select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_a
 from documents d left join joined j using (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_secrets": _OP3, "op8_url_filter": _OP8}
+_OP9 = """
+with v as (
+  select vec_id, [cast(floor(1024 * cast(c as double)) as bigint) for c in embedding] as x from embeddings
+  where embedding is not null and vec_id is not null and len(embedding) > 0
+    and len([c for c in embedding if c is null or not isfinite(c)]) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(q.x) = len(c.x)
+)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+from scored qualify rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_secrets": _OP3, "op8_url_filter": _OP8, "op9_topk": _OP9}

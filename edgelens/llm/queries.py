@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgelens.llm import cover, minhash, packing, ppm, secrets, suffix, url_filter
+from edgelens.llm import cover, minhash, packing, ppm, secrets, spans, suffix, topk, url_filter
 from edgelens.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -34,6 +34,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.dedup(documents(spark, sf_dir))
+    return found.select("doc_id", "n_sentences", "n_removed", F.length("kept").cast("long").alias("n_chars_kept"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
@@ -42,6 +47,10 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.93)
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=10, every=100, scale=1024)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_digest(documents(spark, sf_dir), length=400)
 
@@ -58,8 +67,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_minhash": op2_minhash,
     "op3_secrets": op3_secrets,
+    "op5_sentence_spans": op5_sentence_spans,
     "op6_packing": op6_packing,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_url_filter": op8_url_filter,
+    "op9_topk": op9_topk,
     "op10_suffix_dedup": op10_suffix_dedup,
 }

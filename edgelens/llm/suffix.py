@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -281,3 +281,28 @@ def dedup_digest(docs: DataFrame, length: int = 400) -> DataFrame:
     rows = docs.select("doc_id", F.unhex(F.md5("text")).alias("key")).join(found, "key", "left")
     zero = F.lit(0).cast("long")
     return rows.select("doc_id", *[F.coalesce(c, zero).alias(c) for c in ("n_bytes", "n_removed", "n_spans")], F.coalesce("kept_sha256", F.sha2(F.lit(""), 256)).alias("kept_sha256"))
+
+
+def clean(docs: DataFrame, length: int = 400) -> DataFrame:
+    """The rows of ``docs`` with text cut by ``dedup``; of a character that a run covers in part, all bytes stay."""
+
+    def inside(p: Column, back: bool) -> Column:
+        """p moved to the nearest start of a character, at most three bytes."""
+        step = -1 if back else 1
+        byte = [F.substring("data", p + 1 + step * i, 1) for i in range(4)]
+        later = [F.when((b >= F.unhex(F.lit("80"))) & (b < F.unhex(F.lit("C0"))), i + 1).otherwise(0) for i, b in enumerate(byte)]
+        moves = F.when(later[0] == 0, 0).when(later[1] == 0, 1).when(later[2] == 0, 2).otherwise(3)
+        return (p + step * moves).cast("int")
+
+    found = repeated_spans(docs, length).filter("n_removed > 0").select("key", "spans")
+    rows = docs.withColumn("key", F.unhex(F.md5("text"))).withColumn("data", F.col("text").cast("binary")).join(found, "key", "left")
+    start = F.struct(F.lit(0).alias("at"), F.unhex(F.lit("")).alias("out"))
+    size = F.octet_length("text")
+
+    def step(state: Column, s: Column) -> Column:
+        lo, hi = inside(s["lo"].cast("int"), False), F.greatest(inside(s["hi"].cast("int"), True), state["at"])
+        return F.struct(F.greatest(hi, lo).alias("at"), F.concat(state["out"], F.substring("data", state["at"] + 1, F.greatest(lo - state["at"], F.lit(0)))).alias("out"))
+
+    done = F.aggregate("spans", start, step)
+    text = F.concat(done["out"], F.substring("data", done["at"] + 1, size)).cast("string")
+    return rows.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(text)).select(docs.columns)
