@@ -1,9 +1,289 @@
-"""The registered queries over the access log."""
+"""The registered queries over the access log that the tables give."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from edgelens.functions import normalize, query_string
+from edgelens.functions.parse import parse_lines, path_of, query_of
+from edgelens.operators import alerts, enforce, report, rollup, series, signatures
+from edgelens.sources import testlog
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def ts(text: str) -> Column:
+    return F.lit(text).cast("timestamp")
+
+
+INGEST = ts("2024-01-01 02:00:00")
+PATTERNS = ["/api/users/:user/orders/:order", "/api/products/:sku"]
+FIVES = alerts.AlertRule("many-5xx", classes=(5,), window_s=120, threshold=10)
+FLOOD = alerts.AlertRule("flood", metric="ip_request_count", window_s=3600, threshold=5)
+
+
+def records(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
+    """Parsed from the rendered lines; ``which`` picks lines by event_id."""
+    return rollup.templated(parse_lines(testlog.lines(testlog.access(spark, sf_dir)).filter(which), INGEST))
+
+
+def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.hits(records(spark, sf_dir))
+
+
+def failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.failures(records(spark, sf_dir))
+
+
+def named(df: DataFrame) -> DataFrame:
+    """Times as seconds, so that results compare without zones."""
+    times = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp"]
+    return df.withColumns({c: F.unix_seconds(c) for c in times})
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    return named(rows.select("event_id", "ts", "tz_offset_s", "site", "ip", "method", "path", "query", "status", "bytes"))
+
+
+@query
+def parse_combined(spark, sf_dir):
+    return parsed(records(spark, sf_dir, "event_id % 2 = 0"))
+
+
+@query
+def parse_json(spark, sf_dir):
+    return parsed(records(spark, sf_dir, "event_id % 2 = 1"))
+
+
+@query
+def parse_mixed(spark, sf_dir):
+    return parsed(records(spark, sf_dir))
+
+
+@query
+def normalize_paths(spark, sf_dir):
+    return records(spark, sf_dir).select("event_id", "path", "template")
+
+
+@query
+def normalize_patterns(spark, sf_dir):
+    rows = testlog.access(spark, sf_dir)
+    return rows.select("event_id", normalize.template(F.col("path"), PATTERNS).alias("template"))
+
+
+@query
+def ignore_since(spark, sf_dir):
+    rows = records(spark, sf_dir).filter(~normalize.ignored(F.col("path"), ["/signup/", "/api/users"]) & (F.col("ts") >= ts("2024-01-01 00:30:00")))
+    return named(rows.select("event_id", "ts", "path"))
+
+
+@query
+def overview(spark, sf_dir):
+    return rollup.overview(cube(spark, sf_dir))
+
+
+@query
+def site_totals(spark, sf_dir):
+    return rollup.site_totals(cube(spark, sf_dir))
+
+
+@query
+def minute_series(spark, sf_dir):
+    return named(rollup.minute_series(cube(spark, sf_dir), ts("2024-01-01 00:10:00")))
+
+
+@query
+def minute_codes(spark, sf_dir):
+    return named(rollup.minute_codes(cube(spark, sf_dir)))
+
+
+@query
+def site_minute_dense(spark, sf_dir):
+    c = cube(spark, sf_dir)
+    return named(series.dense_minutes(c, ts("2024-01-01 01:04:00"), 70))
+
+
+@query
+def series_4m(spark, sf_dir):
+    return named(series.series(cube(spark, sf_dir), 240, 15))
+
+
+@query
+def series_1h(spark, sf_dir):
+    return named(series.series(cube(spark, sf_dir), 3600, 12))
+
+
+@query
+def series_week(spark, sf_dir):
+    return named(series.series(cube(spark, sf_dir), 604_800, 0, 18_000))
+
+
+@query
+def top_ips(spark, sf_dir):
+    return named(rollup.top_ips(cube(spark, sf_dir), 50))
+
+
+@query
+def ip_detail(spark, sf_dir):
+    return rollup.ip_detail(cube(spark, sf_dir), "10.0.0.7")
+
+
+@query
+def ip_templates_capped(spark, sf_dir):
+    return named(rollup.ip_templates(cube(spark, sf_dir), 3))
+
+
+@query
+def top_endpoints(spark, sf_dir):
+    return named(rollup.top_endpoints(cube(spark, sf_dir), 50))
+
+
+@query
+def failing_events_capped(spark, sf_dir):
+    return named(rollup.capped_failures(failed(spark, sf_dir), 100).select("ts", "site", "ip", "method", "path", "query", "status"))
+
+
+@query
+def report_endpoints(spark, sf_dir):
+    return report.endpoints(failed(spark, sf_dir))
+
+
+@query
+def report_keys(spark, sf_dir):
+    return report.keys(failed(spark, sf_dir))
+
+
+@query
+def report_rows(spark, sf_dir):
+    which = report.ReportFilter(classes=(5,), start="2024-01-01 00:10:00", end="2024-01-01 00:59:00")
+    return report.rows(failed(spark, sf_dir), ["k", "u"], which, 200)
+
+
+@query
+def report_raw_fallback(spark, sf_dir):
+    """Every page url's query with a control character put into one value."""
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat(F.lit("x=a%01b&y="), query_of(F.split("url", "#")[0])).alias("q"))
+    return rows.select("page_id", query_string.shown(F.col("q"), "x").alias("x"), query_string.shown(F.col("q"), "y").alias("y"), query_string.shown(F.col("q"), "ref").alias("ref"))
+
+
+@query
+def window_status_count(spark, sf_dir):
+    return alerts.window_status_count(cube(spark, sf_dir), [5, 4, 4], 300)
+
+
+@query
+def window_ip_counts(spark, sf_dir):
+    return alerts.window_ip_counts(cube(spark, sf_dir), 600)
+
+
+@query
+def alert_status_count(spark, sf_dir):
+    return alerts.status_alert(cube(spark, sf_dir), FIVES)
+
+
+@query
+def alert_ip_flood(spark, sf_dir):
+    return alerts.flood_alert(cube(spark, sf_dir), FLOOD)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return named(df.withColumns({c: F.round(c, 6) for c in ("mean", "stddev", "rate", "upper")}))
+
+
+@query
+def anomaly_latest(spark, sf_dir):
+    return _rounded(alerts.anomaly_backtest(cube(spark, sf_dir), minutes=1))
+
+
+@query
+def anomaly_backtest(spark, sf_dir):
+    return _rounded(alerts.anomaly_backtest(cube(spark, sf_dir)))
+
+
+@query
+def alert_cooldown(spark, sf_dir):
+    fired = alerts.anomaly_backtest(cube(spark, sf_dir), alerts.AnomalyConfig(sensitivity=0.5)).filter("fires")
+    return _rounded(alerts.cooled(fired, ["scope", "label"], "minute", 300))
+
+
+@query
+def evict_retention(spark, sf_dir):
+    return rollup.site_totals(rollup.evict(cube(spark, sf_dir), ts("2024-01-01 01:00:30"), 1800))
+
+
+@query
+def evict_lru_ips(spark, sf_dir):
+    return named(rollup.newest_ips(cube(spark, sf_dir), 100))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request for each turn of a conversation, with its text as the query string, and some texts turned into attacks by turn."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("text is not null")
+    attack = F.when(F.col("turn") % 5 == 1, "id=1+union+all+select+name").when(F.col("turn") % 5 == 2, "q=%3Cscript%3Ealert(1)").when(F.col("turn") % 5 == 3, "f=..%2F..%2Fetc%2Fpasswd").otherwise("")
+    return rows.select("conv_id", "turn", F.lit("/search").alias("path"), F.concat_ws("&", attack, "text").alias("query"), F.when(F.col("conv_id") % 7 == 0, "sqlmap/1.8").otherwise("Mozilla/5.0").alias("ua"))
+
+
+@query
+def request_normalize(spark, sf_dir):
+    return signatures.canonical(requests(spark, sf_dir)).select("conv_id", "turn", F.md5("r_any").alias("any_md5"), F.md5("r_uri").alias("uri_md5"))
+
+
+@query
+def keyword_match(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = ["password", "token", "the", "he", "rights reserved"]
+    return rows.select("doc_id", F.array_join(signatures.present(F.lower("text"), words), ",").alias("found"), F.coalesce(signatures.any_present(F.lower("text"), words[:2]), F.lit(False)).alias("any_found"))
+
+
+@query
+def signature_verdict(spark, sf_dir):
+    rows = signatures.verdicts(requests(spark, sf_dir))
+    return rows.select("conv_id", "turn", F.array_join("matches", ",").alias("matches"), "score", "block")
+
+
+@query
+def signature_score(spark, sf_dir):
+    return signatures.verdicts(requests(spark, sf_dir)).groupBy("score", "block").agg(F.count("*").alias("n"))
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return testlog.access(spark, sf_dir).withColumn("ts", F.col("t"))
+
+
+@query
+def rate_limit(spark, sf_dir):
+    return enforce.rate_limited(arrivals(spark, sf_dir), 0.01, 3).select("event_id", "ip", "allowed")
+
+
+@query
+def active_bans(spark, sf_dir):
+    bad = arrivals(spark, sf_dir).filter("status >= 500").withColumn("reason", F.col("status").cast("string"))
+    return named(enforce.active(enforce.bans(bad, 900), ts("2024-01-01 01:00:00")))
+
+
+@query
+def inspect_decision(spark, sf_dir):
+    rows = arrivals(spark, sf_dir).withColumn("block", F.col("status") == 500)
+    return enforce.decisions(rows, 0.01, 3, 600, True).select("event_id", "ip", "decision")
+
+
+@query
+def page_url_templates(spark, sf_dir):
+    path = path_of(F.split(F.regexp_replace("url", "^[a-z]+://[^/?#]*", ""), "#")[0])
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(normalize.template(path).alias("template")).groupBy("template").agg(F.count("*").alias("n"))
+
+
+@query
+def page_query_keys(spark, sf_dir):
+    q = query_of(F.split("url", "#")[0])
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.lit(404).alias("status"), q.alias("query"))
+    return report.keys(rows)
