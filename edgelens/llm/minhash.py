@@ -4,8 +4,10 @@ The sketch of a document is the k smallest hashes of its shingles. Documents wit
 Inverted lists of retained values give the pairs to look at, the sketch of the union estimates their similarity, and
 the full sets decide. A pair of similarity t or more shares at least c of the values that the sketch of its union
 retains, but for a chance of ``MISS``; so it shares one of the k - c + 1 rarest values of either sketch, and only those
-are listed. Within a list every document meets the list's pivots, not all others: documents that are already in one
-component need no further comparison, and lists that still hold several components go on with PIVOTS times the pivots.
+are listed. Within a list every document
+first meets the list's pivot alone. A list whose documents are then in one component is done: no further link could
+change the result. What is left is grouped by pivot, and within a group all pairs of different components are compared,
+small groups as rows, large ones in blocks, so that no rows are made for pairs that don't link.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from edgelens.llm.common import byte_slices, semi_join, written
 from edgelens.llm.components import connected_components
@@ -29,8 +30,8 @@ MISS = 1e-7
 #: Values in more than one of so many classes are ordered by their counts; there are at most SKETCH times this many.
 HOT_SHARE = 20_000
 
-#: A list that one round leaves in several components has so many times the pivots in the next.
-PIVOTS = 32
+#: Members of a group that are paired one by one; larger groups are compared in blocks of BLOCK.
+FEW, BLOCK = 64, 256
 
 SIGNATURE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
@@ -145,6 +146,69 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return pairs.join(left, "ka").join(right, "kb").select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long")
 
 
+def _blocks(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of each group (pivot, members, cid, component, text_key), from all its pairs.
+
+    A group is cut into blocks of about BLOCK; a task compares the full sets of two blocks at a time, and gives only
+    links between documents that its earlier links don't connect yet.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def links(part: list[tuple]) -> pa.RecordBatch:
+            texts = pa.array([r[6] for r in part], pa.large_string())
+            sets = [s for *_, data, ends in byte_slices(texts) for s in shingle_sets(data, ends, words)]
+            side, cid, component = (np.array([r[i] for r in part]) for i in (3, 4, 5))
+            flat = np.concatenate(sets)
+            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            _, value, count = np.unique(flat, return_inverse=True, return_counts=True)
+            shared = count[value] > 1
+            value, owner = np.unique(value[shared], return_inverse=True)[1], owner[shared]
+            one, two = (np.flatnonzero(side == x) for x in ((part[0][1], part[0][2]) if part[0][1] != part[0][2] else (part[0][1],) * 2))
+            row = np.zeros(len(sets), np.int64)
+            row[one], inter = np.arange(len(one)), np.zeros((len(one), len(two)), np.float32)
+            other = np.zeros(len(sets), np.int64)
+            other[two] = np.arange(len(two))
+            in_one, in_two = np.isin(owner, one), np.isin(owner, two)
+            for lo in range(0, int(value.max()) + 1 if len(value) else 0, 4096):
+                here = (value >= lo) & (value < lo + 4096)
+                x, y = np.zeros((len(one), 4096), np.float32), np.zeros((len(two), 4096), np.float32)
+                x[row[owner[here & in_one]], value[here & in_one] - lo] = 1
+                y[other[owner[here & in_two]], value[here & in_two] - lo] = 1
+                inter += x @ y.T
+            size = np.array([len(s) for s in sets])
+            inter = inter.astype(np.int64)
+            linked = 100 * inter >= percent * (size[one][:, None] + size[two][None, :] - inter)
+            out = []
+            while True:
+                i, j = np.nonzero(linked & (component[one][:, None] != component[two][None, :]))
+                if not len(i):
+                    break
+                a, b = one[i[0]], two[j[0]]
+                out.append((max(cid[a], cid[b]), min(cid[a], cid[b])))
+                component[component == component[b]] = component[a]
+            cols = list(zip(*out, strict=True)) if out else [()] * 2
+            return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*[batch.column(c).to_pylist() for c in ("pivot", "i", "j", "block", "cid", "component", "text")], strict=True):
+                if held and held[-1][:3] != row[:3]:
+                    yield links(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield links(held)
+
+    keys = members.select("text_key")
+    texts = semi_join(docs.select(F.unhex(F.md5("text")).alias("text_key"), "text"), keys, "text_key").groupBy("text_key").agg(F.first("text").alias("text"))
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    rows = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).join(texts, "text_key")
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("pivot", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "cid", "component", "text")
+    return rows.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, size: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -162,31 +226,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, size: in
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     def new_links(pairs: DataFrame) -> DataFrame:
-        return _confirmed(written(_estimated(pairs, classes, size, percent), "pairs"), docs, words, percent)
+        return _confirmed(written(_estimated(written(pairs, "candidates"), classes, size, percent), "pairs"), docs, words, percent)
 
     postings = _postings(classes, size, percent)
     lists = postings.groupBy("value").agg(F.count("*").alias("members"), F.min(F.struct("cid", "n")).alias("pivot")).filter("members > 1")
     members = written(postings.join(lists.select("value", "pivot.cid", "pivot.n").toDF("value", "pivot", "m"), "value").filter("cid != pivot"), "lists")
-    seen = written(members.filter(near("n", "m")).select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct(), "candidates")
-    links = written(new_links(seen), "links")
+    links = written(new_links(members.filter(near("n", "m")).select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct()), "links")
+    found = written(connected_components(links, "a", "b"), "components")
+
+    labelled = members.select("value", "pivot", "cid", "n").join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    mixed = labelled.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("value")
+    groups = written(labelled.join(mixed, "value", "left_semi").select("pivot", "cid", "n", "component").distinct(), "groups")
+    sizes = groups.groupBy("pivot").agg(F.count("*").alias("members"))
+    few = groups.join(sizes.filter(F.col("members") <= FEW), "pivot")
+    other = few.select("pivot", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("component").alias("own"))
+    pairs = few.join(other, "pivot").filter((F.col("cid") < F.col("other")) & (F.col("component") != F.col("own")) & near("n", "m"))
+    links = links.union(new_links(pairs.select(F.col("other").alias("a"), F.col("cid").alias("b")).distinct()))
+    many = groups.join(sizes.filter(F.col("members") > FEW), "pivot").join(classes.select("cid", "text_key"), "cid")
+    links = written(links.union(_blocks(written(many, "large groups"), docs, words, percent)), "links")
     found = written(connected_components(links, "a", "b"), "components")
-    rest, pivots = members.select("value", "cid", "n"), 1
-    while True:
-        labelled = rest.join(found.withColumnRenamed("id", "cid"), "cid", "left").select("value", "cid", "n", F.coalesce("component", "cid").alias("component"))
-        mixed = labelled.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("value")
-        rest = written(labelled.join(mixed, "value", "left_semi"), "rest")
-        if rest.isEmpty():
-            break
-        pivots *= PIVOTS
-        picked = rest.withColumn("i", F.row_number().over(Window.partitionBy("value").orderBy("cid"))).filter(F.col("i") <= pivots)
-        picked = picked.select("value", F.col("cid").alias("pivot"), F.col("n").alias("m"), F.col("component").alias("own"))
-        pairs = rest.join(picked, "value").filter((F.col("component") != F.col("own")) & near("n", "m"))
-        pairs = pairs.select(F.greatest("cid", "pivot").alias("a"), F.least("cid", "pivot").alias("b")).distinct()
-        pairs = written(pairs.join(seen, ["a", "b"], "left_anti"), "candidates")
-        links = written(links.union(new_links(pairs)), "links")
-        found = written(connected_components(links, "a", "b"), "components")
-        seen = seen.union(pairs)
-        rest = rest.select("value", "cid", "n").join(picked.select("value", F.col("pivot").alias("cid")), ["value", "cid"], "left_anti")
 
     named = classes.select("set_key", "least", "cid").join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
