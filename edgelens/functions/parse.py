@@ -28,11 +28,12 @@ def first_forwarded(header: Column) -> Column:
 
 
 def path_of(target: Column) -> Column:
-    return F.split(target, "\\?", 2)[0]
+    return F.substring_index(target, "?", 1)
 
 
 def query_of(target: Column) -> Column:
-    return F.coalesce(F.get(F.split(target, "\\?", 2), F.lit(1)), F.lit(""))
+    at = F.instr(target, "?")
+    return F.when(at > 0, target.substr(at + 1, F.length(target))).otherwise(F.lit(""))
 
 
 def _offset(zone: Column) -> Column:
@@ -53,10 +54,11 @@ def parse_lines(lines: DataFrame, ingest_ts: Column) -> DataFrame:
     trimmed = F.btrim(value, F.lit(BLANK))
     looks = trimmed.startswith("{") & trimmed.endswith("}")
     options = {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"}
-    rows = lines.withColumn("j", F.when(looks, F.from_json(value, f"{JSON_LINE}, _bad string", options)))
-    rows = rows.withColumn("json_ok", F.coalesce(F.col("j").isNotNull() & F.col("j._bad").isNull() & (F.coalesce("j.uri", F.lit("")) != "") & (F.coalesce("j.status", F.lit(0)) != 0), F.lit(False)))
     fields = F.split(F.regexp_replace(value, f"(?s){COMBINED}.*", "$1\n$2\n$3\n$4\n$5\n$6\n$7\n$8"), "\n")
-    rows = rows.withColumn("c", F.when(~F.col("json_ok") & value.rlike(COMBINED), fields)).filter(F.col("json_ok") | F.col("c").isNotNull())
+    both = F.struct(F.when(looks, F.from_json(value, f"{JSON_LINE}, _bad string", options)).alias("j"), F.when(value.rlike(COMBINED), fields).alias("c"))
+    rows = lines.select("*", F.inline(F.array(both)))  # a generator, so that a line is parsed once and not for each field
+    json_ok = F.coalesce(F.col("j").isNotNull() & F.col("j._bad").isNull() & (F.coalesce("j.uri", F.lit("")) != "") & (F.coalesce("j.status", F.lit(0)) != 0), F.lit(False))
+    rows = rows.withColumn("json_ok", json_ok).filter(F.col("json_ok") | F.col("c").isNotNull())
     ok, j, c = F.col("json_ok"), F.col("j"), F.col("c")
 
     def pick(json: Column, combined: Column) -> Column:

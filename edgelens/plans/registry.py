@@ -11,6 +11,7 @@ from edgelens.functions import normalize, query_string
 from edgelens.functions.parse import parse_lines, path_of, query_of
 from edgelens.operators import alerts, enforce, report, rollup, series, signatures
 from edgelens.sources import testlog
+from edgelens.sources.tables import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,6 +41,11 @@ def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.hits(records(spark, sf_dir))
 
 
+def stored_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cube as ingest keeps it, for views that take more than one pass."""
+    return stored(cube(spark, sf_dir), "hits")
+
+
 def failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.failures(records(spark, sf_dir))
 
@@ -108,23 +114,23 @@ def minute_codes(spark, sf_dir):
 
 @query
 def site_minute_dense(spark, sf_dir):
-    c = cube(spark, sf_dir)
+    c = stored_cube(spark, sf_dir)
     return named(series.dense_minutes(c, ts("2024-01-01 01:04:00"), 70))
 
 
 @query
 def series_4m(spark, sf_dir):
-    return named(series.series(cube(spark, sf_dir), 240, 15))
+    return named(series.series(stored_cube(spark, sf_dir), 240, 15))
 
 
 @query
 def series_1h(spark, sf_dir):
-    return named(series.series(cube(spark, sf_dir), 3600, 12))
+    return named(series.series(stored_cube(spark, sf_dir), 3600, 12))
 
 
 @query
 def series_week(spark, sf_dir):
-    return named(series.series(cube(spark, sf_dir), 604_800, 0, 18_000))
+    return named(series.series(stored_cube(spark, sf_dir), 604_800, 0, 18_000))
 
 
 @query
@@ -149,7 +155,7 @@ def top_endpoints(spark, sf_dir):
 
 @query
 def failing_events_capped(spark, sf_dir):
-    return named(rollup.capped_failures(failed(spark, sf_dir), 100).select("ts", "site", "ip", "method", "path", "query", "status"))
+    return named(rollup.capped_failures(stored(failed(spark, sf_dir), "failures"), 100).select("ts", "site", "ip", "method", "path", "query", "status"))
 
 
 @query
@@ -159,7 +165,7 @@ def report_endpoints(spark, sf_dir):
 
 @query
 def report_keys(spark, sf_dir):
-    return report.keys(failed(spark, sf_dir))
+    return report.keys(stored(failed(spark, sf_dir), "failures"))
 
 
 @query
@@ -177,22 +183,22 @@ def report_raw_fallback(spark, sf_dir):
 
 @query
 def window_status_count(spark, sf_dir):
-    return alerts.window_status_count(cube(spark, sf_dir), [5, 4, 4], 300)
+    return alerts.window_status_count(stored_cube(spark, sf_dir), [5, 4, 4], 300)
 
 
 @query
 def window_ip_counts(spark, sf_dir):
-    return alerts.window_ip_counts(cube(spark, sf_dir), 600)
+    return alerts.window_ip_counts(stored_cube(spark, sf_dir), 600)
 
 
 @query
 def alert_status_count(spark, sf_dir):
-    return alerts.status_alert(cube(spark, sf_dir), FIVES)
+    return alerts.status_alert(stored_cube(spark, sf_dir), FIVES)
 
 
 @query
 def alert_ip_flood(spark, sf_dir):
-    return alerts.flood_alert(cube(spark, sf_dir), FLOOD)
+    return alerts.flood_alert(stored_cube(spark, sf_dir), FLOOD)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -201,17 +207,17 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query
 def anomaly_latest(spark, sf_dir):
-    return _rounded(alerts.anomaly_backtest(cube(spark, sf_dir), minutes=1))
+    return _rounded(alerts.anomaly_backtest(stored_cube(spark, sf_dir), minutes=1))
 
 
 @query
 def anomaly_backtest(spark, sf_dir):
-    return _rounded(alerts.anomaly_backtest(cube(spark, sf_dir)))
+    return _rounded(alerts.anomaly_backtest(stored_cube(spark, sf_dir)))
 
 
 @query
 def alert_cooldown(spark, sf_dir):
-    fired = alerts.anomaly_backtest(cube(spark, sf_dir), alerts.AnomalyConfig(sensitivity=0.5)).filter("fires")
+    fired = alerts.anomaly_backtest(stored_cube(spark, sf_dir), alerts.AnomalyConfig(sensitivity=0.5)).filter("fires")
     return _rounded(alerts.cooled(fired, ["scope", "label"], "minute", 300))
 
 
