@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgelens.llm import cover, minhash, packing, ppm, secrets, spans, suffix, topk, url_filter
+from edgelens.llm import cover, minhash, packing, pieces, ppm, secrets, spans, suffix, topk, url_filter
 from edgelens.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -34,6 +34,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), dropout=0.1, seed=1)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans.dedup(documents(spark, sf_dir))
     return found.select("doc_id", "n_sentences", "n_removed", F.length("kept").cast("long").alias("n_chars_kept"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_minhash": op2_minhash,
     "op3_secrets": op3_secrets,
+    "op4_merge_dropout": op4_merge_dropout,
     "op5_sentence_spans": op5_sentence_spans,
     "op6_packing": op6_packing,
     "op7_embedding_dedup": op7_embedding_dedup,
