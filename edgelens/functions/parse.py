@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgelens.schema import JSON_LINE, RECORD
+from edgelens.schema import JSON_LINE, RECORD_NAMES
 
 # The combined format (not anchored at its end) and the two time formats.
 COMBINED = r'^([^\t\n\f\r ]+) [^\t\n\f\r ]+ [^\t\n\f\r ]+ \[([^\]]+)\] "([^\t\n\f\r ]+) ([^"]*?) [^"]*" ([0-9]{3}) ([^\t\n\f\r ]+) "([^"]*)" "([^"]*)"'
@@ -85,4 +85,4 @@ def parse_lines(lines: DataFrame, ingest_ts: Column) -> DataFrame:
         pick(text("referer"), c[6]).alias("referer"),
         pick(text("user_agent"), c[7]).alias("ua"),
         *more,
-    ).select(*RECORD.names, *more)
+    ).select(*RECORD_NAMES, *more)

@@ -26,7 +26,7 @@ def ts(text: str) -> Column:
     return F.lit(text).cast("timestamp")
 
 
-INGEST = ts("2024-01-01 02:00:00")
+INGEST = "2024-01-01 02:00:00"
 PATTERNS = ["/api/users/:user/orders/:order", "/api/products/:sku"]
 FIVES = alerts.AlertRule("many-5xx", classes=(5,), window_s=120, threshold=10)
 FLOOD = alerts.AlertRule("flood", metric="ip_request_count", window_s=3600, threshold=5)

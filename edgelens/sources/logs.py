@@ -14,7 +14,7 @@ def read_lines(spark: SparkSession, path: str | list[str], site: str) -> DataFra
     return spark.read.text(path).select("value", F.lit(site or str(path)).alias("site"))
 
 
-def probe(lines: DataFrame, parsed: DataFrame, samples: int = 3) -> DataFrame:
-    """One row: lines, parsed, ok, and the first lines as a sample, to try a candidate log before it is added."""
-    n = lines.agg(F.count("*").alias("lines"), F.slice(F.collect_list(F.when(F.monotonically_increasing_id() < samples, F.col("value"))), 1, samples).alias("sample"))
-    return n.crossJoin(parsed.agg(F.count("*").alias("parsed"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))).withColumn("ok", F.col("parsed") > 0)
+def probe(lines: DataFrame, parsed: DataFrame, samples: int = 3) -> dict:
+    """What a candidate log holds, before it is added: lines, parsed, ok, first and last time, and its first lines."""
+    row = parsed.agg(F.count("*").alias("parsed"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).first()
+    return {"lines": lines.count(), "ok": row["parsed"] > 0, "sample": [r["value"] for r in lines.select("value").limit(samples).collect()], **row.asDict()}

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from edgelens.functions.normalize import ignored
@@ -77,5 +76,5 @@ def token_bucket(requests: DataFrame, rate: float, burst: float) -> DataFrame:
         state.setTimeoutDuration(300_000)
         yield rows.assign(allowed=allowed)[["ip", "ts", "event_id", "allowed"]]
 
-    schema = T.StructType.fromDDL("ip string, ts timestamp, event_id long, allowed boolean")
+    schema = "ip string, ts timestamp, event_id long, allowed boolean"
     return requests.select("ip", "ts", "event_id").groupBy("ip").applyInPandasWithState(step, schema, "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
