@@ -8,7 +8,7 @@ that a passage without sentence ends is found too.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgelens.llm.common import written
@@ -21,22 +21,26 @@ SENTENCE = r"(?:[^\s]+[^\S\n]+){0,%d}?(?:[^\s]*[.!?](?=\s|\z)\s*|[^\s]+[^\S\n]*\
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, text and what is left of it: kept, n_sentences and n_removed (sentences), for each row of ``docs``.
+    """doc_id, kept (what is left of the text), n_sentences and n_removed (sentences) of each row of ``docs`` (doc_id, text).
 
     Two spans are equal if their sentences are, but for white space at their ends, and they have LEAST words or more.
     Null texts have null kept and no sentences. Rows may repeat and doc_id may be null (first in order): rows are told
     apart by their place. Other columns are ignored; an empty table gives an empty table. Equal 128-bit hashes count as
     equal spans.
     """
-    rows = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit(f"({SENTENCE})"), F.lit(1)).alias("s")).withColumn("row", F.monotonically_increasing_id())
+    rows = docs.select("doc_id", F.regexp_extract_all("text", F.lit(f"({SENTENCE})"), F.lit(1)).alias("s")).withColumn("row", F.monotonically_increasing_id())
     rows = written(rows, "sentences")
     last = F.greatest(F.size("s") - SIZE + 1, F.lit(0))
     places = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    spans = rows.select("doc_id", "row", "s", F.explode(places).alias("at"))
-    joined = F.array_join(F.transform(F.slice("s", F.col("at"), SIZE), lambda x: F.btrim(x)), "\n")
-    spans = spans.select("doc_id", "row", "at", joined.alias("span")).filter(F.size(F.split("span", "\\s+")) >= LEAST)
-    place = F.struct("doc_id", "row", "at")
-    spans = written(spans.select(F.unhex(F.md5("span")).alias("hash"), place.alias("place")), "spans")
+
+    def span(at: Column) -> Column:
+        """The hash of the span that starts at a sentence; null if it is short."""
+        text = F.array_join(F.transform(F.slice("s", at, SIZE), lambda x: F.btrim(x)), "\n")
+        return F.when(F.size(F.split(text, "\\s+")) >= LEAST, F.unhex(F.md5(text)))
+
+    # Hashes are made before rows are, so that no row of a span carries its document's text.
+    spans = rows.select("doc_id", "row", F.posexplode(F.transform(places, span)).alias("at", "hash")).filter("hash is not null")
+    spans = written(spans.select("hash", F.struct("doc_id", "row", (F.col("at") + 1).alias("at")).alias("place")), "spans")
     first = spans.groupBy("hash").agg(F.count("*").alias("n"), F.min("place").alias("first")).filter("n > 1").select("hash", "first")
     gone = spans.join(first, "hash").filter(F.col("place") != F.col("first")).select("place.row", "place.at")
     marked = gone.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + SIZE - 1)))).alias("gone"))
@@ -44,4 +48,4 @@ def dedup(docs: DataFrame) -> DataFrame:
     gone = F.coalesce("gone", F.array().cast("array<int>"))
     left = F.filter("s", lambda x, i: ~F.array_contains(gone, i + 1))
     count = F.when(F.col("s").isNull(), 0).otherwise(F.size("s"))
-    return out.select("doc_id", "text", F.array_join(left, "").alias("kept"), count.cast("long").alias("n_sentences"), F.size(gone).cast("long").alias("n_removed"))
+    return out.select("doc_id", F.array_join(left, "").alias("kept"), count.cast("long").alias("n_sentences"), F.size(gone).cast("long").alias("n_removed"))
