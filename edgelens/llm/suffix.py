@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from edgelens.llm.common import byte_slices, byte_table, mix, shared_dir, written
+from edgelens.llm.common import byte_slices, byte_table, mix, shared_dir, tidy, written
 
 #: Bytes of an anchor gram; a power of two.
 GRAM = 32
@@ -124,7 +124,8 @@ def _texts(docs: DataFrame) -> DataFrame:
     rows = rows.groupBy("key").agg(F.first("data").alias("data"), F.count("*").alias("copies"))
     name = f"edgelens_texts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.write.bucketBy(buckets, "key").sortBy("key").option("path", f"{shared_dir(spark)}/texts").format("parquet").saveAsTable(name)
+    with tidy(spark):
+        rows.write.bucketBy(buckets, "key").sortBy("key").option("path", f"{shared_dir(spark)}/texts").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
