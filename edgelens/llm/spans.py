@@ -42,9 +42,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     spans = rows.select("doc_id", "row", F.posexplode(F.transform(places, span)).alias("at", "hash")).filter("hash is not null")
     spans = written(spans.select("hash", F.struct("doc_id", "row", (F.col("at") + 1).alias("at")).alias("place")), "spans")
     first = spans.groupBy("hash").agg(F.count("*").alias("n"), F.min("place").alias("first")).filter("n > 1").select("hash", "first")
+    first = written(first, "first")
     gone = spans.join(first, "hash").filter(F.col("place") != F.col("first")).select("place.row", "place.at")
     marked = gone.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + SIZE - 1)))).alias("gone"))
-    out = rows.join(marked, "row", "left")
+    out = rows.join(written(marked, "marked"), "row", "left")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
     left = F.filter("s", lambda x, i: ~F.array_contains(gone, i + 1))
     count = F.when(F.col("s").isNull(), 0).otherwise(F.size("s"))
