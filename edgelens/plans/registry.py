@@ -34,7 +34,7 @@ FLOOD = alerts.AlertRule("flood", metric="ip_request_count", window_s=3600, thre
 
 def records(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
     """Parsed from the rendered lines; ``which`` picks lines by event_id."""
-    return rollup.templated(parse_lines(testlog.lines(testlog.access(spark, sf_dir)).filter(which), INGEST))
+    return rollup.templated(parse_lines(testlog.lines(testlog.access(spark, sf_dir)).filter(which), ts(INGEST)))
 
 
 def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
