@@ -170,6 +170,60 @@ def test_sentence_spans(spark):
     assert spans.dedup(docs(spark, ["a"]).filter("false")).isEmpty()
 
 
+def brute_spans(texts):
+    """Sentences as strings (cuts by trying each window of a long one), and the numbers of those that go."""
+    out, seen, gone = [], {}, [set() for _ in texts]
+    for t in texts:
+        parts = re.findall(r"\A\s+|\S+\s*", t or "", re.A)
+        whole, s = [], []
+        for p in parts:
+            s.append(p)
+            if not p.strip() or "\n" in p or p.strip()[-1] in ".!?":
+                whole, s = [*whole, s], []
+        done = []
+        for s in [*whole, s] if s else whole:
+            cut = set()
+            if len(s) > spans.WORDS:
+                data = "".join(s).encode()
+                behind, n_words, _ = spans.sentences(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+                at = np.cumsum(n_words) - 1
+                assert max(n_words) <= spans.WORDS and behind[-1] == len(data) and at[-1] == len(s) - 1
+                cut = set(at.tolist())
+            line = ""
+            for i, w in enumerate(s):
+                line += w
+                if i in cut or i == len(s) - 1:
+                    done.append(line)
+                    line = ""
+        out.append(done)
+    for d, s in enumerate(out):
+        for i in range(len(s)):
+            k = next((k for k in range(spans.SIZE, len(s) - i + 1) if sum(len(x.split()) for x in s[i : i + k]) >= spans.LEAST), None)
+            if k and seen.setdefault(tuple(x.strip() for x in s[i : i + k]), (d, i)) != (d, i):
+                gone[d] |= set(range(i, i + k))
+    return out, gone
+
+
+def test_sentence_spans_at_any_place(spark):
+    rng = random.Random(8)
+    texts = [None, "", " \n ", "  led by  white\tspace\n\nand ended\x0b by it. \n"]
+    verse = "".join(f"w{rng.randrange(99)} w{rng.randrange(99)}\n" for _ in range(20))
+    texts += [verse, words(rng, 7) + "\n" + verse, "WORD!! " * 40, "So: " + "WORD!! " * 40]
+    pairs = []
+    for at in range(25):  # 51 words without and with sentence ends
+        for ends in (0, 0.1, 0.5):
+            passage = " ".join(w + ("." if rng.random() < ends else "") for w in words(rng, 51, 10**6).split())
+            pairs.append(len(texts))
+            texts += [words(rng, 30, 10**6) + " " + passage + " " + words(rng, 9, 10**6), words(rng, at + 1, 10**6) + " " + passage + " " + words(rng, 23, 10**6)]
+    got = {r.doc_id: r for r in spans.dedup(docs(spark, texts)).collect()}
+    sentences, gone = brute_spans(texts)
+    for i, r in got.items():
+        kept = None if texts[i] is None else "".join(s for k, s in enumerate(sentences[i]) if k not in gone[i])
+        assert (r.kept, r.n_sentences, r.n_removed) == (kept, len(sentences[i]), len(gone[i]))
+    assert got[5].n_removed == 20 and got[7].kept in ("So: WORD!! ", "So: ")
+    assert all(got[i].n_removed == 0 and got[i + 1].n_removed for i in pairs)
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
