@@ -1,10 +1,10 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 A text is cut into words (spaces go with the word behind them) and each word into characters. The agenda holds the
-neighbours whose union is a piece, best score first and leftmost first; a keyed hash of seed, word, variant and place
-drops each candidate with a given probability, and a dropped candidate is skipped when its turn comes. So a word has
-``VARIANTS`` reproducible segmentations, of which the keyed hash of the document picks one. Words of up to
-``WIDE`` characters are worked on together, one merge of every word at a time; longer ones have an agenda of their own.
+neighbours whose union is a piece, best score first and leftmost first; a keyed hash of seed, document, the word's number
+in it and place in the word drops each candidate with a given probability, and a dropped candidate is skipped when its
+turn comes. So each occurrence of a word draws its own segmentation, the same one each time. Words of up to ``WIDE``
+characters are worked on together, one merge of every word at a time; longer ones have an agenda of their own.
 """
 
 from __future__ import annotations
@@ -19,9 +19,7 @@ from pyspark.sql import functions as F
 
 from edgelens.llm.common import mix
 
-VARIANTS, WIDE = 4, 24
-#: Encoded words that a task keeps.
-MEMO = 800_000
+WIDE = 24
 #: Symbols from here on are characters without a piece, and stand for their bytes.
 OTHER = 1 << 24
 _FAR = np.int32(1 << 30)
@@ -85,14 +83,20 @@ class Pieces:
         return b"".join(map(self.data.__getitem__, ids)).decode()[1:]
 
 
+def occurrences(seed: int, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The mark of each word of texts given by their keys and numbers of words: a hash of seed, key and the word's number in its text."""
+    number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mix(np.repeat(mix(keys + np.uint64(seed)), counts) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def keyed(seed: int, word: np.ndarray, start: np.ndarray, end: np.ndarray, split: np.ndarray) -> np.ndarray:
-    """A number in [0, 1) for the candidate that joins characters start..split and split..end of a word's variant."""
+    """A number in [0, 1) for the candidate that joins characters start..split and split..end of a word."""
     place = (start.astype(np.uint64) << np.uint64(42)) | (split.astype(np.uint64) << np.uint64(21)) | end.astype(np.uint64)
     return (mix(mix(word + np.uint64(seed)) ^ place) >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
 def together(p: Pieces, symbols: np.ndarray, sizes: np.ndarray, marks: np.ndarray, dropout: float, seed: int) -> np.ndarray:
-    """Segments many words at once, given end to end: a row for each, with -1 behind its ids. marks are hashes of word and variant."""
+    """Segments many words at once, given end to end: a row for each, with -1 behind its ids. marks are those of ``occurrences``."""
     n, wide = len(sizes), int(sizes.max())
     s = np.full((n, wide + 1), -1, np.int32)
     s[np.arange(wide + 1)[None, :] < sizes[:, None]] = symbols
@@ -167,46 +171,41 @@ def encoder(model_path: str, dropout: float, seed: int):
     """A function from texts and their keys to lists of ids as little-endian unsigned 32-bit bytes."""
     import re
 
-    import xxhash
-
     p, cut = Pieces(model_path), re.compile(r" *[^ ]+| +")
-    memo: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
 
-    def learn(variants: list[int], words: list[str]) -> None:
-        lengths = np.array(list(map(len, words)))
+    def segment(words: list[str], marks: np.ndarray) -> list[bytes]:
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(lengths, kind="stable")
-        lengths = lengths[order]
-        words, variants = [words[i] for i in order.tolist()], [variants[i] for i in order.tolist()]
-        marks = np.fromiter(map(xxhash.xxh64_intdigest, words, variants), np.uint64, len(words))
+        lengths, marks = lengths[order], marks[order]
         short = int(np.searchsorted(lengths, WIDE, "right"))
+        out, places = [b""] * len(words), order.tolist()
         for lo in range(0, short, 1 << 12):
             hi = min(short, lo + (1 << 12))
-            found = together(p, p.symbols("".join(words[lo:hi])), lengths[lo:hi], marks[lo:hi], dropout, seed)
+            found = together(p, p.symbols("".join([words[i] for i in places[lo:hi]])), lengths[lo:hi], marks[lo:hi], dropout, seed)
             some = found >= 0
             flat, ends = found[some].astype("<u4").tobytes(), np.cumsum(some.sum(1) * 4).tolist()
             begin, odd = 0, (found >= OTHER).any(1).tolist()
-            for i, (v, w, end) in enumerate(zip(variants[lo:hi], words[lo:hi], ends, strict=True)):
-                memo[v][w] = spelled([x for x in found[i].tolist() if x >= 0]) if odd[i] else flat[begin:end]
+            for i, (at, end) in enumerate(zip(places[lo:hi], ends, strict=True)):
+                out[at] = spelled([x for x in found[i].tolist() if x >= 0]) if odd[i] else flat[begin:end]
                 begin = end
-        for v, w, m in zip(variants[short:], words[short:], marks[short:].tolist(), strict=True):
-            memo[v][w] = spelled(alone(p, p.symbols(w).tolist(), m, dropout, seed))
+        for at, m in zip(places[short:], marks[short:].tolist(), strict=True):
+            out[at] = spelled(alone(p, p.symbols(words[at]).tolist(), m, dropout, seed))
+        return out
 
     def spelled(ids: list[int]) -> bytes:
         return np.array(p.spelled(ids), "<u4").tobytes()
 
     def encode(texts: list[str | None], keys: np.ndarray) -> list[bytes]:
-        if sum(map(len, memo)) > MEMO:
-            for m in memo:
-                m.clear()
         words = [cut.findall(" " + t) if t else [] for t in texts]
-        picks = (mix(mix(keys + np.uint64(seed))) % np.uint64(VARIANTS)).tolist()
-        new: list[set[str]] = [set() for _ in range(VARIANTS)]
-        for ws, v in zip(words, picks, strict=True):
-            new[v].update(ws)
-        new = [ws - m.keys() for ws, m in zip(new, memo, strict=True)]
-        if any(new):
-            learn([v for v, ws in enumerate(new) for _ in ws], [w for ws in new for w in ws])
-        return [b"".join(map(memo[v].__getitem__, ws)) for ws, v in zip(words, picks, strict=True)]
+        counts = np.array(list(map(len, words)), np.int64)
+        flat = [w for ws in words for w in ws]
+        if dropout:
+            found = segment(flat, occurrences(seed, keys, counts))
+        else:  # all occurrences of a word are alike
+            kinds = list(dict.fromkeys(flat))
+            found = list(map(dict(zip(kinds, segment(kinds, np.zeros(len(kinds), np.uint64)), strict=True)).__getitem__, flat))
+        ends = np.cumsum(counts).tolist()
+        return [b"".join(found[end - n : end]) for end, n in zip(ends, counts.tolist(), strict=True)]
 
     return encode, p
 
@@ -214,7 +213,8 @@ def encoder(model_path: str, dropout: float, seed: int):
 def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """doc_id, ids (array<int>) and decoded of each row of ``docs`` (doc_id, text; other columns are ignored).
 
-    ``decoded`` is made from ids alone and equals the text. The document's part in the hash is its doc_id. Null and empty
+    ``decoded`` is made from ids alone and equals the text. The document's part in the hash is its doc_id, so
+    rows of one doc_id and text have the same ids. Null and empty
     texts have no ids, and null or empty decoded. A text's own U+2581, and what has no piece, goes as bytes. Rows may
     repeat and doc_id may be null; an empty table gives an empty table. Without dropout the ids are the model's own.
     """

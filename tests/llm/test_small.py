@@ -159,6 +159,18 @@ def test_merge_dropout(spark):
     assert len(some[6].ids) > len(plain[6].ids)
 
 
+def test_merge_dropout_is_drawn_for_each_occurrence(spark):
+    path, text = public_tokenizers.path("piece_bpe_32k.model"), "international " * 300 + " " + "y" * 30
+    rows = pieces.encode(docs(spark, [text, text]), path, dropout=0.3, seed=5).withColumn("key", F.xxhash64("doc_id")).collect()
+    model = pieces.Pieces(path)
+    for r in rows:
+        at = pieces.occurrences(5, np.array([r.key]).view(np.uint64), np.array([301]))
+        each = [pieces.alone(model, model.symbols(w).tolist(), int(m), 0.3, 5) for w, m in zip([" international"] * 300 + ["  " + "y" * 30], at, strict=True)]
+        assert [i for ids in each for i in model.spelled(ids)] == r.ids
+        assert len({tuple(ids) for ids in each}) > 20
+    assert rows[0].ids != rows[1].ids and all(r.decoded == text for r in rows)
+
+
 def test_sentence_spans(spark):
     rng = random.Random(3)
     passage = ". ".join(words(rng, 9) for _ in range(6)) + ". "
