@@ -20,9 +20,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (five words, similarity 0.8)."""
-    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(kept.dropDuplicates(["doc_id"]), "doc_id", "left_semi")
+    """One row of each group of near duplicates stays (five words, similarity 0.8): the one with the least doc_id, null last."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")  # a written key, as doc_id can be null or repeat
+    found = minhash.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+    first = rows.select("__row", "doc_id").join(found, "__row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select("first.__row"), "__row", "left_semi").select(docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

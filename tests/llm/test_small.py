@@ -171,6 +171,32 @@ def test_merge_dropout_is_drawn_for_each_occurrence(spark):
     assert rows[0].ids != rows[1].ids and all(r.decoded == text for r in rows)
 
 
+def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    alone, twice, one, two, many, none = (words(rng, 150, 10**6) for _ in range(6))
+    rows = [(None, alone), (1, twice), (1, twice), (2, one), (2, two), (3, one), (None, many), (5, many + " more"), (5, many), (None, none), (None, none), (None, "123 456"), (None, None)]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(None, alone), (1, twice), (2, one), (2, two), (5, {many + " more", many}), (None, none), (None, "123 456"), (None, None)]
+
+    def held(found):
+        left = list(found)
+        for d, t in kept:
+            hit = next(x for x in left if x[0] == d and x[1] in (t if isinstance(t, set) else {t}))
+            left.remove(hit)
+        assert not left
+
+    held((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, df, "").collect())
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    sizes = {t: len(model.encode(t).ids) + 1 for t in (alone, twice, one, two, none)}
+    found = sorted((str(r.doc_id), r.doc_tokens) for r in got if r.start == 0 and r.doc_id != 5)
+    assert found == sorted((str(d), sizes[t]) for d, t in kept if not isinstance(t, set) and t in sizes) and sum(r.doc_id == 5 and r.start == 0 for r in got) == 1
+
+
 def test_sentence_spans(spark):
     rng = random.Random(3)
     passage = ". ".join(words(rng, 9) for _ in range(6)) + ". "
