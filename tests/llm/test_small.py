@@ -284,6 +284,22 @@ def test_packing(spark):
     assert max(bins.values()) <= 256 and sum(bins.values()) > 0.9 * 256 * len(bins)
 
 
+def test_packing_of_long_white_space_and_other_files(tmp_path):
+    import json
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "a" + " " * 1_200_000 + "b\n c"
+    model = Tokenizer.from_file(path)
+    assert np.frombuffer(packing.encoder(path)(text), "<u4").tolist() == model.encode(text, add_special_tokens=False).ids
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}):
+        other = tmp_path / "other.json"
+        other.write_text(json.dumps(json.loads(Path(path).read_text()) | change))
+        assert np.frombuffer(packing.encoder(str(other))("Some TEXT"), "<u4").tolist() == Tokenizer.from_file(str(other)).encode("Some TEXT", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("capacity", [256, 2048])
 def test_cuts_add_up(capacity):
     for n in (1, 5, 63, 64, 65, 255, 256, 257, 2047, 2048, 10_001):
