@@ -1,12 +1,17 @@
 """Bans, token buckets and the decision on each request, as folds over each ip's requests in time order.
 
-A fold gathers one ip's times in one row; the streaming forms in ``edgelens.streaming`` keep the same state instead.
+A fold reads one ip's sorted requests one by one with state of constant size, as the streaming forms in
+``edgelens.streaming`` do. All requests of an ip go through one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 
 def bans(requests: DataFrame, seconds: int) -> DataFrame:
@@ -28,19 +33,39 @@ def unblocked(requests: DataFrame, held: DataFrame) -> DataFrame:
     return requests.join(held.select("ip", "expires"), "ip", "left").filter(F.col("expires").isNull() | (F.col("ts") >= F.col("expires"))).drop("expires")
 
 
+def folded(requests: DataFrame, start: tuple, step: Callable[[tuple, float | None, bool | None], tuple[tuple, str]], order: list[str]) -> DataFrame:
+    """ip, the first of ``order`` and decision of each request whose ip isn't null: what ``step`` gives of the ip's state, time in seconds and block."""
+    block = "block" if "block" in order else F.lit(None).cast("boolean").alias("block")
+    rows = requests.filter(F.col("ip").isNotNull()).select("ip", order[0], (F.unix_micros("ts") / 1e6).alias("t"), block)
+    rows = rows.repartition("ip").sortWithinPartitions("ip", "t", *order)
+    fields = rows.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, start
+        for batch in batches:
+            out = []
+            for ip, t, x in zip(*[batch.column(c).to_pylist() for c in ("ip", "t", "block")], strict=True):
+                if ip != last:
+                    last, state = ip, start
+                state, what = step(state, t, x)
+                out.append(what)
+            yield pa.record_batch([batch.column("ip"), batch.column(order[0]), pa.array(out, pa.string())], names=["ip", order[0], "decision"])
+
+    return rows.mapInArrow(run, StructType([fields["ip"], fields[order[0]]]).add("decision", StringType()))
+
+
 def rate_limited(requests: DataFrame, rate: float, burst: float, order: str = "event_id") -> DataFrame:
     """Adds allowed to requests (ip, ts, order): a token bucket for each ip; a rate of 0 or less allows all."""
     if rate <= 0:
         return requests.withColumn("allowed", F.lit(True))
     burst = max(1.0, float(burst))
-    each = requests.groupBy("ip").agg(F.array_sort(F.collect_list(F.struct((F.unix_micros("ts") / 1e6).alias("t"), F.col(order).alias("id")))).alias("q"))
-    start = F.struct(F.lit(burst).alias("tokens"), F.lit(None).cast("double").alias("last"), F.array().cast(f"array<{requests.schema[order].dataType.simpleString()}>").alias("ok"))
 
-    def step(s: Column, x: Column) -> Column:
-        have = F.least(F.lit(burst), s["tokens"] + F.coalesce(x["t"] - s["last"], F.lit(0.0)) * rate)
-        return F.struct((have - F.when(have >= 1, 1.0).otherwise(0.0)).alias("tokens"), x["t"].alias("last"), F.when(have >= 1, F.concat(s["ok"], F.array(x["id"]))).otherwise(s["ok"]).alias("ok"))
+    def step(state: tuple, t: float | None, block: bool | None) -> tuple[tuple, str]:
+        tokens, last = state
+        have = min(burst, tokens + (0.0 if t is None or last is None else t - last) * rate)
+        return (have - (1.0 if have >= 1 else 0.0), t), "allowed" if have >= 1 else "limited"
 
-    allowed = each.select("ip", F.explode(F.aggregate("q", start, step)["ok"]).alias(order)).withColumn("allowed", F.lit(True))
+    allowed = folded(requests, (burst, None), step, [order]).filter("decision = 'allowed'").select("ip", order, F.lit(True).alias("allowed"))
     return requests.join(allowed, ["ip", order], "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
 
 
@@ -51,20 +76,19 @@ def decisions(scored: DataFrame, rate: float, burst: float, ban_s: int, enforce:
     denied and bans its ip if ``enforce``, else flagged. A ban holds ``ban_s`` seconds.
     """
     burst = max(1.0, float(burst))
-    each = scored.groupBy("ip").agg(F.array_sort(F.collect_list(F.struct((F.unix_micros("ts") / 1e6).alias("t"), F.col(order).alias("id"), "block"))).alias("q"))
-    kind = scored.schema[order].dataType.simpleString()
-    start = F.struct(F.lit(burst).alias("tokens"), F.lit(None).cast("double").alias("last"), F.lit(float("-inf")).alias("until"), F.array().cast(f"array<struct<id:{kind},decision:string>>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        banned = x["t"] < s["until"]
-        have = F.least(F.lit(burst), s["tokens"] + F.coalesce(x["t"] - s["last"], F.lit(0.0)) * rate) if rate > 0 else F.lit(burst)
+    def step(state: tuple, t: float | None, block: bool | None) -> tuple[tuple, str]:
+        tokens, last, until = state
+        if t is not None and t < until:
+            return state, "banned"
+        have = min(burst, tokens + (0.0 if t is None or last is None else t - last) * rate) if rate > 0 else burst
         limited = have < 1
-        what = F.when(banned, "banned").when(limited, "limited").when(x["block"], "blocked" if enforce else "flagged").otherwise("allowed")
-        ban = ~banned & (limited | (x["block"] & F.lit(enforce)))
-        tokens = F.when(banned, s["tokens"]).otherwise(have - F.when(limited, 0.0).otherwise(1.0))
-        return F.struct(tokens.alias("tokens"), F.when(banned, s["last"]).otherwise(x["t"]).alias("last"), F.when(ban, F.greatest(s["until"], x["t"] + float(ban_s))).otherwise(s["until"]).alias("until"), F.concat(s["out"], F.array(F.struct(x["id"].alias("id"), what.alias("decision")))).alias("out"))
+        what = "limited" if limited else ("blocked" if enforce else "flagged") if block else "allowed"
+        if t is not None and what in ("limited", "blocked"):
+            until = max(until, t + float(ban_s))
+        return (have - (0.0 if limited else 1.0), t, until), what
 
-    found = each.select("ip", F.explode(F.aggregate("q", start, step)["out"]).alias("o")).select("ip", F.col("o.id").alias(order), "o.decision")
+    found = folded(scored, (burst, None, float("-inf")), step, [order, "block"])
     return scored.join(found, ["ip", order])
 
 

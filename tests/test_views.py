@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -119,6 +120,21 @@ def test_token_bucket_and_decisions(spark):
     assert [r.decision for r in enforce.decisions(rows, 0, 2, 60, False).orderBy("event_id").collect()] == ["allowed"] * 3 + ["flagged", "allowed"]
 
 
+def test_folds_hold_no_array_of_an_ip(spark):
+    rng = random.Random(2)
+    at = sorted(rng.choice([rng.randrange(4000), rng.randrange(4000) / 8]) for _ in range(3000))
+    rows = spark.createDataFrame([("hot", START + dt.timedelta(seconds=s), i, i % 97 == 0) for i, s in enumerate(at)], "ip string, ts timestamp, event_id long, block boolean")
+    tokens, last, want = 3.0, None, []
+    for s in at:
+        tokens, last = min(3.0, tokens + (s - (s if last is None else last)) * 0.5), s
+        want.append(tokens >= 1)
+        tokens -= tokens >= 1
+    limited, decided = enforce.rate_limited(rows, 0.5, 3), enforce.decisions(rows, 0.5, 3, 60, True)
+    assert [r.allowed for r in limited.orderBy("event_id").collect()] == want and decided.count() == len(at)
+    for df in (limited, decided):
+        assert "collect_list" not in df._jdf.queryExecution().toString()
+
+
 def test_bans(spark):
     rows = spark.createDataFrame([("a", START, "one"), ("a", START - dt.timedelta(minutes=5), "two"), ("", START, "x"), (None, START, "x")], "ip string, ts timestamp, reason string")
     (ban,) = enforce.bans(rows, 900).collect()
