@@ -5,7 +5,9 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +19,67 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 21
 
 
+#: The folders (and ``table:`` names) that are taken inside ``gathered``.
+_TAKEN: ContextVar[list[str] | None] = ContextVar("taken", default=None)
+#: The folder of each written table.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def taken(place: str) -> str:
+    """Notes a folder or ``table:`` name for the ``gathered`` block that stands around, if one does."""
+    if (held := _TAKEN.get()) is not None:
+        held.append(place)
+    return place
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the one the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = spark.sparkContext.getCheckpointDir()
+    """A new folder in the one the cluster names in spark.checkpoint.dir; a local one only where that is unset, on a local master."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="edgelens-")
         spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/edgelens-{uuid.uuid4().hex}"
+    return taken(f"{top.rstrip('/')}/edgelens-{uuid.uuid4().hex}")
+
+
+@contextlib.contextmanager
+def gathered() -> Iterator[list[str]]:
+    """A list of the shared folders and tables that are taken inside, for ``free`` once nothing reads them any more."""
+    held: list[str] = []
+    token = _TAKEN.set(held)
+    try:
+        yield held
+    finally:
+        _TAKEN.reset(token)
+
+
+def free(spark: SparkSession, places: list[str]) -> None:
+    """Deletes folders and tables of ``gathered`` (those that are gone already are passed over) and empties the list."""
+    while places:
+        place = places.pop()
+        if place.startswith("table:"):
+            spark.sql(f"drop table if exists {place.removeprefix('table:')}")
+            continue
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What operators inside leave in the shared folder goes at the end; their results must have been written or collected by then."""
+    with gathered() as held:
+        try:
+            yield
+        finally:
+            free(spark, held)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        if folder := _FOLDERS.pop(t, None):
+            free(t.sparkSession, [folder])
 
 
 @contextlib.contextmanager
@@ -43,10 +97,12 @@ def tidy(spark: SparkSession) -> Iterator[None]:
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read back: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
+    folder = shared_dir(spark)
     with tidy(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        df.write.parquet(f"{folder}/{name}")
+    out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    _FOLDERS[out] = folder
+    return out
 
 
 #: Keys that semi_join may broadcast; with their overhead about 50 MB.

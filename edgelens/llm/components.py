@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgelens.llm.common import written
+from edgelens.llm.common import drop, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def connected_components(links: DataFrame, left: str, right: str) -> DataFrame:
 
     before = state(edges)
     while before[0]:
-        edges = written(_small_star(_large_star(edges)), "stars")
+        earlier, edges = edges, written(_small_star(_large_star(edges)), "stars")
+        drop(earlier)
         now = state(edges)
         if now == before:
             break

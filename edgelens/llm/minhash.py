@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from edgelens.llm.common import byte_slices, semi_join, written
+from edgelens.llm.common import byte_slices, drop, semi_join, written
 from edgelens.llm.components import connected_components
 from edgelens.llm.shingles import shingle_sets
 
@@ -226,7 +226,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, size: in
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     def new_links(pairs: DataFrame) -> DataFrame:
-        return _confirmed(written(_estimated(written(pairs, "candidates"), classes, size, percent), "pairs"), docs, words, percent)
+        candidates = written(pairs, "candidates")
+        likely = written(_estimated(candidates, classes, size, percent), "pairs")
+        drop(candidates)
+        return _confirmed(likely, docs, words, percent)
 
     postings = _postings(classes, size, percent)
     lists = postings.groupBy("value").agg(F.count("*").alias("members"), F.min(F.struct("cid", "n")).alias("pivot")).filter("members > 1")
@@ -237,6 +240,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, size: in
     labelled = members.select("value", "pivot", "cid", "n").join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     mixed = labelled.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("value")
     groups = written(labelled.join(mixed, "value", "left_semi").select("pivot", "cid", "n", "component").distinct(), "groups")
+    drop(members)
     sizes = groups.groupBy("pivot").agg(F.count("*").alias("members"))
     few = groups.join(sizes.filter(F.col("members") <= FEW), "pivot")
     other = few.select("pivot", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("component").alias("own"))

@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-_RULES = "(values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/'))"
+_RULES = "(values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/'))"
 
 _OP8 = f"""
 with rest as (

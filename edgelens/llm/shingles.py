@@ -36,10 +36,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
     word = mix(np.add.reduceat(byte_table(1)[lower[data[kept]]] * power[place], first) + lengths.astype(np.uint64))
     of_text = np.searchsorted(starts, offsets)
     n = len(word)
-    run = np.zeros(max(0, n - words + 1), np.uint64)
+    runs = max(0, n - words + 1)
+    run = np.zeros(runs, np.uint64)
     weights = byte_table(2)
     for k in range(words):
-        run += word[k : n - words + 1 + k] * weights[k]
+        run += word[k : k + runs] * weights[k]
     run = mix(run).view(np.int64)
     out = []
     for lo, hi in zip(of_text[:-1].tolist(), of_text[1:].tolist(), strict=True):

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from edgelens.llm.common import byte_slices, byte_table, mix, shared_dir, tidy, written
+from edgelens.llm.common import byte_slices, byte_table, drop, mix, shared_dir, taken, tidy, written
 
 #: Bytes of an anchor gram; a power of two.
 GRAM = 32
@@ -123,6 +123,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.unhex(F.md5("text")).alias("key"), F.col("text").cast("binary").alias("data")).filter("data is not null")
     rows = rows.groupBy("key").agg(F.first("data").alias("data"), F.count("*").alias("copies"))
     name = f"edgelens_texts_{uuid.uuid4().hex}"
+    taken(f"table:{name}")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with tidy(spark):
         rows.write.bucketBy(buckets, "key").sortBy("key").option("path", f"{shared_dir(spark)}/texts").format("parquet").saveAsTable(name)
@@ -285,7 +286,10 @@ def dedup_digest(docs: DataFrame, length: int = 400) -> DataFrame:
 
 
 def clean(docs: DataFrame, length: int = 400) -> DataFrame:
-    """The rows of ``docs`` with text cut by ``dedup``; of a character that a run covers in part, all bytes stay."""
+    """The rows of ``docs`` with text cut by ``dedup``; of a character that a run covers in part, all bytes stay.
+
+    All columns but text stay as they are, whatever their names. Null texts stay null.
+    """
 
     def inside(p: Column, back: bool) -> Column:
         """p moved to the nearest start of a character, at most three bytes."""
@@ -296,14 +300,17 @@ def clean(docs: DataFrame, length: int = 400) -> DataFrame:
         return (p + step * moves).cast("int")
 
     found = repeated_spans(docs, length).filter("n_removed > 0").select("key", "spans")
-    rows = docs.withColumn("key", F.unhex(F.md5("text"))).withColumn("data", F.col("text").cast("binary")).join(found, "key", "left")
-    start = F.struct(F.lit(0).alias("at"), F.unhex(F.lit("")).alias("out"))
-    size = F.octet_length("text")
+    # The row's own columns stay apart in a struct, so that none clashes with the names used here.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(whole, F.unhex(F.md5("text")).alias("key"), F.col("text").cast("binary").alias("data")).join(found, "key", "left")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<binary>").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
         lo, hi = inside(s["lo"].cast("int"), False), F.greatest(inside(s["hi"].cast("int"), True), state["at"])
-        return F.struct(F.greatest(hi, lo).alias("at"), F.concat(state["out"], F.substring("data", state["at"] + 1, F.greatest(lo - state["at"], F.lit(0)))).alias("out"))
+        left = F.substring("data", state["at"] + 1, F.greatest(lo - state["at"], F.lit(0)))
+        return F.struct(F.greatest(hi, lo).alias("at"), F.array_append(state["out"], left).alias("out"))
 
     done = F.aggregate("spans", start, step)
-    text = F.concat(done["out"], F.substring("data", done["at"] + 1, size)).cast("string")
-    return rows.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(text)).select(docs.columns)
+    text = F.concat(F.array_join(F.transform(done["out"], lambda b: b.cast("string")), ""), F.substring("data", done["at"] + 1, F.octet_length("data")).cast("string"))
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(text)
+    return rows.select(*[(text if c.lower() == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -4,9 +4,9 @@ A rule is a host and a path: it fits the host and its subdomains where the url's
 one key for each suffix of its host and each length of a listed path; a rule fits if its key is among them. Over the
 keys of the whole corpus a cascade gives exact answers: level 1 holds the listed keys, level 2 the corpus's keys that
 level 1 takes for listed, level 3 the listed keys that level 2 takes for those, and so on until none is left. The
-lookup is an expression over a few constants, so the urls meet no join. A cascade takes about
-``listed * (1.44 * log2(corpus keys / listed) + 4)`` bits; beyond ``MAX_WORDS`` words of 64 bits the lookup is an
-equi-join with the listed keys instead.
+lookup is an expression over one constant a level, so the urls meet no join. A cascade takes about
+``listed * (1.44 * log2(corpus keys / listed) + 4)`` bits, so it is smaller than the list of rules that the caller holds,
+however large the corpus is.
 """
 
 from __future__ import annotations
@@ -19,9 +19,6 @@ from pyspark.sql import functions as F
 
 from edgelens.llm.common import written
 
-#: 64-bit words of a level that may be sent along as a constant.
-MAX_WORDS = 1 << 14
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,18 +52,16 @@ class Level:
         self.hashes = max(1, math.ceil(-math.log2(rate)))
         self.words = max(1, math.ceil(count * self.hashes / math.log(2) / 64))
         self.salt = salt
-        self.values: list[int] | None = None
-        if self.words <= MAX_WORDS:
-            bits = keys.select(F.explode(F.array(*[self._place(F.col("key"), i) for i in range(self.hashes)])).alias("b"))
-            word = bits.groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(b, 64) as int))")).alias("v"))
-            found = {r["w"]: r["v"] for r in word.collect()}  # at most self.words rows
-            self.values = [found.get(i, 0) for i in range(self.words)]
+        bits = keys.select(F.explode(F.array(*[self._place(F.col("key"), i) for i in range(self.hashes)])).alias("b"))
+        word = bits.groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(b, 64) as int))")).alias("v"))
+        found = {r["w"]: r["v"] for r in word.collect()}  # at most self.words rows, which follow the list
+        self.values = ",".join(str(found.get(i, 0)) for i in range(self.words))
 
     def _place(self, key: Column, i: int) -> Column:
         return F.pmod(F.xxhash64(key, F.lit(self.salt * 64 + i)), F.lit(self.words * 64))
 
     def holds(self, key: Column) -> Column:
-        words = F.lit(self.values).cast("array<bigint>")
+        words = F.split(F.lit(self.values), ",").cast("array<bigint>")  # folded into a constant when the query is planned
 
         def bit(i: int) -> Column:
             at = self._place(key, i)
@@ -81,15 +76,12 @@ class Cascade:
     def __init__(self, listed: DataFrame, corpus_keys: DataFrame, corpus_count: int, salt: int = 0):
         """``listed`` and ``corpus_keys`` have a column key; ``corpus_count`` is about the number of distinct corpus keys."""
         listed = listed.filter("key is not null").distinct()
-        self.listed, self.levels, self.joined = listed, [], False
+        self.levels: list[Level] = []
         inside, n = listed, listed.count()
         outside, m = None, 0
         rate = min(0.5, math.sqrt(2) * n / max(1, corpus_count))
         while n:
             level = Level(inside, n, rate, salt * 1000 + len(self.levels))
-            if level.values is None:
-                self.joined = True
-                return
             self.levels.append(level)
             if outside is None:
                 outside = corpus_keys.filter(level.holds(F.col("key"))).select("key").distinct().join(listed, "key", "left_anti")
@@ -122,26 +114,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow"
     lengths = [len(r) - r.index("/") for _, r in rules]
     if not rules:
         return rows.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    keyed = rows.withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths))
+    keyed = written(rows.withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths)), "keys")
     corpus = keyed.select(F.explode("keys").alias("key"))
     count = corpus.agg(F.approx_count_distinct("key")).first()[0]
     hits = []
     for i, verdict in enumerate(sorted({v for v, _ in rules})):
         listed = spark.createDataFrame([(r,) for v, r in rules if v == verdict], "key string")
         cascade = Cascade(listed, corpus, count, i)
-        if cascade.joined:
-            keyed = _joined(keyed, listed, f"hits{i}")
-            found = F.col(f"hits{i}")
-        else:
-            found = F.filter("keys", cascade.holds)
+        found = F.filter("keys", cascade.holds)
         hits.append(F.transform(found, lambda k: F.struct((-F.length(k)).alias("n"), k.alias("rule"), F.lit(verdict).alias("verdict"))))  # noqa: B023
     best = F.array_min(F.concat(*hits))
     return keyed.select("page_id", "host", "path", best.alias("best")).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
-
-
-def _joined(keyed: DataFrame, listed: DataFrame, name: str) -> DataFrame:
-    """Adds the listed keys of each row by an equi-join, for lists beyond MAX_WORDS."""
-    row = keyed.withColumn("row", F.monotonically_increasing_id())
-    row = written(row, "rows")
-    found = row.select("row", F.explode("keys").alias("key")).join(listed.distinct(), "key").groupBy("row").agg(F.collect_set("key").alias(name))
-    return row.join(found, "row", "left").drop("row").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))

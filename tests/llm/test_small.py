@@ -332,14 +332,54 @@ def test_url_rules(spark):
     }
 
 
-def test_cascade_is_exact(spark, monkeypatch):
-    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
+def test_contract_rules(spark):
+    """The five rules as the contract words them: block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/."""
+    from edgelens.llm.queries import URL_RULES
+
+    cases = {
+        "http://a.com/en/": ("com/en/", "block"), "http://www.example.com/en/71": ("example.com/en/7", "allow"), "http://example.com/en/8": ("com/en/", "block"),
+        "http://a.net/de/8": ("net/de/", "allow"), "http://example.net/de/7": ("net/de/", "allow"), "http://x.example.net/de/8?q": ("example.net/de/8", "block"),
+        "http://b.org/es/#f": ("org/es/", "block"), "http://b.org/en/": (None, "allow"), "http://example.com/EN/7": (None, "allow"),
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(rows, URL_RULES).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
+def test_cascade_is_exact(spark):
+    keys = spark.range(40_000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = keys.filter("substring(key, 2) % 7 = 0")
-    cascade = url_filter.Cascade(listed, keys, 3000)
+    cascade = url_filter.Cascade(listed, keys, 40_000)
     assert len(cascade.levels) > 2
     assert keys.filter(cascade.holds(F.col("key"))).exceptAll(listed).isEmpty() and keys.filter(cascade.holds(F.col("key"))).count() == listed.count()
-    monkeypatch.setattr(url_filter, "MAX_WORDS", 0)
-    test_url_rules(spark)
+
+
+def test_pipeline_language_id_without_any_lang(spark):
+    import corpus_pipeline
+
+    rows = spark.createDataFrame([(1, "some words", None, "s", 10), (2, "123", None, "s", 3), (None, None, None, "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [tuple(r) for r in corpus_pipeline.language_id(spark, rows, "").collect()] == [(1, "some words", None, "s", 10)]
+
+
+def test_suffix_clean_keeps_clashing_columns(spark):
+    text = "ab" * 100 + "é tail"
+    rows = spark.createDataFrame([(1, text, "k", "s", "d"), (2, None, None, "s", "d")], "doc_id long, text string, key string, spans string, data string")
+    got = sorted((tuple(r) for r in suffix.clean(rows, 130).collect()), key=lambda r: r[0])
+    removed = brute_suffix([text], 130)[0][1]
+    assert [r[2:] for r in got] == [("k", "s", "d"), (None, "s", "d")] and got[1][1] is None and removed and len(got[0][1].encode()) == len(text.encode()) - removed
+
+
+def test_scratch_leaves_nothing(spark):
+    import os
+
+    from edgelens.llm.common import scratch
+
+    top = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    with scratch(spark):
+        suffix.dedup(docs(spark, ["a" * 900, "b"])).collect()
+        minhash.near_duplicates(docs(spark, ["a b c", "a b c"])).collect()
+    assert set(os.listdir(top)) == before and not [t for t in spark.catalog.listTables() if t.name.startswith("edgelens_texts")]
 
 
 def test_topk(spark, monkeypatch):
