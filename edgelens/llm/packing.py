@@ -1,20 +1,24 @@
 """Harmonic packing of token sequences.
 
 Lengths fall into reciprocal-capacity classes: class k holds lengths in (capacity / (k + 1), capacity / k], and each of
-its bins takes k pieces. Every task fills the bins of its own rows as they come, with no exchange between tasks; only
-the few pieces of bins that stayed open at a task's end are dealt once more, for groups of ``TASKS`` tasks together.
+its bins takes k pieces. Every task fills the bins of its own rows as they come, with no exchange between tasks. Only
+the few pieces of bins that stayed open at a task's end are dealt again: first by class, for groups of ``TASKS`` tasks
+together, which leaves fewer than k pieces of a class and group; then what is left of a group goes into mixed bins.
 Documents are cut so that little is padded: whole sequences first, and a rest that would leave more than ``SLACK`` of
 its place empty gives a piece that fits the next class exactly, until the last piece fits well or is short.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgelens.llm.common import written
+
 #: Share of a place in a bin that a piece may leave empty before it is cut.
 SLACK = 1 / 32
 #: Pieces of at most so many tokens are not cut.
@@ -65,6 +69,20 @@ def placed(pieces: list[tuple], sequence: int) -> list[tuple]:
     return out
 
 
+def mixed(pieces: list[tuple], capacity: int) -> list[list[tuple]]:
+    """Bins of pieces of all classes: longest first, each into the fullest bin that has room."""
+    bins: list[list[tuple]] = []
+    room: list[tuple[int, int]] = []  # (room, bin), ascending
+    for p in sorted(pieces, key=lambda p: -p[2]):
+        i = bisect.bisect_left(room, (p[2], -1))
+        left, at = room.pop(i) if i < len(room) else (capacity, len(bins))
+        if at == len(bins):
+            bins.append([])
+        bins[at].append(p)
+        bisect.insort(room, (left - p[2], at))
+    return bins
+
+
 def byte_ranks(tokenizer_path: str) -> dict[bytes, int] | None:
     """The ids of a byte-level tokenizer file by their bytes, if ids follow the order of merges and texts are cut by PARTS alone; else None."""
     import json
@@ -94,11 +112,13 @@ PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 BLANKS = 100_000
 
 
-def encoder(tokenizer_path: str):
+def encoder(tokenizer_path: str, added_tokens: bool = False):
     """A function from texts to little-endian unsigned 32-bit ids.
 
     Where the file's ids follow the order of its merges, its vocabulary is run by ``tiktoken``, which gives the same ids
-    as ``tokenizers`` in a sixth of the time; any other file is run by ``tokenizers``, and so is a text with BLANKS.
+    as ``tokenizers`` in a sixth of the time. Any other file is run by ``tokenizers``, and so is a text with BLANKS or
+    with a string of an added token: these strings are the tokens' ids if ``added_tokens``, as in the plain call of
+    ``encode``, else special ones are ordinary text.
     """
     import re
     import sys
@@ -108,8 +128,9 @@ def encoder(tokenizer_path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not added_tokens
     blanks = re.compile(r"(?<!\s)\s{%d}" % BLANKS)
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def by_file(text: str) -> list[int]:
         return tokenizer.encode(text, add_special_tokens=False).ids
@@ -119,7 +140,8 @@ def encoder(tokenizer_path: str):
         fast = tiktoken.Encoding("text", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
         def ids_of(text: str) -> list[int]:
-            return by_file(text) if len(text) >= BLANKS and blanks.search(text) else fast(text)
+            slow = any(t in text for t in added) or len(text) >= BLANKS and blanks.search(text)
+            return by_file(text) if slow else fast(text)
 
     def encode(text: str | None) -> bytes:
         ids = array("I", ids_of(text) if text else [])
@@ -137,14 +159,19 @@ def _record_batch(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)], strict=True)
+
+
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, with_ids: bool = True, added_tokens: bool = False) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, ids (if ``with_ids``), sequence_id, offset.
 
     ``docs`` has doc_id and text; other columns are ignored. A document's tokens are its text's ids and ``end_id``, so
-    null and empty texts have one token. Each token lies in one piece; the pieces of a sequence lie gapless from offset
-    0 and hold ``capacity`` tokens at most; the rest of a sequence is to be padded. Rows may repeat and doc_id may be
-    null: each row is a document of its own. An empty table gives an empty table. A document is held by one task, and
-    takes about 12 times its bytes there.
+    null and empty texts have one token; see ``encoder`` for ``added_tokens``. Each token lies in one piece; the pieces
+    of a sequence lie gapless from offset 0 and hold ``capacity`` tokens at most; the rest of a sequence is to be padded.
+    Rows may repeat and doc_id may be null: each row is a document of its own. An empty table gives an empty table. A
+    document is held by one task, and takes about 12 times its bytes there.
     """
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +179,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
 
         from pyspark import TaskContext
 
-        encode, bins, task = encoder(tokenizer_path), Bins(capacity), TaskContext.get().partitionId()
+        encode, bins, task = encoder(tokenizer_path, added_tokens), Bins(capacity), TaskContext.get().partitionId()
         sequence, end = task << 32, int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows = []
@@ -172,39 +199,53 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
             yield _record_batch(rows, with_ids)
         yield _record_batch([(*p, None, task // TASKS) for p in bins.rest()], with_ids)
 
-    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(group: int, bins: Bins, number: int) -> list[tuple]:
-            """What is still open goes, longest first, into the first bin with room."""
-            room, held = [], []
-            for p in sorted(bins.rest(), key=lambda p: -p[2]):
-                i = next((i for i, r in enumerate(room) if r >= p[2]), len(room))
-                if i == len(room):
-                    room.append(capacity)
-                    held.append([])
-                room[i] -= p[2]
-                held[i].append(p)
-            return [x for i, ps in enumerate(held) for x in placed(ps, (1 << 62) + (group << 32) + number + i)]
-
-        group, bins, number = None, Bins(capacity), 0
-        for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            rows = []
-            for row in zip(*cols, strict=True):
-                if row[-2] is not None:
-                    rows.append(row)
-                    continue
-                if row[-1] != group:
-                    rows += close(group, bins, number) if group is not None else []
-                    group, bins, number = row[-1], Bins(capacity), 0
-                if full := bins.add(row[:-2]):
-                    rows += placed(full, (1 << 62) + (group << 32) + number)
-                    number += 1
-            yield _record_batch(rows, with_ids)
-        if group is not None:
-            yield _record_batch(close(group, bins, number), with_ids)
+    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by group and class."""
+        from pyspark import TaskContext
+
+        sequence = (1 << 61) + (TaskContext.get().partitionId() << 32)
+        rows: list[tuple] = []
+        held: list[tuple] = []
+        key = None
+        for row in _rows(batches):
+            k = capacity // row[2]
+            if (row[-1], k) != key:
+                rows += [(*p, None, key[0]) for p in held] if held else []
+                held, key = [], (row[-1], k)
+            held.append(row[:-2])
+            if len(held) == k:
+                rows += placed(held, sequence)
+                sequence, held = sequence + 1, []
+            if len(rows) >= 4096:
+                yield _record_batch(rows, with_ids)
+                rows = []
+        yield _record_batch(rows + ([(*p, None, key[0]) for p in held] if held else []), with_ids)
+
+    def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by group."""
+        from pyspark import TaskContext
+
+        sequence = (1 << 62) + (TaskContext.get().partitionId() << 32)
+        held: list[tuple] = []
+        group = None
+
+        def close() -> pa.RecordBatch:
+            return _record_batch([x for i, bin_ in enumerate(mixed(held, capacity)) for x in placed(bin_, sequence + i)], with_ids)
+
+        for row in _rows(batches):
+            if row[-1] != group and held:
+                yield close()
+                sequence, held = sequence + len(held), []
+            group = row[-1]
+            held.append(row[:-2])
+        yield close()
 
     schema = PIECES.format(ids="ids array<int>, " if with_ids else "")
-    first = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(fill, schema)
-    is_open = F.col("sequence_id").isNull()
-    dealt = first.repartition(F.when(is_open, -F.col("offset") - 1).otherwise(F.xxhash64("doc_id", "start")))
-    return dealt.sortWithinPartitions(is_open, F.when(is_open, F.col("offset")), "doc_id", "start").mapInArrow(pool, schema)
+    closed, open_ = F.col("sequence_id").isNotNull(), F.col("sequence_id").isNull()
+    k = F.expr(f"{int(capacity)} div length")
+    same = ("doc_id", "start", "ids_crc32", "doc_tokens", "length")  # so that a task that runs again meets the same order
+    first = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(fill, schema), "pieces")
+    some = first.filter(open_).repartition("offset", k).sortWithinPartitions("offset", k, *same).mapInArrow(by_class, schema)
+    some = written(some, "pool")
+    last = some.filter(open_).repartition("offset").sortWithinPartitions("offset", *same).mapInArrow(by_group, schema)
+    return first.filter(closed).union(some.filter(closed)).union(last)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgelens.llm import cover, minhash, packing, pieces, ppm, secrets, spans, suffix, topk, url_filter
+from edgelens.llm.common import shared_dir
 from edgelens.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -25,7 +26,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    ledger = f"{shared_dir(spark)}/ledger"
+    secrets.scan(docs, ledger)
+    found = secrets.find_secrets(docs, ledger=ledger)  # the next version of the table: its pairs are known, so that no text is scanned again
 
     def count(kind: str) -> Column:
         return F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -45,7 +49,7 @@ def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, added_tokens=True)
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

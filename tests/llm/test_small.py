@@ -144,6 +144,33 @@ def test_secrets(spark, tmp_path):
     assert secrets.find_secrets(docs(spark, ["a"]).filter("false")).isEmpty()
 
 
+def test_secrets_of_long_texts_and_clashing_columns(spark, tmp_path):
+    long = " ".join(f"token=abcdef{i} AKIA{'C' * 16}{i}" for i in range(3000))
+    rows = spark.createDataFrame([(1, long, "a", "b", 3), (2, "secret=1234567 x", None, "b", 4), (3, None, "c", "d", 5)], "doc_id long, text string, __found string, blob string, findings int")
+    ledger = str(tmp_path / "ledger")
+    secrets.scan(rows, ledger)
+    spark.read.parquet(ledger).coalesce(1).write.parquet(str(tmp_path / "more"))
+    spark.read.parquet(str(tmp_path / "more")).write.mode("append").parquet(ledger)  # every pair twice, as after two scans at one time
+    got = {r.doc_id: r for r in secrets.find_secrets(rows, ledger=ledger).collect()}
+    for r in got.values():
+        assert [(f.start, f.order, f.end, f.kind) for f in r.findings] == brute_secrets(r.text or "")
+    assert got[2]["__found"] is None and got[1].blob == "b" and secrets.scan(rows, ledger).count() == 9
+    masked = {r.doc_id: r for r in secrets.redact(rows).collect()}
+    assert masked[1].text == " ".join(["[secret] [secret]"] * 3000) and masked[2].text == "[secret] x" and masked[3].text is None
+    assert [masked[i].findings for i in (1, 2, 3)] == [3, 4, 5]
+
+
+def test_secrets_ledger_scans_only_unseen_pairs(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    first = docs(spark, ["token=abcdefg", "b", None])
+    second = docs(spark, ["token=abcdefg", "b", "c", "d"])
+    secrets.scan(first, ledger, secrets.RULES[:1])
+    assert spark.read.parquet(ledger).count() == 3
+    secrets.scan(second, ledger, secrets.RULES)
+    rows = spark.read.parquet(ledger).groupBy("blob", "kind").count()
+    assert rows.count() == 5 * 3 - 2 and rows.filter("count > 1").isEmpty()  # the empty text has not met the two later rules
+
+
 def test_merge_dropout(spark):
     import sentencepiece
 
@@ -300,6 +327,25 @@ def test_packing_of_long_white_space_and_other_files(tmp_path):
         assert np.frombuffer(packing.encoder(str(other))("Some TEXT"), "<u4").tolist() == Tokenizer.from_file(str(other)).encode("Some TEXT", add_special_tokens=False).ids
 
 
+def test_packing_query_as_the_contract_calls_the_tokenizer(spark, tmp_path):
+    from edgelens.llm.queries import op6_packing
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    texts = [None, "", "<|endoftext|> a  b \n", "x<|endoftext|><|endoftext|>", *[words(rng, rng.randrange(1, 900)) for _ in range(40)]]
+    docs(spark, texts).repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows, bins = op6_packing(spark, str(tmp_path)).collect(), {}
+    for r in rows:
+        ids = [*model.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 1]
+        assert r.doc_tokens == len(ids) and zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert bins.setdefault(r.sequence_id, 0) == r.offset
+        bins[r.sequence_id] += r.length
+    assert sum(r.length for r in rows if r.doc_id == 2) == len(model.encode(texts[2], add_special_tokens=False).ids) + 1
+    assert max(bins.values()) <= 2048 and sum(bins.values()) > 0.95 * 2048 * (len(bins) - 1)
+
+
 @pytest.mark.parametrize("capacity", [256, 2048])
 def test_cuts_add_up(capacity):
     for n in (1, 5, 63, 64, 65, 255, 256, 257, 2047, 2048, 10_001):
@@ -398,6 +444,23 @@ def test_topk(spark, monkeypatch):
     assert got == expected
 
 
+@pytest.mark.parametrize("block", [2, 8192])
+def test_topk_with_repeated_ids(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", block)
+    rng = np.random.default_rng(12)
+    x = np.round(rng.normal(size=(40, 4)), 2)
+    ids = [*range(30), 0, 0, 0, 3, 3, 200, 200, 300, 400, 500]
+    x[30] = x[0]  # the query's row once more, and two other rows of its vec_id
+    rows = [(i, v.tolist()) for i, v in zip(ids, x, strict=True)]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).collect())
+    whole, expected = np.floor(x * 1024).astype(np.int64), []
+    for at, q in enumerate(ids):
+        if q % 100 == 0:
+            scored = sorted((-int(whole[i] @ whole[at]), v) for i, v in enumerate(ids) if i != at)[:5]
+            expected += [(q, k + 1, v, -s) for k, (s, v) in enumerate(scored)]
+    assert got == sorted(expected)
+
+
 def brute_suffix(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = {}
