@@ -3,8 +3,9 @@
 Each language has a tree of byte contexts of up to ``ORDER`` bytes with the counts of what followed. A byte costs
 -log2 of its probability in the longest context that the language has seen; a byte new to a context escapes to the
 context shorter by one (method C: of n follow-ups of d kinds, the escape has d / (n + d)), and at last to all bytes
-alike. Statistics are frozen after training, so the costs of all (context, byte) pairs are worked out once: a byte of
-a text costs two look-ups for all languages together. The language with the shortest code length for the whole text wins.
+alike. Statistics are frozen after training, so the costs of all runs of bytes that any language has seen are worked
+out once, for all languages: a byte of a text takes the row of its longest such run, and the escapes of the contexts
+above it. The language with the shortest code length for the whole text wins.
 """
 
 from __future__ import annotations
@@ -22,18 +23,27 @@ from edgelens.llm.common import byte_slices
 
 #: Bytes of context.
 ORDER = 3
-#: Bounds of the training sample: documents and bytes of a document for each language, and languages.
-TRAIN_DOCS, TRAIN_BYTES, TRAIN_LANGS = 300, 16_384, 64
-#: Megabytes of the cost table; rarer contexts of full length go first where it would be larger.
-TABLE_MB = 48
+#: Bounds of the training sample: documents of a language, characters of a document, and documents of all languages.
+TRAIN_DOCS, TRAIN_CHARS, SAMPLE_DOCS = 300, 8_192, 19_200
+#: Costs (bytes of text times languages) that are summed at once.
+AT_ONCE = 1 << 19
+
+
+@dataclass
+class Table:
+    """Of one order: the runs (context and byte) that any language has seen and their costs, and the contexts and their escapes, in bits by language."""
+
+    keys: np.ndarray
+    costs: np.ndarray
+    contexts: np.ndarray
+    escapes: np.ndarray  # 0 for a language that has not seen the context
 
 
 @dataclass
 class Model:
     langs: list[str]
     symbols: np.ndarray  # of each byte; what training has not seen shares the last
-    nodes: np.ndarray  # of each context of ORDER symbols
-    costs: np.ndarray  # [node, symbol, language], bits
+    tables: list[Table]  # by order
 
 
 def held_out(doc_id: Column) -> Column:
@@ -41,17 +51,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """(lang, text) to learn from: for each of the TRAIN_LANGS most frequent languages about TRAIN_DOCS documents of 1 to TRAIN_BYTES bytes.
+    """(lang, text) to learn from: of each language about TRAIN_DOCS documents, of a longer one a piece of TRAIN_CHARS.
 
-    Documents are taken by the hash of their doc_id, so the same ones each time. Hashes are thinned by the language's
-    count first, so that no task gathers a language.
+    Where there are more than SAMPLE_DOCS / TRAIN_DOCS languages each has fewer, one at least; beyond SAMPLE_DOCS
+    languages the most frequent are learnt. Documents and pieces are taken by hash, so the same ones each time. Hashes
+    are thinned by the language's count first, so that no task gathers a language.
     """
-    rows = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.octet_length("text").between(1, TRAIN_BYTES)).select("doc_id", "lang", "text")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TRAIN_LANGS)
+    rows = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("doc_id", "lang", "text")
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_DOCS).collect()
+    most = max(1, min(TRAIN_DOCS, SAMPLE_DOCS // max(1, len(counts))))
+    counts = docs.sparkSession.createDataFrame([tuple(r) for r in counts], "lang string, count long")
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    thin = rows.join(F.broadcast(counts), "lang").withColumn("place", place).filter(F.col("place") / F.lit(1 << 30) * F.col("count") < 2 * TRAIN_DOCS)
+    thin = rows.join(F.broadcast(counts), "lang").withColumn("place", place).filter(F.col("place") / F.lit(1 << 30) * F.col("count") < 2 * most + 32)  # with so many expected, none is left without
+    begin = F.pmod("place", F.greatest(F.lit(1), F.length("text") - TRAIN_CHARS + 1)).cast("int")
+    thin = thin.select("doc_id", "lang", "place", F.substring("text", begin + 1, F.lit(TRAIN_CHARS)).alias("text"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
-    return thin.withColumn("i", first).filter(F.col("i") <= TRAIN_DOCS).select("lang", "text")
+    return thin.withColumn("i", first).filter(F.col("i") <= most).select("lang", "text")
 
 
 def train(rows: list[tuple[str, str]]) -> Model | None:
@@ -64,82 +79,76 @@ def train(rows: list[tuple[str, str]]) -> Model | None:
     symbols = np.full(256, len(seen), np.int64)
     symbols[seen] = np.arange(len(seen))
     size = len(seen) + 1
-    grams = []  # of each language: for each order its (context * size + symbol) keys and their counts
-    for data in texts:
-        s, by_order, key = symbols[data], [], 0
-        for order in range(ORDER + 1):
-            key = sum(s[k : len(s) - order + k] * size ** (order - k) for k in range(order + 1))
-            by_order.append(np.unique(key, return_counts=True))
-        grams.append(by_order)
-    full, count = np.unique(np.concatenate([np.repeat(g[ORDER][0] // size, g[ORDER][1]) for g in grams]), return_counts=True)
-    room = max(1, TABLE_MB * 1_000_000 // (size * len(langs) * 4) - size ** min(2, ORDER - 1) - 2)
-    if len(full) > room:
-        full = np.sort(full[np.argsort(-count, kind="stable")[:room]])
-    below = np.unique(np.concatenate([g[ORDER - 1][0] // size for g in grams])) if ORDER > 1 else np.zeros(0, np.int64)
-    span = size ** (ORDER - 1)
-    # node 0: no context; then the seen contexts of ORDER - 1; then those of ORDER
-    nodes = np.zeros(size**ORDER, np.int32)
-    short = np.zeros(span, np.int32)
-    short[below * 1 if ORDER > 1 else []] = 1 + np.arange(len(below)) if ORDER > 1 else []
-    nodes[:] = np.tile(short, size)
-    nodes[full] = 1 + len(below) + np.arange(len(full))
-    costs = np.empty((1 + len(below) + len(full), size, len(langs)), np.float32)
-    for i, by_order in enumerate(grams):
-
-        def table(order: int, contexts: np.ndarray, shorter: np.ndarray, by_order=by_order) -> np.ndarray:
-            """Probabilities in the contexts; where one has not been seen, as in the shorter one."""
-            keys, n = by_order[order]
-            at = np.searchsorted(contexts, keys // size)
-            ok = at < len(contexts)
-            ok[ok] = contexts[at[ok]] == (keys // size)[ok]
-            at, symbol, n = at[ok], (keys % size)[ok], n[ok]
-            total = np.bincount(at, n, len(contexts))
-            kinds = np.bincount(at, minlength=len(contexts))
-            whole = (total + kinds).clip(1)
-            escape = np.where(total > 0, kinds / whole, 1.0)
-            out = shorter * escape[:, None]
-            out[at, symbol] = n / whole[at]
+    tables: list[Table] = []
+    for order in range(ORDER + 1):
+        grams = []  # of each language its (context * size + symbol) keys and their counts
+        for data in texts:
+            s = symbols[data]
+            grams.append(np.unique(sum(s[k : len(s) - order + k] * size ** (order - k) for k in range(order + 1)), return_counts=True))
+        keys = np.unique(np.concatenate([k for k, _ in grams]))
+        contexts = np.unique(keys // size)
+        if order:
+            lower = tables[-1]
+            shorter = lower.costs[np.searchsorted(lower.keys, keys % size**order)].astype(np.float64)
+        else:
+            shorter = np.full((len(keys), len(langs)), 8.0)
+        costs, escapes = np.empty((len(keys), len(langs)), np.float32), np.zeros((len(contexts), len(langs)), np.float32)
+        for i, (k, n) in enumerate(grams):
+            at = np.searchsorted(contexts, k // size)
+            total, kinds = np.bincount(at, n, len(contexts)), np.bincount(at, minlength=len(contexts))
+            known, whole = total > 0, (total + kinds).clip(1)
+            escapes[known, i] = -np.log2(kinds[known] / whole[known])
+            costs[:, i] = shorter[:, i] + escapes[np.searchsorted(contexts, keys // size), i]
+            costs[np.searchsorted(keys, k), i] = -np.log2(n / whole[at])
+        tables.append(Table(keys, costs, contexts, escapes))
+    return Model(langs, symbols, tables)
+
+
+def _bits(model: Model, key: np.ndarray, size: int) -> np.ndarray:
+    """Bits of the last symbol of each run of ORDER + 1 symbols, by language."""
+
+    def place(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+        return at, known[at] == wanted
+
+    whole = model.tables[ORDER]
+    at, hit = place(whole.keys, key)
+    out = whole.costs[at].astype(np.float64)
+    todo = np.flatnonzero(~hit)
+    out[todo] = 0
+    key = key[todo]
+    for order in reversed(range(ORDER + 1)):
+        table = model.tables[order]
+        if order < ORDER:
+            at, hit = place(table.keys, key)
+            out[todo[hit]] += table.costs[at[hit]]
+            todo, key = todo[~hit], key[~hit]
+        if not len(todo):
             return out
-
-        flat = np.full((1, size), 1 / 256)
-        zero = table(0, np.zeros(1, np.int64), flat)
-        orders = [zero]
-        contexts_of = [np.zeros(1, np.int64)]
-        for order in range(1, ORDER + 1):
-            if order < ORDER:
-                contexts = np.unique(np.concatenate([g[order][0] // size for g in grams]))
-            else:
-                contexts = full
-            parent = np.searchsorted(contexts_of[-1], contexts % size ** (order - 1)) if order > 1 else np.zeros(len(contexts), np.int64)
-            orders.append(table(order, contexts, orders[-1][parent]))
-            contexts_of.append(contexts)
-        costs[0, :, i] = -np.log2(zero[0])
-        costs[1 : 1 + len(below), :, i] = -np.log2(orders[ORDER - 1])
-        costs[1 + len(below) :, :, i] = -np.log2(orders[ORDER])
-    return Model(langs, symbols, nodes, costs)
+        at, hit = place(table.contexts, key // size)
+        out[todo[hit]] += table.escapes[at[hit]]
+        key = key % size**order
+    out[todo] += 8.0
+    return out
 
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits of each text of a slice under each language; zero bytes stand before a text."""
-    size = int(model.symbols.max()) + 1
-    zero = int(model.symbols[0])
-    n = len(offsets) - 1
-    sizes = np.diff(offsets)
-    total = np.zeros((n, len(model.langs)))
-    if not len(data):
-        return total
-    s = model.symbols[data]
-    place = np.arange(len(data)) - np.repeat(offsets[:-1], sizes)
-    context = np.zeros(len(data), np.int64)
-    for back in range(1, ORDER + 1):
-        before = np.full(len(data), zero, np.int64)
-        before[back:] = s[:-back]
-        before[place < back] = zero
-        context += before * size ** (back - 1)
-    node = model.nodes[context]
-    full = np.flatnonzero(sizes)
-    for i in range(len(model.langs)):
-        total[full, i] = np.add.reduceat(model.costs[node, s, i].astype(np.float64), offsets[:-1][full])
+    size, zero = int(model.symbols.max()) + 1, int(model.symbols[0])
+    total = np.zeros((len(offsets) - 1, len(model.langs)))
+    step = max(1, AT_ONCE // len(model.langs))
+    for lo in range(0, len(data), step):
+        hi = min(len(data), lo + step)
+        at = np.arange(lo, hi)
+        text = np.searchsorted(offsets, at, "right") - 1
+        place = at - offsets[text]
+        s = model.symbols[data[max(0, lo - ORDER) : hi]]
+        s = np.concatenate([np.full(hi - lo + ORDER - len(s), zero), s])
+        key = s[ORDER:]
+        for back in range(1, ORDER + 1):
+            key = key + np.where(place < back, zero, s[ORDER - back : len(s) - back]) * size**back
+        edge = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        total[text[edge]] += np.add.reduceat(_bits(model, key, size), edge, 0)
     return total
 
 
@@ -151,21 +160,22 @@ def identify(docs: DataFrame) -> DataFrame:
     else the winner's share of 2 ** -(bits per byte of whole code length, at most 32 bytes), summed over languages, in
     0 to 1. Of languages with equal code lengths the first in text order wins. A null doc_id counts as not held out.
     Other columns stay, but for those with the added names, which are replaced; rows may repeat; an empty table gives an
-    empty table. A text is held by one task at about 60 times its bytes.
+    empty table. A text is held by one task; beyond its own bytes that takes memory of constant size.
     """
     spark = docs.sparkSession
-    model = train([tuple(r) for r in sample(docs).collect()])  # at most TRAIN_LANGS * TRAIN_DOCS * TRAIN_BYTES bytes
+    model = train([tuple(r) for r in sample(docs).collect()])  # at most SAMPLE_DOCS * TRAIN_CHARS characters: 157 MB of ASCII
     added = ("held_out", "lang_pred", "score", "bits_per_byte")
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in added]
     held = F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
     if model is None:
         return docs.select(*kept, held, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
-    shared = spark.sparkContext.broadcast((model.langs, model.symbols, model.nodes, model.costs))
+    shared = spark.sparkContext.broadcast((model.langs, model.symbols, [(t.keys, t.costs, t.contexts, t.escapes) for t in model.tables]))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Model(*shared.value)
+        langs, symbols, tables = shared.value
+        known = Model(langs, symbols, [Table(*t) for t in tables])
         for batch in batches:
-            for lo, hi, data, offsets in byte_slices(batch.column("__text"), 1 << 20):
+            for lo, hi, data, offsets in byte_slices(batch.column("__text")):
                 bits = code_lengths(known, data, offsets)
                 best = bits.argmin(1)
                 sizes = np.diff(offsets)
@@ -174,8 +184,10 @@ def identify(docs: DataFrame) -> DataFrame:
                 own = bits[np.arange(len(best)), best] / np.maximum(1, sizes)
                 letters = batch.column("__letters").slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
                 pred = [known.langs[b] if x else "und" for b, x in zip(best.tolist(), letters.tolist(), strict=True)]
-                cols = [batch.column(c).slice(lo, hi - lo) for c in batch.schema.names if c not in ("__text", "__letters")]
-                yield pa.record_batch([*cols, pa.array(pred, pa.string()), pa.array(np.where(letters, share, 0.0)), pa.array(np.where(letters, own, 0.0))], names=[*[c for c in batch.schema.names if c not in ("__text", "__letters")], "lang_pred", "score", "bits_per_byte"])
+                names = [c for c in batch.schema.names if c not in ("__text", "__letters")]
+                cols = [batch.column(c).slice(lo, hi - lo) for c in names]
+                cols += [pa.array(pred, pa.string()), pa.array(np.where(letters, share, 0.0)), pa.array(np.where(letters, own, 0.0))]
+                yield pa.record_batch(cols, names=[*names, "lang_pred", "score", "bits_per_byte"])
 
     rows = docs.select(*kept, held)
     names = rows.columns

@@ -119,6 +119,54 @@ def test_code_lengths_are_exact():
     assert np.allclose(got, expected, rtol=1e-4)
 
 
+def independent_bits(training, text, order=3):
+    """Bits of a text after training texts, by counting follow-ups anew for every byte (method C, no exclusion)."""
+    train, out = bytes(2 * order) + bytes(2 * order).join(training), 0.0
+    text = bytes(order) + text
+    for i in range(order, len(text)):
+        p = 1.0
+        for k in range(order, -2, -1):
+            if k < 0:
+                p /= 256
+                break
+            context = text[i - k : i]
+            follow = [train[j + k] for j in range(len(train) - k) if train[j : j + k] == context]
+            kinds = len(set(follow))
+            if text[i] in follow:
+                p *= follow.count(text[i]) / (len(follow) + kinds)
+                break
+            if follow:
+                p *= kinds / (len(follow) + kinds)
+        out -= np.log2(p)
+    return out
+
+
+@pytest.mark.parametrize("at_once", [1, 5, 1 << 19])
+def test_code_lengths_of_random_texts(monkeypatch, at_once):
+    monkeypatch.setattr(ppm, "AT_ONCE", at_once)
+    rng = random.Random(13)
+    train = [(lang, "".join(rng.choice(letters) for _ in range(rng.randrange(1, 60)))) for lang, letters in [("a", "ab"), ("b", "bcd"), ("c", "aé ")] for _ in range(3)]
+    train.append(("d", "abab"))
+    model = ppm.train(train)
+    texts = [b"", b"bba", b"cab", "é€".encode(), *["".join(rng.choice("abcdé z") for _ in range(rng.randrange(20))).encode() for _ in range(30)], b""]
+    got = ppm.code_lengths(model, np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    expected = [[independent_bits([t.encode() for x, t in train if x == lang], text) for lang in model.langs] for text in texts]
+    assert np.allclose(got, expected, rtol=1e-5)
+
+
+def test_language_id_learns_every_label_and_long_documents(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "SAMPLE_DOCS", 80)
+    monkeypatch.setattr(ppm, "TRAIN_CHARS", 50)
+    rng = random.Random(14)
+    alphabets = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 5)) for _ in range(70)]  # more languages than 64
+    texts, lang = [], []
+    for i in range(700):
+        texts.append(" ".join("".join(rng.choice(alphabets[i % 70]) for _ in range(6)) for _ in range(40)))
+        lang.append(f"l{i % 70:02}" if i < 630 else None)
+    rows = ppm.identify(docs(spark, texts, lang)).collect()
+    assert len({r.lang_pred for r in rows}) == 70 and sum(r.lang_pred == f"l{r.doc_id % 70:02}" for r in rows) > 600
+
+
 def brute_secrets(text):
     kinds = [("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+")]
     out = []
