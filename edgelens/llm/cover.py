@@ -1,10 +1,15 @@
 """Near-duplicate embeddings by dual traversal of cover trees.
 
-Vectors of one label are scaled to length 1, where a cosine of c is a distance of sqrt(2 - 2c). The top of a label's
-tree is a set of pivots, each with the vectors nearest to it and their covering radius; a pivot with many vectors is
-split into nodes of ``NODE`` of them. Pairs of nodes that lie farther apart than their radii and the threshold allow
-are dropped before any vector moves. A task takes one pair of nodes, refines each into nested levels with halving
-radii, and follows only pairs of tree nodes that the covering bound can't exclude, down to single vectors.
+Vectors of one label are scaled to length 1, where a cosine of c is a distance of sqrt(2 - 2c). A label's tree is grown
+on Spark, level by level: a node with more than ``NODE`` vectors takes some of its own as centres, which lie more than
+half its radius apart; the vectors within half the radius of their nearest centre form the children, and what no centre
+covers stays with the node's own centre for the next level. Nodes so tight that all their vectors link, and rests that
+centres don't thin out, are cut by hash. The traversal starts with each label's root and itself; a pair of nodes whose
+centres lie farther apart than their radii and the threshold allow is dropped, one that lies so close that all its
+vectors link is taken whole, and any other is replaced by the pairs of its children. Pairs of leaves go to tasks, which
+refine each leaf into levels with halving radii and go on in the same way down to single vectors.
+
+Links are not written out: of each vector only their number and a link that keeps it with its component are.
 """
 
 from __future__ import annotations
@@ -14,18 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from edgelens.llm.common import written
+from edgelens.llm.common import drop, written
 from edgelens.llm.components import connected_components
 
-#: Vectors of a node that one task takes.
+#: Vectors of a leaf, about; children with fewer than a 32nd of it stay with the rest.
 NODE = 1024
-#: Most pivots of a label.
-PIVOTS = 256
-#: A tree node with so few vectors has them all as children.
+#: Vectors of a node that centres are picked from.
+PIVOTS = 64
+#: Vectors of a node that one task deals to its children.
+DEAL = 1 << 16
+#: A tree node in a task with so few vectors has them all as children.
 LEAF = 8
 #: Slack for rounding in distances.
 ROUND = 1e-7
@@ -51,7 +58,7 @@ class Tree:
 
     __slots__ = ("centre", "children", "radius")
 
-    def __init__(self, x: np.ndarray, members: np.ndarray, bound: float | None = None):
+    def __init__(self, x: np.ndarray, members: np.ndarray):
         self.centre = int(members[0])
         far = _distances(x[members], x[[self.centre]])[:, 0]
         self.radius = float(far.max())
@@ -93,65 +100,197 @@ def pairs_within(x: np.ndarray, y: np.ndarray | None, reach: float) -> tuple[np.
     return i, j
 
 
+def net(x: np.ndarray, half: float) -> list[int]:
+    """Places of vectors that lie more than ``half`` apart, and within it of all others; earlier ones first."""
+    far, out = _distances(x, x), []
+    for i in range(len(x)):
+        if not out or far[i, out].min() > half:
+            out.append(i)
+    return out
+
+
+def least_of_group(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of each of n places the least one that it is connected with by links (i, j)."""
+    low = np.arange(n)
+    while True:
+        before = low.copy()
+        least = np.minimum(low[i], low[j])
+        np.minimum.at(low, i, least)
+        np.minimum.at(low, j, least)
+        low = low[low]
+        if (low == before).all():
+            return low
+
+
+CLASSES = "part struct<label: string, d: int>, embedding array<double>, copies long, least long, cid long, u array<double>"
+
+
 def _classes(vectors: DataFrame) -> DataFrame:
-    """One row for each different vector of a label: cid, part (label and dimension), embedding, copies, least vec_id."""
+    """One row for each different vector of a label: part (label and dimension), embedding, copies, least vec_id, cid and u (of length 1)."""
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("embedding")
+            sizes, lists = np.diff(column.offsets.to_numpy()), [None] * len(column)
+            for d in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == d)
+                for i, v in zip(at.tolist(), _unit(_matrix(column.take(pa.array(at)))), strict=True):
+                    lists[i] = v
+            yield pa.record_batch([*batch.columns, pa.array(lists, pa.list_(pa.float64()))], names=[*batch.schema.names, "u"])
+
     x = F.col("embedding").cast("array<double>")
     good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     rows = vectors.filter(F.col("label").isNotNull() & F.coalesce(good, F.lit(False))).select("vec_id", F.struct(F.col("label").cast("string").alias("label"), F.size("embedding").alias("d")).alias("part"), x.alias("embedding"))
     rows = rows.groupBy("part", "embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
-    return written(rows.withColumn("cid", F.monotonically_increasing_id()), "vectors")
+    return written(rows.withColumn("cid", F.monotonically_increasing_id()).mapInArrow(unit, CLASSES), "vectors")
+
+
+def _spread(cid: str = "cid") -> Column:
+    return F.xxhash64(cid, F.lit(7))
+
 
+MEMBERS = "node long, radius double, size long, cid long, copies long, u array<double>, path array<long>"
 
-def _nodes(classes: DataFrame) -> DataFrame:
-    """The vectors with their node: part, pivot, split, and the distance to the pivot; with the pivot's place and vector."""
-    counts = classes.groupBy("part").count()
-    want = F.least(F.lit(PIVOTS), F.ceil(F.col("count") / NODE))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("cid"), "cid"))
-    picked = classes.select("part", "cid", "embedding").withColumn("i", rank).filter(F.col("i") <= PIVOTS).join(counts, "part").filter(F.col("i") <= want)
-    pivots = picked.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("i", "embedding"))).alias("pivots"), F.first("count").alias("count"))  # at most PIVOTS a label
-    rows = classes.join(pivots, "part").select("part", "cid", "embedding", F.col("pivots.embedding").alias("pivots"), "count")
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _dealt(active: DataFrame, reach: float) -> DataFrame:
+    """The vectors of large nodes with i, the centre that covers them (-1: none but the node's own), and their distance to it and to the node's own."""
+    order = Window.partitionBy("node").orderBy(_spread(), "cid")
+    loose = F.col("radius") * 2 + ROUND > reach
+    picked = active.filter(loose).select("node", "radius", "cid", "u", F.row_number().over(order).alias("i")).filter(F.col("i") <= PIVOTS)
+    groups = picked.groupBy("node", "radius").agg(F.array_sort(F.collect_list(F.struct("i", "u"))).alias("picked"))  # at most PIVOTS a node
+
+    def nets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, radius, some in zip(*[batch.column(c).to_pylist() for c in ("node", "radius", "picked")], strict=True):
+                x = np.array([s["u"] for s in some])
+                at = net(x, radius / 2)
+                yield pa.record_batch([pa.array([node] * len(at)), pa.array(at, pa.int32()), pa.array(list(x[at]), pa.list_(pa.float64()))], names=["node", "i", "u"])
+
+    nodes = active.groupBy("node").agg(F.first("radius").alias("radius"), F.first("size").alias("size"), F.first("centre").alias("u"))
+    salts = F.ceil(F.col("size") / DEAL).cast("int")
+    own = nodes.select("node", F.lit(-1).alias("i"), "u")
+    centres = groups.mapInArrow(nets, "node long, i int, u array<double>").union(own)
+    # A node's centres go along to each task that deals its vectors, ahead of them, and once only.
+    centres = centres.join(nodes.select("node", "radius", salts.alias("salts")), "node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    none = F.lit(None)
+    ahead = centres.select("node", "salt", F.lit(0).alias("kind"), "i", "radius", "u", none.cast("long").alias("cid"), none.cast("long").alias("copies"), none.cast("array<long>").alias("path"))
+    rows = active.select("node", F.pmod(_spread(), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), none.cast("int").alias("i"), "radius", "u", "cid", "copies", "path")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, centre, number = None, [], []
         for batch in batches:
-            place, far = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
-            parts = batch.column("part").to_pylist()
-            at: dict[tuple, list[int]] = {}
-            for i, p in enumerate(parts):
-                at.setdefault((p["label"], p["d"]), []).append(i)
-            for rows_of in at.values():
-                x = _unit(_matrix(batch.column("embedding").take(pa.array(rows_of))))
-                p = _unit(_matrix(batch.column("pivots")[rows_of[0]].values))
-                d = _distances(x, p)
-                place[rows_of], far[rows_of] = d.argmin(1), d.min(1)
-            yield pa.record_batch([batch.column("part"), batch.column("cid"), batch.column("embedding"), pa.array(place), pa.array(far)], names=["part", "cid", "embedding", "pivot", "far"])
-
-    part = "struct<label: string, d: int>"
-    dealt = rows.mapInArrow(nearest, f"part {part}, cid long, embedding array<double>, pivot int, far double")
-    size = dealt.groupBy("part", "pivot").agg(F.ceil(F.count("*") / NODE).alias("splits"))
-    return written(dealt.join(size, ["part", "pivot"]).withColumn("split", F.pmod(F.xxhash64("cid"), "splits").cast("int")), "nodes"), pivots
-
-
-def links(vectors: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
-    """(classes of equal vectors, pairs a < b of their cids with that cosine or more)."""
-    classes = _classes(vectors)
-    members, pivots = _nodes(classes)
+            node, salt, kind = (batch.column(c).to_numpy() for c in ("node", "salt", "kind"))
+            edge = np.ones(batch.num_rows + 1, bool)
+            edge[1:-1] = (node[1:] != node[:-1]) | (salt[1:] != salt[:-1]) | (kind[1:] != kind[:-1])
+            edge = np.flatnonzero(edge).tolist()
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if (node[a], salt[a]) != key:
+                    key, centre, number = (node[a], salt[a]), [], []
+                part = batch.slice(a, b - a)
+                if not kind[a]:
+                    centre.append(_matrix(part.column("u")))
+                    number.append(part.column("i").to_numpy())
+                    continue
+                c, i = np.concatenate(centre), np.concatenate(number)
+                far = _distances(_matrix(part.column("u")), c)
+                home, others = far[:, i < 0][:, 0], far[:, i >= 0]
+                near = others.min(1) if others.shape[1] else np.full(b - a, np.inf)
+                took = near <= part.column("radius").to_numpy() / 2
+                to = np.where(took, i[i >= 0][others.argmin(1)] if others.shape[1] else -1, -1)
+                columns = [part.column(x) for x in ("node", "cid", "copies", "u", "path")]
+                yield pa.record_batch([*columns, pa.array(to.astype(np.int32)), pa.array(np.where(took, near, home)), pa.array(home)], names=["node", "cid", "copies", "u", "path", "i", "far", "home"])
+
+    both = ahead.unionByName(rows).repartition("node", "salt").sortWithinPartitions("node", "salt", "kind", "i")
+    dealt = both.mapInArrow(deal, "node long, cid long, copies long, u array<double>, path array<long>, i int, far double, home double")
+    return written(dealt, "dealt"), written(centres.select("node", "i", F.col("u").alias("centre")).distinct(), "centres")
+
+
+def _level(active: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
+    """(vectors, nodes) of the children of large nodes."""
+    dealt, centres = _dealt(active, reach)
+    large = dealt.filter("i >= 0").groupBy("node", "i").count().filter(F.col("count") >= max(2, NODE // 32)).select("node", "i", F.lit(True).alias("own"))
+    rows = dealt.join(large, ["node", "i"], "left")
+    rows = rows.withColumn("far", F.when(F.col("own"), F.col("far")).otherwise(F.col("home"))).withColumn("i", F.when(F.col("own"), F.col("i")).otherwise(-1))
+    rows = written(rows.select("node", "i", "cid", "copies", "u", "path", "far"), "children")
+    sizes = rows.groupBy("node").agg(F.count("*").alias("all"), F.count_if(F.col("i") < 0).alias("rest"))
+    cut = (F.col("i") < 0) & (F.col("rest") > NODE) & (2 * F.col("rest") > F.col("all"))  # centres that cover less than half won't help
+    rows = rows.join(sizes.filter(F.col("rest") > NODE), "node", "left").withColumn("chunks", F.when(cut, F.ceil(F.col("rest") / NODE)).otherwise(1))
+    rows = rows.withColumn("child", F.xxhash64("node", "i", F.pmod(_spread(), "chunks"))).withColumn("cut", F.col("chunks") > 1)
+    rows = written(rows.select(F.col("node").alias("parent"), "child", "i", "cut", "cid", "copies", "u", "path", "far"), "members")
+    nodes = rows.groupBy("child", "parent", "i").agg(F.max("far").alias("radius"), F.count("*").alias("size"), F.sum("copies").alias("copies"), F.min("cid").alias("least"), F.first("cut").alias("cut"))
+    nodes = nodes.join(centres.withColumnRenamed("node", "parent"), ["parent", "i"])
+    leaf = F.col("cut") | (F.col("size") <= NODE)
+    nodes = written(nodes.select(F.col("child").alias("node"), "parent", "centre", "radius", "size", "copies", "least", leaf.alias("leaf")), "nodes")
+    path = F.array_append("path", F.col("child"))
+    made = rows.select(F.col("child").alias("node"), "cid", F.col("copies").alias("n"), "u", path.alias("path"))
+    made = written(made.join(nodes.select("node", "radius", "size", "leaf", "centre"), "node").withColumnRenamed("n", "copies"), "vectors")
+    drop(dealt, centres, rows)
+    return made, nodes
+
+
+def grown(classes: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
+    """(vectors with their leaf and the path of nodes that leads there, nodes of all levels)."""
+    root = F.xxhash64("part.label", "part.d")
+    roots = classes.groupBy(root.alias("node")).agg(F.min_by("u", F.struct(_spread(), F.col("cid"))).alias("centre"), F.count("*").alias("size"), F.sum("copies").alias("copies"), F.min("cid").alias("least"))
+    roots = roots.select("node", F.lit(None).cast("long").alias("parent"), "centre", F.lit(2.0).alias("radius"), "size", "copies", "least", (F.col("size") <= NODE).alias("leaf"))
+    nodes = written(roots, "roots")
+    vectors = classes.select(root.alias("node"), "cid", "copies", "u", F.array(root).alias("path"))
+    active = written(vectors.join(nodes.select("node", "radius", "size", "leaf", "centre"), "node"), "vectors")
+    leaves = []
+    while True:
+        leaves.append(active.filter("leaf").select("node", "cid", "copies", "u", "path"))
+        rest = active.filter("not leaf")
+        if rest.isEmpty():
+            break
+        active, more = _level(rest, reach)
+        nodes = nodes.union(more)
+    out = leaves[0]
+    for more in leaves[1:]:
+        out = out.union(more)
+    return out, nodes
+
+
+def traversed(nodes: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs of leaves that may hold links, pairs of nodes all of whose vectors link), na <= nb."""
+    nodes = written(nodes, "tree")
+    side = {x: nodes.select(F.col("node").alias(f"n{x}"), F.col("centre").alias(f"c{x}"), F.col("radius").alias(f"r{x}"), F.col("leaf").alias(f"leaf{x}")) for x in "ab"}
+    kids = {x: nodes.filter("parent is not null").select(F.col("parent").alias(f"n{x}"), F.col("node").alias(f"k{x}")) for x in "ab"}
+    square = F.aggregate(F.zip_with("ca", "cb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+    apart = F.when(F.col("na") == F.col("nb"), 0.0).otherwise(F.sqrt(square))
+    pairs = nodes.filter("parent is null").select(F.col("node").alias("na"), F.col("node").alias("nb"))
+    near, whole = [], []
+    while True:
+        known = pairs.join(side["a"], "na").join(side["b"], "nb").withColumn("apart", apart)
+        known = known.filter(F.col("apart") <= F.col("ra") + F.col("rb") + reach + ROUND)
+        inside = F.col("apart") + F.col("ra") + F.col("rb") <= reach - 2 * ROUND
+        known = written(known.select("na", "nb", "leafa", "leafb", inside.alias("inside")), "node pairs")
+        whole.append(known.filter("inside").select("na", "nb"))
+        near.append(known.filter("not inside and leafa and leafb").select("na", "nb"))
+        todo = known.filter("not inside and not (leafa and leafb)").select("na", "nb")
+        if todo.isEmpty():
+            break
+        todo = todo.join(kids["a"], "na", "left").join(kids["b"], "nb", "left").select("na", "nb", F.coalesce("ka", "na").alias("x"), F.coalesce("kb", "nb").alias("y"))
+        # The children of a node and itself are met both ways round; a leaf has no children and stands for itself.
+        pairs = todo.filter((F.col("na") != F.col("nb")) | (F.col("x") <= F.col("y"))).select(F.least("x", "y").alias("na"), F.greatest("x", "y").alias("nb"))
+    for more in near[1:]:
+        near[0] = near[0].union(more)
+    for more in whole[1:]:
+        whole[0] = whole[0].union(more)
+    return near[0], whole[0]
+
+
+def links(classes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """((cid, others) with the rows of other classes that each class links with, (a, b) links that join the components)."""
     reach = math.sqrt(max(0.0, 2 - 2 * cosine)) + ROUND
-    centre = pivots.select("part", F.posexplode("pivots.embedding").alias("pivot", "c"))
-    nodes = members.groupBy("part", "pivot", "split").agg(F.max("far").alias("radius")).join(centre, ["part", "pivot"])
-    length = F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, v: s + v * v))
-    nodes = written(nodes.withColumn("c", F.transform("c", lambda v: v / length)).withColumn("node", F.monotonically_increasing_id()), "tops")
-    a, b = (nodes.select("part", F.col("node").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("radius").alias(f"r{x}")) for x in "ab")
-    apart = F.sqrt(F.aggregate(F.zip_with("ca", "cb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
-    near = a.join(b, "part").filter((F.col("na") <= F.col("nb")) & (apart <= F.col("ra") + F.col("rb") + reach + ROUND)).select("na", "nb")
-    near = written(near, "node pairs")
+    vectors, nodes = grown(classes, reach)
+    near, whole = traversed(nodes, reach)
     sides = near.select("na", "nb", F.col("na").alias("node")).union(near.filter("na != nb").select("na", "nb", F.col("nb").alias("node")))
-    named = members.join(nodes.select("part", "pivot", "split", "node"), ["part", "pivot", "split"]).select("node", "cid", "embedding")
 
     def compare(group: pa.Table) -> pa.Table:
-        own = group.column("node").to_numpy()
-        x, cid = _matrix(group.column("embedding")), group.column("cid").to_numpy()
+        own, cid, copies = (group.column(c).to_numpy() for c in ("node", "cid", "copies"))
+        order = np.argsort(cid)
+        own, cid, copies, u = own[order], cid[order], copies[order], _matrix(group.column("u"))[order]
         first = own == own[0]
-        u = _unit(x)
         if first.all():
             i, j = pairs_within(u, None, reach)
         else:
@@ -159,11 +298,24 @@ def links(vectors: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
             i, j = pairs_within(u[p], u[q], reach)
             i, j = p[i], q[j]
         hit = (u[i] * u[j]).sum(1) >= cosine
-        i, j = cid[i[hit]], cid[j[hit]]
-        return pa.table({"a": np.minimum(i, j), "b": np.maximum(i, j)})
+        i, j = i[hit], j[hit]
+        n = np.bincount(i, copies[j], len(cid)) + np.bincount(j, copies[i], len(cid))
+        low, some = least_of_group(len(cid), i, j), n > 0
+        return pa.table({"cid": cid[some], "others": n[some].astype(np.int64), "to": cid[low[some]]})
 
-    found = sides.join(named, "node").groupBy("na", "nb").applyInArrow(compare, "a long, b long")
-    return classes, written(found, "links")
+    found = sides.join(vectors.select("node", "cid", "copies", "u"), "node").groupBy("na", "nb").applyInArrow(compare, "cid long, others long, to long")
+    # Of nodes that link as a whole: a vector links with all of the other node, so with that node's first vector too.
+    size = nodes.select("node", F.col("copies").alias("all"), "least")
+    ends = whole.select("na", "nb").union(whole.filter("na != nb").select(F.col("nb"), F.col("na"))).toDF("node", "other")
+    joined = ends.join(size.toDF("other", "more", "first"), "other").join(size.select("node", F.col("least").alias("own")), "node")
+    joined = written(joined, "whole")
+    sums = joined.groupBy("node").agg(F.sum("more").alias("more"), F.max(F.col("node") == F.col("other")).alias("self"), F.first("own").alias("own"))
+    under = vectors.select("cid", "copies", F.explode("path").alias("node")).join(sums, "node")
+    under = under.select("cid", (F.col("more") - F.when(F.col("self"), F.col("copies")).otherwise(0)).alias("others"), F.col("own").alias("to"))
+    both = written(found.union(under), "links")
+    counts = both.groupBy("cid").agg(F.sum("others").alias("others"))
+    edges = both.select(F.col("cid").alias("a"), F.col("to").alias("b")).union(joined.select(F.col("own").alias("a"), F.col("first").alias("b")))
+    return counts, edges.filter("a != b").distinct()
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
@@ -176,11 +328,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     apart, and link. A null vec_id never names a component of others. An empty table gives an empty table.
     """
     rows = vectors.select("vec_id", "embedding", "label")
-    classes, found = links(rows, cosine)
-    both = found.union(found.select("b", "a"))
-    sums = both.join(classes.select(F.col("cid").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "cid")
+    classes = _classes(rows)
+    sums, found = links(classes, cosine)
+    sums = written(sums, "counts")
     parts = connected_components(found, "a", "b").withColumnRenamed("id", "cid")
-    named = classes.join(sums, "cid", "left").join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    named = classes.select("part", "embedding", "cid", "copies", "least").join(sums, "cid", "left").join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("part", F.col("embedding").alias("x"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     keyed = rows.select("vec_id", F.when(F.col("label").isNotNull(), F.struct(F.col("label").cast("string").alias("label"), F.size("embedding").alias("d"))).alias("part"), F.col("embedding").cast("array<double>").alias("x"))
