@@ -29,6 +29,8 @@ SHALLOW = 64
 MANY = 512
 #: String starts in a block of such an anchor.
 BLOCK = 64
+#: Blocks of one anchor and core with more segments have their strings counted by hash, see _counted_repeats.
+HOT = 2048
 #: Bytes of segments that are sorted together.
 SORT_BYTES = 1 << 20
 
@@ -213,23 +215,54 @@ def _sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
     return rows.repartition("mark").sortWithinPartitions("mark").mapInArrow(sort, "key binary, lo int, hi int")
 
 
+def _counted_repeats(rows: DataFrame, length: int) -> DataFrame:
+    """As ``_sorted_repeats``, for groups without a bound: strings are counted by a 128-bit hash, with partial counts before the exchange."""
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for batch in batches:
+            out = []
+            for key, lo, n, data in zip(*[batch.column(c).to_pylist() for c in ("key", "lo", "n", "bytes")], strict=True):
+                out += [(hashlib.blake2b(data[i : i + length], digest_size=16).digest(), key, lo + i) for i in range(n)]
+            cols = list(zip(*out, strict=True)) if out else [()] * 3
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.int32()), strict=True)], names=["string", "key", "lo"])
+
+    each = written(rows.mapInArrow(strings, "string binary, key binary, lo int"), "strings")
+    twice = each.groupBy("string").count().filter("count > 1").select("string")
+    return each.filter("key is not null").join(twice, "string", "left_semi").select("key", "lo", (F.col("lo") + length).alias("hi"))
+
+
 def _repeats(texts: DataFrame, length: int) -> DataFrame:
-    """(key, lo, hi): bytes that repeated strings cover; ranges may overlap. Texts with several copies are left out as owners."""
+    """key and found (lo, hi): bytes that repeated strings cover; ranges may overlap. Texts with several copies are left out as owners."""
     segments = written(_segments(texts, length), "segments")
     kinds = segments.groupBy("gram", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("key", "lo", "n", "at")).alias("one"))
     kinds = written(kinds, "kinds")
     whole = segments.join(kinds.filter("copies > 1").select("gram", "seg"), ["gram", "seg"], "left_semi").select("key", "lo", (F.col("lo") + F.col("n") - 1 + length).alias("hi"))
+    whole = written(whole, "whole")
+    drop(segments)
     shared = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     open_ = kinds.join(shared, "gram").select("gram", "copies", "one.*", (F.col("kinds") > MANY).alias("many"))
     bytes_ = open_.join(texts.select("key", "data"), "key").select("key", "gram", "lo", "n", "at", "many", "copies", F.substring("data", F.col("lo") + 1, F.col("n") + length - 1).alias("bytes"))
-    return whole.union(_sorted_repeats(_dealt(bytes_, length), length))
+    few = written(_sorted_repeats(_dealt(bytes_.filter("not many"), length), length), "few")
+    blocks = written(_dealt(bytes_.filter("many"), length), "blocks")
+    drop(kinds)
+    hot = written(blocks.groupBy("mark").count().filter(F.col("count") > HOT).select("mark"), "hot")
+    cold = written(_sorted_repeats(blocks.join(hot, "mark", "left_anti"), length), "cold")
+    counted = written(_counted_repeats(blocks.join(hot, "mark", "left_semi"), length), "counted")
+    drop(blocks, hot)
+    parts = (whole, few, cold, counted)
+    found = whole.union(few).union(cold).union(counted).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))  # at most a range for each string start of a text
+    found = written(found, "found")
+    drop(*parts)
+    return found
 
 
 RESULT = "key binary, n_bytes long, n_removed long, spans array<struct<lo: long, hi: long>>, kept binary"
 
 
-def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
-    """Of each different text of ``docs`` that isn't null: key (its MD5), n_bytes, n_removed, spans and kept.
+def repeated_spans(docs: DataFrame, length: int = 400, whole: bool = True) -> DataFrame:
+    """Of each different text of ``docs`` that isn't null: key (its MD5), n_bytes, n_removed, spans and kept (null unless ``whole``).
 
     spans are the maximal runs of bytes that strings of ``length`` bytes cover which start at another place too, of the
     same or another text; kept is what is left. Strings count as equal if they, and the hashes above, are; MD5 names texts.
@@ -254,13 +287,12 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
                 sizes.append(len(data))
                 removed.append(sum(b - a for a, b in runs))
                 spans.append([{"lo": a, "hi": b} for a, b in runs])
-                kept.append(b"".join(data[a:b] for a, b in zip([0, *[r[1] for r in runs]], [*[r[0] for r in runs], len(data)], strict=True)))
+                kept.append(None if not whole else b"".join(data[a:b] for a, b in zip([0, *[r[1] for r in runs]], [*[r[0] for r in runs], len(data)], strict=True)))
             span = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
             yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["key", "n_bytes", "n_removed", "spans", "kept"])
 
     texts = _texts(docs)
-    found = _repeats(texts, length).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))  # at most a range for each string start of a text
-    return texts.join(found, "key", "left").select("key", "data", "copies", "found").mapInArrow(finish, RESULT)
+    return texts.join(_repeats(texts, length), "key", "left").select("key", "data", "copies", "found").mapInArrow(finish, RESULT)
 
 
 def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -291,26 +323,31 @@ def clean(docs: DataFrame, length: int = 400) -> DataFrame:
     All columns but text stay as they are, whatever their names. Null texts stay null.
     """
 
-    def inside(p: Column, back: bool) -> Column:
+    def inside(data: Column, p: Column, back: bool) -> Column:
         """p moved to the nearest start of a character, at most three bytes."""
         step = -1 if back else 1
-        byte = [F.substring("data", p + 1 + step * i, 1) for i in range(4)]
+        byte = [F.substring(data, p + 1 + step * i, F.lit(1)) for i in range(4)]
         later = [F.when((b >= F.unhex(F.lit("80"))) & (b < F.unhex(F.lit("C0"))), i + 1).otherwise(0) for i, b in enumerate(byte)]
         moves = F.when(later[0] == 0, 0).when(later[1] == 0, 1).when(later[2] == 0, 2).otherwise(3)
         return (p + step * moves).cast("int")
 
-    found = repeated_spans(docs, length).filter("n_removed > 0").select("key", "spans")
+    def cut(data: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<binary>").alias("out"))
+
+        def step(state: Column, s: Column) -> Column:
+            lo, hi = inside(data, s["lo"].cast("int"), False), F.greatest(inside(data, s["hi"].cast("int"), True), state["at"])
+            left = F.substring(data, state["at"] + 1, F.greatest(lo - state["at"], F.lit(0)))
+            return F.struct(F.greatest(hi, lo).alias("at"), F.array_append(state["out"], left).alias("out"))
+
+        def joined(done: Column) -> Column:
+            rest = F.substring(data, done["at"] + 1, F.octet_length(data)).cast("string")
+            return F.concat(F.array_join(F.transform(done["out"], lambda b: b.cast("string")), ""), rest)
+
+        return F.transform(F.array(F.aggregate("spans", start, step)), joined)[0]
+
+    found = repeated_spans(docs, length, whole=False).filter("n_removed > 0").select("key", "spans")
     # The row's own columns stay apart in a struct, so that none clashes with the names used here.
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(whole, F.unhex(F.md5("text")).alias("key"), F.col("text").cast("binary").alias("data")).join(found, "key", "left")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<binary>").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        lo, hi = inside(s["lo"].cast("int"), False), F.greatest(inside(s["hi"].cast("int"), True), state["at"])
-        left = F.substring("data", state["at"] + 1, F.greatest(lo - state["at"], F.lit(0)))
-        return F.struct(F.greatest(hi, lo).alias("at"), F.array_append(state["out"], left).alias("out"))
-
-    done = F.aggregate("spans", start, step)
-    text = F.concat(F.array_join(F.transform(done["out"], lambda b: b.cast("string")), ""), F.substring("data", done["at"] + 1, F.octet_length("data")).cast("string"))
-    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(text)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.unhex(F.md5("text")).alias("key")).join(found, "key", "left")
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(F.transform(F.array(F.col("row.text").cast("binary")), cut)[0])
     return rows.select(*[(text if c.lower() == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
