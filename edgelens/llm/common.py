@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy kernel works on at once; a longer text makes a slice of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 #: The folders (and ``table:`` names) that are taken inside ``gathered``.
@@ -82,16 +82,22 @@ def drop(*tables: DataFrame) -> None:
             free(t.sparkSession, [folder])
 
 
+#: Rows that go to a Python worker at once, where rows hold texts: some MB.
+TEXTS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 @contextlib.contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what is written inside go as soon as it is written; what is read later comes from the table."""
-    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "true")
+    """Shuffle files of what is written inside go as soon as it is written; what is read later comes from the table. Texts meet Python in batches of TEXTS."""
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", TEXTS[0]: TEXTS[1]}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(setting, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:

@@ -33,6 +33,9 @@ HOT_SHARE = 20_000
 #: Members of a group that are paired one by one; larger groups are compared in blocks of BLOCK.
 FEW, BLOCK = 64, 256
 
+#: Bytes of texts that are confirmed together.
+PAIR_BYTES = 1 << 23
+
 SIGNATURE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
 
@@ -85,8 +88,10 @@ def _postings(classes: DataFrame, size: int, percent: int) -> DataFrame:
     """(value, cid, n) of the rarest values of each class; n is the size of its set."""
     n = classes.count()
     floor = max(50, n // HOT_SHARE)
-    rows = classes.select(F.explode("sketch").alias("value")).groupBy("value").count().filter(F.col("count") >= floor).collect()  # at most n * size / floor <= size * HOT_SHARE
-    hot = np.array(sorted((r["value"], r["count"]) for r in rows), np.int64).reshape(-1, 2)
+    rows = classes.select(F.explode("sketch").alias("value")).groupBy("value").count().filter(F.col("count") >= floor)
+    found = rows.toArrow()  # at most n * size / floor <= size * HOT_SHARE rows, 20 MB
+    hot = np.stack([found.column(c).to_numpy() for c in ("value", "count")], 1)
+    hot = hot[np.argsort(hot[:, 0])]
     shared = classes.sparkSession.sparkContext.broadcast(hot)
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +130,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, min(4096, (1 << 26) // max(1, batch.nbytes // max(1, batch.num_rows))))
+            step = max(1, min(4096, PAIR_BYTES // max(1, batch.nbytes // max(1, batch.num_rows))))
             for lo in range(0, batch.num_rows, step):
                 part = batch.slice(lo, step)
                 texts = pa.chunked_array([part.column("ta"), part.column("tb")]).combine_chunks().dictionary_encode()  # a text that is in many pairs is cut into shingles once

@@ -175,24 +175,24 @@ def identify(docs: DataFrame) -> DataFrame:
         langs, symbols, tables = shared.value
         known = Model(langs, symbols, [Table(*t) for t in tables])
         for batch in batches:
-            for lo, hi, data, offsets in byte_slices(batch.column("__text")):
+            for lo, hi, data, offsets in byte_slices(batch.column(at)):
                 bits = code_lengths(known, data, offsets)
                 best = bits.argmin(1)
                 sizes = np.diff(offsets)
                 scale = np.minimum(32, sizes) / np.maximum(1, sizes)
                 share = 1 / np.exp2((bits.min(1, keepdims=True) - bits) * scale[:, None]).sum(1)
                 own = bits[np.arange(len(best)), best] / np.maximum(1, sizes)
-                letters = batch.column("__letters").slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
+                letters = batch.column("letters").slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
                 pred = [known.langs[b] if x else "und" for b, x in zip(best.tolist(), letters.tolist(), strict=True)]
-                names = [c for c in batch.schema.names if c not in ("__text", "__letters")]
+                names = batch.schema.names[:-1]
                 cols = [batch.column(c).slice(lo, hi - lo) for c in names]
                 cols += [pa.array(pred, pa.string()), pa.array(np.where(letters, share, 0.0)), pa.array(np.where(letters, own, 0.0))]
                 yield pa.record_batch(cols, names=[*names, "lang_pred", "score", "bits_per_byte"])
 
-    rows = docs.select(*kept, held)
-    names = rows.columns
-    plain = rows.toDF(*[f"c{i}" for i in range(len(names))])
-    text = docs.select(*kept, held, F.col("text").alias("__text"), F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("__letters")).toDF(*plain.columns, "__text", "__letters")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
-    out = text.mapInArrow(predict, f"{schema}, lang_pred string, score double, bits_per_byte double")
+    names = docs.select(*kept, held).columns
+    plain = [f"c{i}" for i in range(len(names))]
+    at = next(i for i, c in enumerate(names) if c.lower() == "text")
+    rows = docs.select(*kept, held, F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letters")).toDF(*plain, "letters")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    out = rows.mapInArrow(predict, f"{schema}, lang_pred string, score double, bits_per_byte double")
     return out.toDF(*names, "lang_pred", "score", "bits_per_byte")
