@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgelens.llm import minhash, packing, ppm, secrets, suffix
-from edgelens.llm.common import drop, free, gathered, written
+from edgelens.llm.common import TEXTS, drop, free, gathered, written
 
 #: Bits a byte beyond which no language's model fits a text better than chance.
 CHANCE = 8.0
@@ -29,6 +29,7 @@ def stage(work: Stage) -> Stage:
     def called(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         left = _LEFT.setdefault(id(spark), [])
         free(spark, left)
+        spark.conf.set(*TEXTS)  # for what a stage returns, as for what it writes itself
         with gathered() as held:
             out = work(spark, docs, sf_dir)
         left.extend(held)
