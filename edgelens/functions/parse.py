@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from edgelens.schema import JSON_LINE, RECORD_NAMES
 
-# The combined format (not anchored at its end) and the two time formats.
+# The combined format (not anchored at its end) and the two time formats. White space and digits are
+# spelt out, as Java's \S leaves out U+000B too and its \d may take other digits.
 COMBINED = r'^([^\t\n\f\r ]+) [^\t\n\f\r ]+ [^\t\n\f\r ]+ \[([^\]]+)\] "([^\t\n\f\r ]+) ([^"]*?) [^"]*" ([0-9]{3}) ([^\t\n\f\r ]+) "([^"]*)" "([^"]*)"'
 NGINX_TIME = "dd/MMM/yyyy:HH:mm:ss Z"
 RFC3339 = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}([.,][0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})\z"
@@ -27,6 +28,27 @@ def first_forwarded(header: Column) -> Column:
     return F.when((F.coalesce(header, F.lit("")) == "") | (header == "-") | (one == ""), None).otherwise(one)
 
 
+def client_ip(real: Column, forwarded: Column, peer: Column) -> Column:
+    """The client of a request: X-Real-IP, else the first of X-Forwarded-For, else the host of the peer's ``host:port``.
+
+    Headers that are null or empty count as absent; one of blanks alone gives an empty text. A peer without a port stays.
+    """
+    host = F.regexp_extract(peer, r"\A(?:\[([^\[\]]*)\]|([^:\[\]]*)):[^:]*\z", 1)
+    plain = F.regexp_extract(peer, r"\A([^:\[\]]*):[^:\[\]]*\z", 1)
+    by_peer = F.when(peer.rlike(r"\A\[[^\[\]]*\]:[^:\[\]]*\z"), host).when(peer.rlike(r"\A[^:\[\]]*:[^:\[\]]*\z"), plain).otherwise(peer)
+    first = F.btrim(F.split(forwarded, ",")[0], F.lit(BLANK))
+    return F.when(F.coalesce(real, F.lit("")) != "", F.btrim(real, F.lit(BLANK))).when(F.coalesce(forwarded, F.lit("")) != "", first).otherwise(by_peer)
+
+
+# The layouts of a time argument in the order in which they are tried, the first three with a zone.
+SINCE = ("dd/MM/yyyy:HH:mm:ss Z", "dd/MMM/yyyy:HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "dd/MM/yyyy:HH:mm:ss", "dd/MM/yyyy", "dd/MMM/yyyy:HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
+
+
+def since(text: Column) -> Column:
+    """The time that an argument names in one of SINCE, null where it is none; without a zone in the session's."""
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(layout)) for layout in SINCE])
+
+
 def path_of(target: Column) -> Column:
     return F.substring_index(target, "?", 1)
 
@@ -54,8 +76,10 @@ def parse_lines(lines: DataFrame, ingest_ts: Column) -> DataFrame:
     trimmed = F.btrim(value, F.lit(BLANK))
     looks = trimmed.startswith("{") & trimmed.endswith("}")
     options = {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"}
-    fields = F.split(F.regexp_replace(value, f"(?s){COMBINED}.*", "$1\n$2\n$3\n$4\n$5\n$6\n$7\n$8"), "\n")
-    both = F.struct(F.when(looks, F.from_json(value, f"{JSON_LINE}, _bad string", options)).alias("j"), F.when(value.rlike(COMBINED), fields).alias("c"))
+    # The pattern runs once a line: a line that it doesn't match comes back as it was.
+    replaced = F.regexp_replace(value, f"(?s){COMBINED}.*", "$1\n$2\n$3\n$4\n$5\n$6\n$7\n$8")
+    fields = F.transform(F.array(replaced), lambda r: F.when(r != value, F.split(r, "\n")))[0]
+    both = F.struct(F.when(looks, F.from_json(value, f"{JSON_LINE}, _bad string", options)).alias("j"), fields.alias("c"))
     rows = lines.select("*", F.inline(F.array(both)))  # a generator, so that a line is parsed once and not for each field
     json_ok = F.coalesce(F.col("j").isNotNull() & F.col("j._bad").isNull() & (F.coalesce("j.uri", F.lit("")) != "") & (F.coalesce("j.status", F.lit(0)) != 0), F.lit(False))
     rows = rows.withColumn("json_ok", json_ok).filter(F.col("json_ok") | F.col("c").isNotNull())

@@ -6,9 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 from pyspark.sql.window import Window
 
 from edgelens.functions.parse import status_class
+from edgelens.operators.fold import folded
 from edgelens.operators.series import dense_minutes
 
 
@@ -46,8 +48,7 @@ def latest(cube: DataFrame) -> DataFrame:
 def _in_window(cube: DataFrame, window_s: int, now: Column | None = None) -> DataFrame:
     """Hits of the minutes in (now - window, now], now being the last minute with data unless given."""
     if now is None:
-        at = cube.sparkSession.createDataFrame([tuple(latest(cube).first())], "now timestamp").first()["now"]
-        now = F.lit(at)
+        now = F.timestamp_seconds(F.lit(latest(cube).select(F.unix_seconds("now")).first()[0]).cast("long"))
     low = F.timestamp_seconds(F.floor((F.unix_seconds(now) - window_s) / 60) * 60)
     return cube.filter((F.col("minute") > low) & (F.col("minute") <= F.date_trunc("minute", now)))
 
@@ -89,8 +90,10 @@ def anomaly_backtest(cube: DataFrame, config: AnomalyConfig = AnomalyConfig(), m
     empty = "scope string, label string, minute timestamp, baseline_minutes long, mean double, stddev double, rate double, samples long, upper double, fires boolean"
     if span["b"] is None:
         return cube.sparkSession.createDataFrame([], empty)
-    end = F.timestamp_seconds(F.lit(span["b"]))
-    dense = dense_minutes(cube, end, (span["b"] - span["a"]) // 60 + 1).withColumn("s", F.unix_seconds("minute"))
+    end, whole = F.timestamp_seconds(F.lit(span["b"])), (span["b"] - span["a"]) // 60 + 1
+    if minutes is not None:  # no more of the past than the last minutes' baselines need
+        whole = min(whole, minutes + config.eval_min + max(5, config.baseline_min))
+    dense = dense_minutes(cube, end, whole).withColumn("s", F.unix_seconds("minute"))
     each = dense.select("scope", "minute", "s", "total", F.explode(F.array(F.struct(F.lit("5xx").alias("label"), F.col("c5xx").alias("hit")), F.struct(F.lit("4xx").alias("label"), F.col("c4xx").alias("hit")))).alias("x")).select("scope", "minute", "s", "total", "x.*")
     base = max(5, config.baseline_min)
     by = Window.partitionBy("scope", "label").orderBy("s")
@@ -111,17 +114,16 @@ def anomaly_backtest(cube: DataFrame, config: AnomalyConfig = AnomalyConfig(), m
 def cooled(fired: DataFrame, keys: list[str], time: str, cooldown_s: int) -> DataFrame:
     """The rows that are sent: of each key in time order, those that don't come within the cooldown of the one sent before.
 
-    A fold over each key's sorted times, which are as many as its alerts.
+    Rows of one key and time are sent together. A fold over each key's rows; those with a null key are not sent.
     """
-    times = fired.groupBy(*keys).agg(F.array_sort(F.collect_set(F.unix_seconds(time))).alias("times"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("sent"))
 
-    def step(state: Column, t: Column) -> Column:
-        send = state["last"].isNull() | (t - state["last"] >= cooldown_s)
-        return F.struct(F.when(send, t).otherwise(state["last"]).alias("last"), F.when(send, F.concat(state["sent"], F.array(t))).otherwise(state["sent"]).alias("sent"))
+    def step(state: tuple, t: int) -> tuple[tuple, bool]:
+        (last,) = state
+        send = last is None or t == last or t - last >= cooldown_s
+        return (t if send else last,), send
 
-    sent = times.select(*keys, F.explode(F.aggregate("times", start, step)["sent"]).alias("_t"))
-    return fired.withColumn("_t", F.unix_seconds(time)).join(sent, [*keys, "_t"], "left_semi").drop("_t")
+    at = F.unix_seconds(time)
+    return folded(fired.filter(F.col(time).isNotNull()), keys, [at], [at], (None,), step, "_sent", BooleanType()).filter("_sent").drop("_sent")
 
 
 def routed(alerts: DataFrame, enabled: list[str]) -> DataFrame:

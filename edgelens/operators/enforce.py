@@ -1,17 +1,20 @@
 """Bans, token buckets and the decision on each request, as folds over each ip's requests in time order.
 
-A fold reads one ip's sorted requests one by one with state of constant size, as the streaming forms in
-``edgelens.streaming`` do. All requests of an ip go through one task.
+A fold reads one ip's sorted requests one by one with state of constant size; ``edgelens.streaming.ingest.token_bucket``
+is the streaming form of ``rate_limited``. All requests of an ip go through one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import BooleanType, StringType
+
+from edgelens.operators.alerts import cooled
+from edgelens.operators.fold import folded
+
+#: Score from which a line of the log bans its ip.
+LINE_SCORE = 15
 
 
 def bans(requests: DataFrame, seconds: int) -> DataFrame:
@@ -33,25 +36,20 @@ def unblocked(requests: DataFrame, held: DataFrame) -> DataFrame:
     return requests.join(held.select("ip", "expires"), "ip", "left").filter(F.col("expires").isNull() | (F.col("ts") >= F.col("expires"))).drop("expires")
 
 
-def folded(requests: DataFrame, start: tuple, step: Callable[[tuple, float | None, bool | None], tuple[tuple, str]], order: list[str]) -> DataFrame:
-    """ip, the first of ``order`` and decision of each request whose ip isn't null: what ``step`` gives of the ip's state, time in seconds and block."""
-    block = "block" if "block" in order else F.lit(None).cast("boolean").alias("block")
-    rows = requests.filter(F.col("ip").isNotNull()).select("ip", order[0], (F.unix_micros("ts") / 1e6).alias("t"), block)
-    rows = rows.repartition("ip").sortWithinPartitions("ip", "t", *order)
-    fields = rows.schema
+def line_bans(scored: DataFrame, seconds: int, threshold: int = LINE_SCORE, order: str = "event_id") -> DataFrame:
+    """ip, ts, reason and expires of the bans that lines of the log bring about, from lines (ip, ts, score, order).
+
+    A line counts from ``threshold`` on, whether its rules block or not; lines of an ip that is banned at their time are
+    passed over, so a ban is not prolonged.
+    """
+    bad = scored.filter((F.col("score") >= threshold) & (F.coalesce("ip", F.lit("")) != "") & F.lit(seconds > 0))
+    first = bad.groupBy("ip", "ts").agg(F.min(order).alias(order))
+    held = cooled(first, ["ip"], "ts", seconds)
+    return held.select("ip", "ts", order, F.lit("observer").alias("reason"), F.timestamp_seconds(F.unix_seconds("ts") + seconds).alias("expires"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = None, start
-        for batch in batches:
-            out = []
-            for ip, t, x in zip(*[batch.column(c).to_pylist() for c in ("ip", "t", "block")], strict=True):
-                if ip != last:
-                    last, state = ip, start
-                state, what = step(state, t, x)
-                out.append(what)
-            yield pa.record_batch([batch.column("ip"), batch.column(order[0]), pa.array(out, pa.string())], names=["ip", order[0], "decision"])
 
-    return rows.mapInArrow(run, StructType([fields["ip"], fields[order[0]]]).add("decision", StringType()))
+def _seconds() -> Column:
+    return F.unix_micros("ts") / 1e6
 
 
 def rate_limited(requests: DataFrame, rate: float, burst: float, order: str = "event_id") -> DataFrame:
@@ -60,13 +58,13 @@ def rate_limited(requests: DataFrame, rate: float, burst: float, order: str = "e
         return requests.withColumn("allowed", F.lit(True))
     burst = max(1.0, float(burst))
 
-    def step(state: tuple, t: float | None, block: bool | None) -> tuple[tuple, str]:
+    def step(state: tuple, t: float | None) -> tuple[tuple, bool]:
         tokens, last = state
         have = min(burst, tokens + (0.0 if t is None or last is None else t - last) * rate)
-        return (have - (1.0 if have >= 1 else 0.0), t), "allowed" if have >= 1 else "limited"
+        return (have - (1.0 if have >= 1 else 0.0), t), have >= 1
 
-    allowed = folded(requests, (burst, None), step, [order]).filter("decision = 'allowed'").select("ip", order, F.lit(True).alias("allowed"))
-    return requests.join(allowed, ["ip", order], "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+    found = folded(requests, ["ip"], [_seconds(), F.col(order)], [_seconds()], (burst, None), step, "allowed", BooleanType())
+    return found.withColumn("allowed", F.coalesce("allowed", F.lit(False)))
 
 
 def decisions(scored: DataFrame, rate: float, burst: float, ban_s: int, enforce: bool, order: str = "event_id") -> DataFrame:
@@ -88,8 +86,8 @@ def decisions(scored: DataFrame, rate: float, burst: float, ban_s: int, enforce:
             until = max(until, t + float(ban_s))
         return (have - (0.0 if limited else 1.0), t, until), what
 
-    found = folded(scored, (burst, None, float("-inf")), step, [order, "block"])
-    return scored.join(found, ["ip", order])
+    found = folded(scored, ["ip"], [_seconds(), F.col(order), F.col("block")], [_seconds(), F.col("block")], (burst, None, float("-inf")), step, "decision", StringType())
+    return found.filter(F.col("ip").isNotNull())
 
 
 def metrics(decided: DataFrame) -> DataFrame:

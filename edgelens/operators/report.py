@@ -65,6 +65,21 @@ def rows(failed: DataFrame, columns: list[str], which: ReportFilter = ReportFilt
     return some.select(stamp(F.col("ts"), F.col("tz_offset_s")).alias("date"), "ip", "status", "method", F.col("template").alias("endpoint"), *[shown(F.col("query"), k).alias(k) for k in columns])
 
 
+def total(failed: DataFrame, which: ReportFilter = ReportFilter()) -> DataFrame:
+    """One row: how many failures a report has before its limit."""
+    return failed.filter(which.column()).agg(F.count("*").alias("total"))
+
+
+def as_json(table: DataFrame) -> DataFrame:
+    """A table's rows as JSON texts (column json); nulls are written."""
+    return table.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in table.columns]), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def write_json(table: DataFrame, path: str) -> None:
+    """A table of any size as files of JSON lines."""
+    table.write.json(path, ignoreNullFields=False)
+
+
 def to_csv(table: DataFrame) -> str:
     """A report, limited as it is, as CSV text with a header."""
     out = io.StringIO()

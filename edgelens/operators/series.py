@@ -53,6 +53,10 @@ def dense_minutes(cube: DataFrame, end: Column, minutes: int, scopes: DataFrame
     both = cube.withColumn("scope", F.explode(F.array(F.lit(""), F.col("site"))))
     scopes = both.select("scope").distinct() if scopes is None else scopes
     sums = both.groupBy("scope", "minute").agg(*counts())
-    spine = scopes.withColumn("minute", F.explode(F.sequence(F.timestamp_seconds(F.unix_seconds(last) - 60 * (minutes - 1)), last, F.expr("interval 1 minute"))))
+    # Days first, then the minutes of each, so that no array grows with the span.
+    day = F.explode(F.sequence(F.lit(0), F.lit((minutes - 1) // 1440)))
+    back = F.explode(F.sequence(F.lit(0), F.least(F.lit(1439), F.lit(minutes - 1) - F.col("day") * 1440)))
+    spine = scopes.withColumn("day", day).withColumn("back", back)
+    spine = spine.select(*scopes.columns, F.timestamp_seconds(F.unix_seconds(last) - 60 * (F.col("day").cast("long") * 1440 + F.col("back"))).alias("minute"))
     rows = spine.join(sums, ["scope", "minute"], "left")
     return rows.select("scope", "minute", *[F.coalesce(n, F.lit(0)).alias(n) for n in ["total", *[f"c{i}xx" for i in range(1, 6)]]])

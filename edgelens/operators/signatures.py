@@ -58,6 +58,11 @@ def load_rules(path: str) -> list[Rule]:
     return out
 
 
+def rule_count(rules: tuple[Rule, ...] | list[Rule] = RULES) -> int:
+    """How many of the rules are on."""
+    return sum(r.enabled is not False for r in rules)
+
+
 def canonical(requests: DataFrame) -> DataFrame:
     """Adds r_path, r_query, r_ua, r_referer, r_cookie, r_body, r_uri and r_any: decoded once, in lower case.
 

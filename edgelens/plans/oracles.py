@@ -79,7 +79,7 @@ def _anomaly(sensitivity: float, tail: str) -> str:
 
 _PAIRS = r"""unnest(list_distinct(list_transform(list_filter(string_split({q}, '&'), lambda p: p <> '' and not contains(p, ';')), lambda p: url_decode(replace(string_split(p, '=')[1], '+', ' ')))))"""
 _REQ = """req as (select conv_id, turn, '/search' as path, concat_ws('&', case turn % 5 when 1 then 'id=1+union+all+select+name' when 2 then 'q=%3Cscript%3Ealert(1)' when 3 then 'f=..%2F..%2Fetc%2Fpasswd' else '' end, text) as query,
-  case when conv_id % 7 = 0 then 'sqlmap/1.8' else 'Mozilla/5.0' end as ua from conversations where text is not null),
+  case when conv_id % 7 = 0 then 'sqlmap/1.8' else 'Mozilla/5.0' end as ua from conversations),
 canon as (select conv_id, turn, path as p, lower(case when regexp_matches(query, '%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)') then query else url_decode(replace(query, '+', ' ')) end) as q, lower(ua) as ua from req),
 cu as (select *, p || case when q = '' then '' else '?' || q end as u, concat_ws(chr(10), p, q, ua, '', '', '') as a from canon)"""
 
@@ -90,22 +90,60 @@ def _rule(targets: list[str], words: list[str], regex: str = "") -> str:
     return f"({has('a')} and ({' or '.join(f'({t} <> $$$$ and {hit(t)})' for t in targets)}))"
 
 
-def _verdicts() -> str:
-    from edgelens.operators.signatures import RULES
-
-    columns = {"query": "q", "uri": "u", "path": "p", "any": "a", "user_agent": "ua"}
-    parts = []
-    for r in RULES:
-        test = _rule([columns[t] for t in r.targets if t in columns], [w.replace("'", "''") for w in r.keywords], r.regex.replace("'", "''"))
-        parts.append(f"case when {test} then {{'id': '{r.id}', 's': {r.severity}, 'b': {str(r.action == 'block').lower()}}} end")
-    found = f"list_filter([{', '.join(parts)}], lambda m: m is not null)"
-    return f"""with {_REQ}, m as (select conv_id, turn, {found} as ms from cu),
-v as (select conv_id, turn, array_to_string(list_transform(ms, lambda m: m.id), ',') as matches, cast(coalesce(list_sum(list_transform(ms, lambda m: m.s)), 0) as int) as score, len(list_filter(ms, lambda m: m.b)) > 0 as flagged from ms_ )"""
+# The shipped rules, written out here too, so that a wrong one in the code shows: id, severity, whether it
+# blocks, targets, keywords, pattern.
+_SIGNATURES = [
+    ("SQLI-001", 10, False, "q u", ["union", "select"], r"union[\s\S]{0,40}select"),
+    ("SQLI-002", 6, False, "q u", ["or ", "and "], r"""(or|and)\s+['"]?\w+['"]?\s*=\s*['"]?\w+"""),
+    ("SQLI-003", 8, False, "q u", ["sleep(", "benchmark(", "waitfor delay", "information_schema", "load_file(", "pg_sleep("], ""),
+    ("XSS-001", 6, False, "q u", ["<script", "javascript:", "onerror=", "onload=", "onmouseover="], r"<script|javascript:|on(error|load|mouseover|focus)\s*="),
+    ("XSS-002", 5, False, "q u", ["<img", "<svg", "<iframe", "<body"], r"<(img|svg|iframe|body)[^>]{0,60}on\w+\s*="),
+    ("TRAV-001", 6, False, "p q u", ["../", "..\\"], r"\.\./|\.\.\\"),
+    ("FILE-001", 8, False, "p u q", ["/etc/passwd", "/etc/shadow", "wp-config.php", "/.env", "/.git/", "web.config", "id_rsa"], ""),
+    ("CMDI-001", 8, False, "q u", ["/bin/bash", "/bin/sh", ";cat ", "|nc ", "$(", "&&curl", "&&wget", "wget http", "curl http"], ""),
+    ("RFI-001", 8, False, "q u", ["php://", "data://", "file://", "expect://", "phar://"], ""),
+    ("LOG4J-001", 10, True, "a", ["${jndi:", "jndi:ldap", "jndi:rmi", "jndi:dns"], ""),
+    ("SCAN-001", 10, True, "ua", ["sqlmap", "nikto", "nessus", "masscan", "nmap", "dirbuster", "gobuster", "wpscan", "acunetix", "fimap", "havij", "arachni", "zgrab"], ""),
+]
 
 
 def _verdict(select: str) -> str:
-    return _verdicts().replace("from ms_ )", "from m)").replace("flagged from", "flagged from") + f" {select}"
-
+    parts = []
+    for name, severity, block, targets, words, regex in _SIGNATURES:
+        test = _rule(targets.split(), words, regex.replace("'", "''"))
+        parts.append(f"case when {test} then {{'id': '{name}', 's': {severity}, 'b': {str(block).lower()}}} end")
+    found = f"list_filter([{', '.join(parts)}], lambda m: m is not null)"
+    return f"""with recursive {_REQ}, m as (select conv_id, turn, {found} as ms from cu),
+v as (select conv_id, turn, array_to_string(list_transform(ms, lambda m: m.id), ',') as matches, cast(coalesce(list_sum(list_transform(ms, lambda m: m.s)), 0) as int) as score, len(list_filter(ms, lambda m: m.b)) > 0 as flagged from m)
+{select}"""
+
+
+def _cooled(rows: str, keys: str, seconds: int) -> str:
+    """CTEs sent_i and sent: the rows (keys, s) of ``rows`` that a cooldown lets through, by recursion over each key's times."""
+    same = " and ".join(f"w.{k} = r.{k}" for k in keys.split(", "))
+    wk = ", ".join(f"w.{k}" for k in keys.split(", "))
+    return f"""times as (select {keys}, s, row_number() over (partition by {keys} order by s) as i from (select distinct {keys}, s from {rows})),
+  folds as (select {keys}, i, s, s as last, true as sent from times where i = 1
+    union all select {wk}, w.i, w.s, case when w.s - r.last >= {seconds} then w.s else r.last end, w.s - r.last >= {seconds} from folds r join times w on {same} and w.i = r.i + 1),
+  sent as (select {keys}, s from folds where sent)"""
+
+
+def _arrivals(body: str) -> str:
+    """CTE a: each ip's requests in order, i from 1, t in seconds; then the recursion over them."""
+    return f"""with recursive {_ACCESS}, a as (select event_id, ip, status, epoch_us(t) / 1e6 as s, row_number() over (partition by ip order by t, event_id) as i from access), {body}"""
+
+
+_BUCKET = "least(3.0::double, r.tokens + (a.s - r.last) * 0.01::double)"
+_RATE_LIMIT = _arrivals(f"""r as (select ip, i, event_id, s as last, 2.0::double as tokens, true as allowed from a where i = 1
+  union all select a.ip, a.i, a.event_id, a.s, {_BUCKET} - case when {_BUCKET} >= 1 then 1.0::double else 0.0::double end, {_BUCKET} >= 1 from r join a on a.ip = r.ip and a.i = r.i + 1)
+select event_id, ip, allowed from r""")
+_DECISION = _arrivals(f"""first as (select ip, i, event_id, s as last, 2.0::double as tokens, case when status = 500 then s + 600.0::double else -1e18::double end as until, case when status = 500 then 'blocked' else 'allowed' end as decision from a where i = 1),
+r as (select * from first
+  union all select ip, i, event_id, case when banned then last else s end, case when banned then tokens when have < 1 then have else have - 1.0::double end,
+    case when not banned and (have < 1 or status = 500) then greatest(until, s + 600.0::double) else until end,
+    case when banned then 'banned' when have < 1 then 'limited' when status = 500 then 'blocked' else 'allowed' end
+  from (select a.ip, a.i, a.event_id, a.s, a.status, r.last, r.tokens, r.until, a.s < r.until as banned, {_BUCKET} as have from r join a on a.ip = r.ip and a.i = r.i + 1))
+select event_id, ip, decision from r""")
 
 _FAILED = "failed as (select * from log where status >= 400)"
 
@@ -153,6 +191,17 @@ SQL: dict[str, str] = {
       select 'flood' as id, 'threshold' as kind, ip, 'ip_request_count' as metric, cast(n as double) as value, 5.0::double as threshold, 'flood: IP ' || ip || ' made ' || n || ' requests in 3600s (threshold 5)' as message from c where n >= 5"""),
     "anomaly_latest": _anomaly(3.0, "where minute = (select max(minute) from g)"),
     "anomaly_backtest": _anomaly(3.0, ""),
+    "alert_cooldown": _anomaly(0.5, "where false").replace("with access", "with recursive access", 1).replace("select scope, label, minute, baseline_minutes, round", f""", fired as (select *, minute as s from g where fires), {_cooled("fired", "scope, label", 300)}
+  select scope, label, minute, baseline_minutes, round""").replace("from g where false", "from fired semi join sent using (scope, label, s)"),
+    "rate_limit": _RATE_LIMIT,
+    "inspect_decision": _DECISION,
+    "log_line_bans": _verdict(f""", bad as (select '198.51.100.' || (conv_id % 50) as ip, cast(epoch(timestamp '2024-01-01') as bigint) + conv_id * 60 + turn * 10 as s, conv_id * 1000 + turn as line from v where score >= 15), {_cooled("bad", "ip", 900)}
+      select ip, s as ts, min(line) as line, 'observer' as reason, s + 900 as expires from bad semi join sent using (ip, s) group by ip, s"""),
+    "client_address": f"""with {_ACCESS} select event_id, case when event_id % 4 = 0 then ip when event_id % 4 = 1 then '203.0.113.' || (event_id % 200)
+      when event_id % 3 = 1 then '2001:db8::' || status else ip end as client from access""",
+    "since_argument": f"""with {_ACCESS}, s as (select event_id, cast(epoch(date_trunc('second', t)) as bigint) as s, cast(epoch(date_trunc('day', t)) as bigint) as d from access)
+      select event_id, case event_id % 10 when 0 then s - 7200 when 1 then s + 12600 when 4 then d when 8 then d when 9 then null else s end as since from s""",
+    "report_total": _log(f", {_FAILED} select count(*) as total from failed where status between 500 and 599 and ts >= timestamp '2024-01-01 00:10:00' and ts < timestamp '2024-01-01 00:59:00'"),
     "evict_retention": _log(f"select site, {_COUNTS}, {_RATES} from log where minute >= timestamp '2024-01-01 00:30:00' group by site"),
     "evict_lru_ips": _log(f"select ip, count(*) as total, {_epoch('max(ts)')} as last_ts from log group by ip order by max(ts) desc, ip limit 100"),
     "request_normalize": f"with {_REQ} select conv_id, turn, md5(a) as any_md5, md5(u) as uri_md5 from cu",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgelens.functions import normalize, query_string
-from edgelens.functions.parse import parse_lines, path_of, query_of
+from edgelens.functions.parse import client_ip, parse_lines, path_of, query_of, since
 from edgelens.operators import alerts, enforce, report, rollup, series, signatures
 from edgelens.sources import testlog
 from edgelens.sources.tables import stored
@@ -233,7 +233,7 @@ def evict_lru_ips(spark, sf_dir):
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request for each turn of a conversation, with its text as the query string, and some texts turned into attacks by turn."""
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("text is not null")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     attack = F.when(F.col("turn") % 5 == 1, "id=1+union+all+select+name").when(F.col("turn") % 5 == 2, "q=%3Cscript%3Ealert(1)").when(F.col("turn") % 5 == 3, "f=..%2F..%2Fetc%2Fpasswd").otherwise("")
     return rows.select("conv_id", "turn", F.lit("/search").alias("path"), F.concat_ws("&", attack, "text").alias("query"), F.when(F.col("conv_id") % 7 == 0, "sqlmap/1.8").otherwise("Mozilla/5.0").alias("ua"))
 
@@ -293,3 +293,38 @@ def page_query_keys(spark, sf_dir):
     q = query_of(F.split("url", "#")[0])
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.lit(404).alias("status"), q.alias("query"))
     return report.keys(rows)
+
+
+@query
+def log_line_bans(spark, sf_dir):
+    """Each conversation's turns as lines of one of 50 ips, ten seconds apart."""
+    rows = requests(spark, sf_dir).withColumns({
+        "ip": F.concat(F.lit("198.51.100."), (F.col("conv_id") % 50).cast("string")), "line": F.col("conv_id") * 1000 + F.col("turn"),
+        "ts": F.timestamp_seconds(F.unix_seconds(ts("2024-01-01 00:00:00")) + F.col("conv_id") * 60 + F.col("turn") * 10),
+    })
+    return named(enforce.line_bans(signatures.verdicts(rows), 900, order="line"))
+
+
+@query
+def client_address(spark, sf_dir):
+    """Requests with the headers that proxies set, or some of them, or none."""
+    rows = arrivals(spark, sf_dir)
+    real = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit(" "), "ip", F.lit("\t"))).when(F.col("event_id") % 4 == 1, "")
+    forwarded = F.when(F.col("event_id") % 4 <= 1, F.concat(F.lit(" 203.0.113."), (F.col("event_id") % 200).cast("string"), F.lit(" , 192.0.2.1"))).when(F.col("event_id") % 8 == 2, "")
+    peer = F.when(F.col("event_id") % 3 == 0, F.concat("ip", F.lit(":4711"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("[2001:db8::"), "status", F.lit("]:80"))).otherwise(F.col("ip"))
+    return rows.select("event_id", client_ip(real, forwarded, peer).alias("client"))
+
+
+@query
+def since_argument(spark, sf_dir):
+    """Each event's time in one of the nine layouts, or in none of them."""
+    layouts = ["dd/MM/yyyy:HH:mm:ss '+0200'", "dd/MMM/yyyy:HH:mm:ss '-0330'", "yyyy-MM-dd'T'HH:mm:ss'Z'", "dd/MM/yyyy:HH:mm:ss", "dd/MM/yyyy", "dd/MMM/yyyy:HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"]
+    text = F.lit("yesterday")
+    for i, layout in enumerate(layouts):
+        text = F.when(F.col("event_id") % 10 == i, F.date_format("t", layout)).otherwise(text)
+    return testlog.access(spark, sf_dir).select("event_id", F.unix_seconds(since(text)).alias("since"))
+
+
+@query
+def report_total(spark, sf_dir):
+    return report.total(failed(spark, sf_dir), report.ReportFilter(classes=(5,), start="2024-01-01 00:10:00", end="2024-01-01 00:59:00"))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-#: Bytes that one task reads; longer lines than LINE are left out.
+#: Bytes that one task reads; longer lines than LINE are left out unless the option maxline says otherwise.
 CHUNK, LINE = 64 << 20, 1 << 20
 
 
@@ -34,15 +34,15 @@ def last_line_end(path: str, start: int) -> int:
 class TailReader(DataSourceStreamReader):
     """Offsets are {path: bytes read}. A file that became shorter than its offset was replaced and is read from its start."""
 
-    def __init__(self, pattern: str, site: str):
-        self.pattern, self.site = pattern, site
+    def __init__(self, pattern: str, site: str, line: int = LINE, at_end: bool = False):
+        self.pattern, self.site, self.line, self.at_end = pattern, site, line, at_end
 
     def _paths(self) -> list[str]:
         at = self.pattern if not os.path.isdir(self.pattern) else os.path.join(self.pattern, "*")
         return sorted(p for p in glob.glob(at) if os.path.isfile(p) and not p.endswith(".gz"))
 
     def initialOffset(self) -> dict:
-        return {}
+        return self.latestOffset() if self.at_end else {}
 
     def latestOffset(self) -> dict:
         return {p: last_line_end(p, 0) for p in self._paths()}
@@ -65,7 +65,7 @@ class TailReader(DataSourceStreamReader):
                 line = f.readline()
                 if not line.endswith(b"\n"):
                     return
-                if len(line) <= LINE:
+                if not self.line or len(line) <= self.line:
                     yield line.rstrip(b"\r\n").decode("utf-8", "replace"), self.site, partition.path
 
     def commit(self, end: dict) -> None:
@@ -75,7 +75,9 @@ class TailReader(DataSourceStreamReader):
 class TailSource(DataSource):
     """``spark.readStream.format("logtail").option("site", "shop").load("/var/log/nginx/access.log")``.
 
-    The path is a file, a folder or a glob that every executor can read; gzip archives are left to batch reads.
+    The path is a file, a folder or a glob that every executor can read; gzip archives are left to batch reads. Options:
+    ``maxline`` (bytes of the longest line that is kept; 0: any), ``start`` (``end`` leaves out what the files hold when
+    the stream starts for the first time).
     """
 
     @classmethod
@@ -87,4 +89,4 @@ class TailSource(DataSource):
 
     def streamReader(self, schema) -> TailReader:
         pattern = self.options["path"]
-        return TailReader(pattern, self.options.get("site") or pattern)
+        return TailReader(pattern, self.options.get("site") or pattern, int(self.options.get("maxline") or LINE if self.options.get("maxline") != "0" else 0), self.options.get("start") == "end")

@@ -22,20 +22,51 @@ def records(lines: DataFrame, ingest_ts: Column, ignore: list[str] | None = None
 def ingest(lines: DataFrame, out: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None, trigger: dict | None = None, **options) -> StreamingQuery:
     """Start writing ``out``/hits and ``out``/failures from a stream of lines; ``after`` sees each batch's cube.
 
-    A batch that is run again overwrites its own folder, so no request counts twice. ``options`` go to ``records``.
+    A batch that is run again overwrites its own folder and takes the time of its first run for lines whose own can't be
+    read, so no request counts twice or moves. ``options`` go to ``records``.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = records(batch.select("value", "site"), F.current_timestamp(), **options)
-        cube = rollup.hits(rows)
-        cube.write.mode("overwrite").parquet(f"{out}/hits/batch={number}")
-        rollup.failures(rows).write.mode("overwrite").parquet(f"{out}/failures/batch={number}")
+        rows = records(batch.select("value", "site"), _arrival(batch.sparkSession, f"{out}/times/{number}"), **options).persist()
+        try:
+            rollup.hits(rows).write.mode("overwrite").parquet(f"{out}/hits/batch={number}")
+            rollup.failures(rows).write.mode("overwrite").parquet(f"{out}/failures/batch={number}")
+        finally:
+            rows.unpersist()
         if after:
             after(batch.sparkSession.read.parquet(f"{out}/hits/batch={number}"), number)
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "500 milliseconds"})).start()
 
 
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _arrival(spark: SparkSession, path: str) -> Column:
+    """The time at which a batch was run first, kept in a table of one row."""
+    at, files = _files(spark, f"{path}/_SUCCESS")
+    if not files.exists(at):
+        spark.range(1).select(F.unix_micros(F.current_timestamp()).alias("t")).write.mode("overwrite").parquet(path)
+    return F.timestamp_micros(F.lit(spark.read.schema("t long").parquet(path).first()["t"]))
+
+
+def evict_stored(spark: SparkSession, out: str, now: Column, retention_s: int) -> int:
+    """Deletes the folders of batches that hold nothing of the retention any more; how many went.
+
+    A batch that holds both stays as a whole, and ``rollup.evict`` leaves out its old minutes.
+    """
+    gone = 0
+    for name, time in (("hits", "last_ts"), ("failures", "ts")):
+        rows = spark.read.parquet(f"{out}/{name}")
+        cut = F.timestamp_seconds(F.unix_seconds(now) - retention_s)
+        for r in rows.groupBy("batch").agg(F.max(time).alias("last")).filter(F.date_trunc("minute", "last") < F.date_trunc("minute", cut)).select("batch").toLocalIterator():
+            at, files = _files(spark, f"{out}/{name}/batch={r['batch']}")
+            gone += bool(files.delete(at, True))
+    return gone
+
+
 def cube(spark: SparkSession, out: str) -> DataFrame:
     """The cube of all batches so far."""
     return rollup.merged(spark.read.parquet(f"{out}/hits").drop("batch"))
@@ -49,8 +80,8 @@ def compact(spark: SparkSession, out: str, to: str) -> None:
 def token_bucket(requests: DataFrame, rate: float, burst: float) -> DataFrame:
     """ip, ts, event_id and allowed of a stream of requests (ip, ts, event_id), with each ip's bucket as keyed state.
 
-    Requests of a micro-batch are taken in (ts, event_id) order. Buckets of ips that are idle for five minutes of
-    processing time are dropped; they would be full again where rate * 300 is burst or more.
+    Requests of a micro-batch are taken in (ts, event_id) order. The bucket of an ip that is idle for five minutes of
+    processing time, and until it is full again, is dropped.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -73,7 +104,7 @@ def token_bucket(requests: DataFrame, rate: float, burst: float) -> DataFrame:
             else:
                 allowed.append(True)
         state.update((tokens, last))
-        state.setTimeoutDuration(300_000)
+        state.setTimeoutDuration(max(300_000, int((size - tokens) / rate * 1000) + 1 if rate > 0 else 0))
         yield rows.assign(allowed=allowed)[["ip", "ts", "event_id", "allowed"]]
 
     schema = "ip string, ts timestamp, event_id long, allowed boolean"
