@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from edgelens.llm.common import byte_slices, byte_table, mix, written
+from edgelens.llm.common import byte_slices, byte_table, drop, mix, written
 
 #: Sentences of a span at least, most words of a sentence, and fewest words of a span.
 SIZE, WORDS, LEAST = 3, 12, 12
@@ -112,6 +113,28 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), batch.column("row").slice(lo, hi - lo), *lists], names=["doc_id", "row", "s", "hash", "size"])
 
 
+#: A span's first sentence and its number of sentences go as one number, so many bits for the latter.
+BITS = 20
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is left of each text without the sentences of its marked spans, and the numbers of sentences."""
+    for batch in batches:
+        s, marks = batch.column("s"), batch.column("marks")
+        first, edges = s.offsets.to_numpy(), marks.offsets.to_numpy()
+        mark = marks.values.to_numpy(zero_copy_only=False)[edges[0] : edges[-1]].astype(np.int64)
+        begin = np.repeat(first[:-1], np.diff(edges)) + (mark >> BITS)
+        change = np.zeros(len(s.values) + 1, np.int64)
+        np.add.at(change, begin, 1)
+        np.add.at(change, begin + (mark & ((1 << BITS) - 1)), -1)
+        stays = np.cumsum(change[:-1]) <= 0
+        before = np.concatenate([[0], np.cumsum(stays)])[first]
+        null = pa.array(s.is_null().to_numpy(zero_copy_only=False))
+        left = pa.ListArray.from_arrays(pa.array(before - before[0], pa.int32()), s.values.slice(first[0], first[-1] - first[0]).filter(pa.array(stays[first[0] : first[-1]])), mask=null)
+        sizes = np.diff(first).astype(np.int64)
+        yield pa.record_batch([batch.column("doc_id"), pc.binary_join(left, ""), pa.array(sizes), pa.array(sizes - np.diff(before))], names=["doc_id", "kept", "n_sentences", "n_removed"])
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, kept (what is left of the text), n_sentences and n_removed (sentences) of each row of ``docs`` (doc_id, text).
 
@@ -123,13 +146,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     lists = [StructField("s", ArrayType(StringType())), StructField("hash", ArrayType(BinaryType())), StructField("size", ArrayType(IntegerType()))]
     rows = written(rows.mapInArrow(_spans, StructType([rows.schema["doc_id"], rows.schema["row"], *lists])), "sentences")
     spans = rows.select("doc_id", "row", F.posexplode(F.arrays_zip("hash", "size")).alias("at", "span")).filter("span.size > 0")
-    spans = spans.select(F.col("span.hash").alias("hash"), "doc_id", "row", (F.col("at") + 1).alias("at"), F.col("span.size").alias("size"))
+    spans = spans.select(F.col("span.hash").alias("hash"), "doc_id", "row", "at", F.col("span.size").alias("size"))
     first = spans.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "at")).alias("first")).filter("n > 1").select("hash", "first.row", "first.at")
     first = written(first.toDF("hash", "first_row", "first_at"), "first")
-    gone = spans.drop("doc_id").join(first, "hash").filter("row != first_row or at != first_at").select("row", "at", "size")
-    marked = gone.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)))).alias("gone"))
-    out = rows.select("doc_id", "row", "s").join(written(marked, "marked"), "row", "left")
-    gone = F.coalesce("gone", F.array().cast("array<int>"))
-    left = F.filter("s", lambda x, i: ~F.array_contains(gone, i + 1))
-    count = F.when(F.col("s").isNull(), 0).otherwise(F.size("s"))
-    return out.select("doc_id", F.array_join(left, "").alias("kept"), count.cast("long").alias("n_sentences"), F.size(gone).cast("long").alias("n_removed"))
+    gone = spans.drop("doc_id").join(first, "hash").filter("row != first_row or at != first_at")
+    mark = F.shiftleft(F.col("at").cast("long"), BITS) + F.col("size")
+    marked = written(gone.select("row", mark.alias("mark")).groupBy("row").agg(F.collect_list("mark").alias("marks")), "marked")  # at most one a sentence
+    drop(first)
+    out = rows.select("doc_id", "row", "s").join(marked, "row", "left").select("doc_id", "s", F.coalesce("marks", F.array().cast("array<long>")).alias("marks"))
+    kinds = [StructField("kept", StringType()), StructField("n_sentences", LongType()), StructField("n_removed", LongType())]
+    return out.mapInArrow(_cut, StructType([rows.schema["doc_id"], *kinds]))
