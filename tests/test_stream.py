@@ -2,10 +2,10 @@ import gzip
 
 from pyspark.sql import functions as F
 
-from edgelens.operators import rollup
+from edgelens.operators import alerts, rollup
 from edgelens.sources.logs import probe, read_lines
 from edgelens.sources.tail import Range, TailReader, TailSource
-from edgelens.streaming import ingest
+from edgelens.streaming import alerting, ingest
 
 LINE = '10.0.0.{} - - [15/Jul/2026:13:04:05 +0000] "GET /api/users/{} HTTP/1.1" {} 512 "-" "curl/8"\n'
 
@@ -53,3 +53,38 @@ def test_gzip_and_probe(spark, tmp_path):
     lines = read_lines(spark, str(tmp_path), "s")
     row = probe(lines, ingest.records(lines, F.current_timestamp()))
     assert (row["lines"], row["parsed"], row["ok"], len(row["sample"])) == (2, 1, True, 2)
+
+
+def test_alert_ticks_cool_down_and_old_batches_go(spark, tmp_path):
+    log = tmp_path / "access.log"
+    spark.dataSource.register(TailSource)
+    out, at, sent = str(tmp_path / "out"), str(tmp_path / "at"), []
+    rules = [alerts.AlertRule("flood", metric="ip_request_count", window_s=3600, threshold=15, cooldown_s=600), alerts.AlertRule("errors", classes=(5,), window_s=120, threshold=5, cooldown_s=0)]
+
+    def go(number, minute):
+        with log.open("a") as f:
+            f.writelines(LINE.format(1, i, 500 if i < 6 else 200).replace("13:04", f"13:{minute:02}") for i in range(20))
+        tick = alerting.Tick(out, rules, sent.append, every_s=0)  # a new one each time, as after a restart
+        lines = spark.readStream.format("logtail").option("site", "shop").load(str(log))
+        ingest.ingest(lines, out, at, after=tick, trigger={"availableNow": True}).awaitTermination(120)
+        return [a["id"] for a in sent]
+
+    assert go(0, 4) == ["flood", "errors"]
+    assert go(1, 9) == ["flood", "errors", "errors"]
+    assert go(2, 14) == ["flood", "errors", "errors", "flood", "errors"]
+    assert alerting.Tick(out, rules, sent.append, every_s=60, clock=lambda: 5.0).last is None
+    ts = F.lit("2026-07-15 13:15:00").cast("timestamp")
+    assert ingest.evict_stored(spark, out, ts, 3600) == 0
+    assert ingest.evict_stored(spark, out, ts, 420) == 2  # the first batch's hits and failures
+    assert ingest.cube(spark, out).agg(F.sum("n")).first()[0] == 40
+
+
+def test_tail_from_the_end_and_long_lines(tmp_path):
+    log = tmp_path / "a.log"
+    log.write_bytes(b"old\n")
+    assert TailReader(str(log), "s", at_end=True).initialOffset() == {str(log): 4} and TailReader(str(log), "s").initialOffset() == {}
+    log.write_bytes(b"x" * 50 + b"\nshort\n")
+    (part,) = TailReader(str(log), "s").partitions({}, TailReader(str(log), "s").latestOffset())
+    assert [len(r[0]) for r in TailReader(str(log), "s", line=10).read(part)] == [5]
+    assert [len(r[0]) for r in TailReader(str(log), "s", line=0).read(part)] == [50, 5]
+    assert TailSource({"path": "p", "maxline": "0", "start": "end"}).streamReader(None).__dict__ == {"pattern": "p", "site": "p", "line": 0, "at_end": True}

@@ -141,3 +141,25 @@ def test_bans(spark):
     assert (ban.ip, ban.reason, ban.expires) == ("a", "one", START + dt.timedelta(minutes=15))
     assert enforce.active(enforce.bans(rows, 900), F.lit(str(START + dt.timedelta(minutes=15))).cast("timestamp")).isEmpty()
     assert enforce.bans(rows, 0).isEmpty()
+
+
+def test_json_rows_and_rule_count(spark):
+    from edgelens.operators import report, signatures
+
+    rows = spark.createDataFrame([(1, None), (2, 'a"b')], "n int, s string")
+    assert [r.json for r in report.as_json(rows).collect()] == ['{"n":1,"s":null}', '{"n":2,"s":"a\\"b"}']
+    assert signatures.rule_count() == 11 and signatures.rule_count([signatures.Rule("a", 1, enabled=False), signatures.Rule("b", 1)]) == 1
+
+
+def test_folds_with_null_keys_ties_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    from edgelens.operators import alerts, enforce
+
+    rows = spark.createDataFrame([(1, "a", 0, "x"), (2, "a", 1, "x"), (3, None, 0, "x"), (4, "a", 100, None), (5, "b", 0, "x")], "event_id long, ip string, s long, row string").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.event_id: (r.allowed, r.row) for r in enforce.rate_limited(rows, 0.01, 1).collect()}
+    assert got == {1: (True, "x"), 2: (False, "x"), 3: (False, "x"), 4: (True, None), 5: (True, "x")}
+    assert {r.event_id for r in alerts.cooled(rows, ["ip"], "ts", 50).collect()} == {1, 4, 5}
+    assert enforce.rate_limited(rows.filter("false"), 0.01, 1).isEmpty()
+    scored = rows.withColumn("score", F.lit(15))
+    assert {(r.ip, r.event_id) for r in enforce.line_bans(scored, 50).collect()} == {("a", 1), ("a", 4), ("b", 5)}
