@@ -20,8 +20,12 @@ from pyspark.sql import functions as F
 from edgelens.llm.common import mix
 
 WIDE = 24
+#: Words that are worked on together.
+BLOCK = 1 << 12
 #: Symbols from here on are characters without a piece, and stand for their bytes.
 OTHER = 1 << 24
+#: More than any symbol, so that a pair has a key of its own.
+PAIR = 1 << 26
 _FAR = np.int32(1 << 30)
 SPACE = "▁"
 
@@ -54,23 +58,42 @@ class Pieces:
             for k in range(1, len(p)):
                 a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
                 if a is not None and b is not None:
-                    made[a * OTHER + b] = i
+                    made[a * PAIR + b] = i
         self.table = np.arange(OTHER, OTHER + 0x110000, dtype=np.int32)
         for c, i in self.ids.items():
             if len(c) == 1 and c != SPACE:
                 self.table[ord(c)] = i
         self.table[32] = self.ids.get(SPACE, OTHER + 32)
-        self.keys = np.array(sorted(made), np.int64)
-        self.made = np.array([made[k] for k in sorted(made)], np.int64)
+        # A table of twice 2**bits places: a key stands at its hash, or at the first free place behind.
+        bits = max(8, (4 * len(made)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.made = np.full(2 << bits, -1, np.int64), np.full(2 << bits, -1, np.int32)
+        keys = np.array(sorted(made), np.int64)
+        for k, at in zip(keys.tolist(), self.place(keys).tolist(), strict=True):
+            while self.keys[at] >= 0:
+                at += 1
+            self.keys[at], self.made[at] = k, made[k]
 
     def symbols(self, text: str) -> np.ndarray:
         return self.table[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
 
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that two neighbours make, or -1."""
-        key = np.where((a >= 0) & (b >= 0) & (a < OTHER) & (b < OTHER), a.astype(np.int64) * OTHER + b, -1)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.made[at], -1)
+        key = a.astype(np.int64) * PAIR + b
+        at = self.place(key)
+        found = self.keys[at]
+        out = np.where(found == key, self.made[at], np.int32(-1))
+        open_ = np.flatnonzero((found != key) & (found >= 0))
+        while len(open_):
+            at[open_] += 1
+            found = self.keys[at[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.made[at[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
 
     def spelled(self, symbols: list[int]) -> list[int]:
         out = []
@@ -96,44 +119,42 @@ def keyed(seed: int, word: np.ndarray, start: np.ndarray, end: np.ndarray, split
 
 
 def together(p: Pieces, symbols: np.ndarray, sizes: np.ndarray, marks: np.ndarray, dropout: float, seed: int) -> np.ndarray:
-    """Segments many words at once, given end to end: a row for each, with -1 behind its ids. marks are those of ``occurrences``."""
+    """Segments many words at once, given end to end: a row for each, its ids in order among -1. marks are those of ``occurrences``.
+
+    A symbol stays at the place of its first character; places point to the symbols before and after them.
+    """
     n, wide = len(sizes), int(sizes.max())
-    s = np.full((n, wide + 1), -1, np.int32)
-    s[np.arange(wide + 1)[None, :] < sizes[:, None]] = symbols
-    begin = np.tile(np.arange(wide + 2, dtype=np.int32), (n, 1))  # of each symbol its first character; the next one's begin is its end
-    rank = np.full((n, wide + 1), _FAR, np.int32)  # of each symbol's union with the next
-
-    def candidates(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
-        made = p.merge(s[rows, at], s[rows, at + 1])
-        out = np.where(made >= 0, p.rank[made], _FAR)
+    s = np.full((n, wide), -1, np.int32)
+    s[np.arange(wide) < sizes[:, None]] = symbols
+    after = np.tile(np.arange(1, wide + 2, dtype=np.int32), (n, 1))
+    before = after - 2
+    rank = np.full((n, wide), _FAR, np.int32)  # of each symbol's union with the next
+
+    def propose(rows: np.ndarray, at: np.ndarray) -> None:
+        split = after[rows, at]
+        made = p.merge(s[rows, at], s[rows, split])
+        can = made >= 0
         if dropout:
-            can = np.flatnonzero(made >= 0)
-            r, i = rows[can], at[can]
-            out[can[keyed(seed, marks[r], begin[r, i], begin[r, i + 2], begin[r, i + 1]) < dropout]] = _FAR
-        return out
+            i = np.flatnonzero(can)
+            r, k = rows[i], split[i]
+            can[i] = keyed(seed, marks[r], at[i], after[r, k], k) >= dropout
+        rank[rows, at] = np.where(can, p.rank[made], _FAR)
 
-    rows, at = np.nonzero(np.arange(wide)[None, :] < sizes[:, None] - 1)
-    rank[rows, at] = candidates(rows, at)
-    live, place = np.arange(n), np.arange(wide + 2)
+    propose(*np.nonzero(np.arange(wide) < sizes[:, None] - 1))
+    live = np.arange(n)
     while len(live):
-        best = rank[live].argmin(1)
-        low = rank[live, best]
+        held = rank[live]
+        i = held.argmin(1)
+        low = held[np.arange(len(live)), i]
         go = low < _FAR
-        live, best, low = live[go], best[go], low[go]
-        if not len(live):
-            break
-        # All behind the merge moves up by one.
-        later = place[None, :] + (place[None, :] > best[:, None])
-        inner = later[:, : wide + 1]
-        flat = live[:, None] * (wide + 1) + np.minimum(inner, wide)
-        s[live], rank[live] = s.ravel()[flat], rank.ravel()[flat]
-        s[live, wide], rank[live, wide] = -1, _FAR
-        begin[live] = begin.ravel()[live[:, None] * (wide + 2) + np.minimum(later, wide + 1)]
-        s[live, best] = p.by_rank[low]
-        left = best > 0
-        both = np.concatenate([live, live[left]]), np.concatenate([best, best[left] - 1])
-        end = both[1] >= wide  # nothing can stand behind the last place
-        rank[both] = np.where(end, _FAR, candidates(both[0], np.minimum(both[1], wide - 1)))
+        live, i, low = live[go], i[go], low[go]
+        j = after[live, i]
+        end = after[live, j]
+        s[live, i], s[live, j] = p.by_rank[low], -1
+        rank[live, i] = rank[live, j] = _FAR
+        after[live, i], before[live, end] = end, i
+        right, left = end < sizes[live], i > 0
+        propose(np.concatenate([live[right], live[left]]), np.concatenate([i[right], before[live[left], i[left]]]))
     return s
 
 
@@ -168,44 +189,54 @@ def alone(p: Pieces, symbols: list[int], mark: int, dropout: float, seed: int) -
 
 
 def encoder(model_path: str, dropout: float, seed: int):
-    """A function from texts and their keys to lists of ids as little-endian unsigned 32-bit bytes."""
+    """A function from texts and their keys to the ids of all texts end to end, and where each text's ids end."""
     import re
 
     p, cut = Pieces(model_path), re.compile(r" *[^ ]+| +")
 
-    def segment(words: list[str], marks: np.ndarray) -> list[bytes]:
+    def segment(words: list[str], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids in any order of the words, and of each word the place of its first id and their number."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(lengths, kind="stable")
         lengths, marks = lengths[order], marks[order]
-        short = int(np.searchsorted(lengths, WIDE, "right"))
-        out, places = [b""] * len(words), order.tolist()
-        for lo in range(0, short, 1 << 12):
-            hi = min(short, lo + (1 << 12))
+        short, places = int(np.searchsorted(lengths, WIDE, "right")), order.tolist()
+        count = np.zeros(len(words), np.int64)
+        parts, rest = [], {at: (i, None) for i, at in enumerate(places[short:], short)}
+        for lo in range(0, short, BLOCK):
+            hi = min(short, lo + BLOCK)
             found = together(p, p.symbols("".join([words[i] for i in places[lo:hi]])), lengths[lo:hi], marks[lo:hi], dropout, seed)
             some = found >= 0
-            flat, ends = found[some].astype("<u4").tobytes(), np.cumsum(some.sum(1) * 4).tolist()
-            begin, odd = 0, (found >= OTHER).any(1).tolist()
-            for i, (at, end) in enumerate(zip(places[lo:hi], ends, strict=True)):
-                out[at] = spelled([x for x in found[i].tolist() if x >= 0]) if odd[i] else flat[begin:end]
-                begin = end
-        for at, m in zip(places[short:], marks[short:].tolist(), strict=True):
-            out[at] = spelled(alone(p, p.symbols(words[at]).tolist(), m, dropout, seed))
-        return out
-
-    def spelled(ids: list[int]) -> bytes:
-        return np.array(p.spelled(ids), "<u4").tobytes()
-
-    def encode(texts: list[str | None], keys: np.ndarray) -> list[bytes]:
+            for i in np.flatnonzero((found >= OTHER).any(1)).tolist():
+                rest[places[lo + i]] = lo + i, found[i][some[i]].tolist()
+                some[i] = False
+            parts.append(found[some])
+            count[lo:hi] = some.sum(1)
+        for at, (i, symbols) in rest.items():
+            ids = p.spelled(alone(p, p.symbols(words[at]).tolist(), int(marks[i]), dropout, seed) if symbols is None else symbols)
+            rest[at] = len(ids)
+            parts.append(np.array(ids, np.int32))
+        first, number = np.empty_like(count), np.empty_like(count)
+        first[order], number[order] = np.cumsum(count) - count, count
+        behind = int(count.sum())
+        for at, n in rest.items():
+            first[at], number[at] = behind, n
+            behind += n
+        return np.concatenate([np.zeros(0, np.int32), *parts]), first, number
+
+    def encode(texts: list[str | None], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         words = [cut.findall(" " + t) if t else [] for t in texts]
         counts = np.array(list(map(len, words)), np.int64)
         flat = [w for ws in words for w in ws]
         if dropout:
-            found = segment(flat, occurrences(seed, keys, counts))
+            ids, first, number = segment(flat, occurrences(seed, keys, counts))
         else:  # all occurrences of a word are alike
-            kinds = list(dict.fromkeys(flat))
-            found = list(map(dict(zip(kinds, segment(kinds, np.zeros(len(kinds), np.uint64)), strict=True)).__getitem__, flat))
-        ends = np.cumsum(counts).tolist()
-        return [b"".join(found[end - n : end]) for end, n in zip(ends, counts.tolist(), strict=True)]
+            kinds = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+            which = np.fromiter(map(kinds.__getitem__, flat), np.int64, len(flat))
+            ids, first, number = segment(list(kinds), np.zeros(len(kinds), np.uint64))
+            first, number = first[which], number[which]
+        ends = np.concatenate([[0], np.cumsum(number)])
+        ids = ids[np.arange(ends[-1]) + np.repeat(first - ends[:-1], number)]
+        return ids, ends[np.cumsum(counts)]
 
     return encode, p
 
@@ -220,7 +251,7 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_bytes, p = encoder(model_path, dropout, seed)
+        to_ids, p = encoder(model_path, dropout, seed)
         for batch in batches:
             lo, texts = 0, batch.column("text")
             while lo < batch.num_rows:
@@ -231,11 +262,10 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1
                     held += len(part[-1] or "")
                     hi += 1
                 keys = batch.column("key").slice(lo, hi - lo).to_numpy().view(np.uint64)
-                ids = [np.frombuffer(b, "<u4").astype(np.int32) for b in to_bytes(part, keys)]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                back = [None if t is None else p.decode(x.tolist()) for t, x in zip(part, ids, strict=True)]
-                yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(back, pa.string())], names=["doc_id", "ids", "decoded"])
+                flat, ends = to_ids(part, keys)
+                back = [None if t is None else p.decode(x.tolist()) for t, x in zip(part, np.split(flat, ends[:-1]), strict=True)]
+                ends = np.concatenate([[0], ends])
+                yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), pa.array(back, pa.string())], names=["doc_id", "ids", "decoded"])
                 lo = hi
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id").alias("key"))
