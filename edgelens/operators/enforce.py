@@ -1,11 +1,13 @@
 """Bans, token buckets and the decision on each request, as folds over each ip's requests in time order.
 
-A fold reads one ip's sorted requests one by one with state of constant size; ``edgelens.streaming.ingest.token_bucket``
-is the streaming form of ``rate_limited``. All requests of an ip go through one task.
+A fold reads one ip's sorted requests one by one with state of constant size; ``edgelens.streaming.guard`` runs the same
+steps over streams. All requests of an ip go through one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
@@ -52,41 +54,57 @@ def _seconds() -> Column:
     return F.unix_micros("ts") / 1e6
 
 
-def rate_limited(requests: DataFrame, rate: float, burst: float, order: str = "event_id") -> DataFrame:
-    """Adds allowed to requests (ip, ts, order): a token bucket for each ip; a rate of 0 or less allows all."""
-    if rate <= 0:
-        return requests.withColumn("allowed", F.lit(True))
+def bucket_step(rate: float, burst: float) -> tuple[tuple, Callable[..., tuple]]:
+    """Start and step of an ip's token bucket: (tokens, last time) and whether a request at t is allowed."""
     burst = max(1.0, float(burst))
 
     def step(state: tuple, t: float | None) -> tuple[tuple, bool]:
         tokens, last = state
-        have = min(burst, tokens + (0.0 if t is None or last is None else t - last) * rate)
-        return (have - (1.0 if have >= 1 else 0.0), t), have >= 1
+        have = min(burst, tokens + (0.0 if t is None or last is None else max(0.0, t - last)) * rate)
+        return (have - (1.0 if have >= 1 else 0.0), _later(last, t)), have >= 1
 
-    found = folded(requests, ["ip"], [_seconds(), F.col(order)], [_seconds()], (burst, None), step, "allowed", BooleanType())
-    return found.withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+    return (burst, None), step
 
 
-def decisions(scored: DataFrame, rate: float, burst: float, ban_s: int, enforce: bool, order: str = "event_id") -> DataFrame:
-    """Adds decision to requests (ip, ts, order, block): banned, limited, blocked, flagged or allowed.
-
-    A request of a banned ip is denied first; one without a token is denied and bans its ip; one that the rules block is
-    denied and bans its ip if ``enforce``, else flagged. A ban holds ``ban_s`` seconds.
-    """
+def decision_step(rate: float, burst: float, ban_s: int, enforce: bool) -> tuple[tuple, Callable[..., tuple]]:
+    """Start and step of an ip's decisions: (tokens, last time, end of its ban) and what becomes of a request at t."""
     burst = max(1.0, float(burst))
 
     def step(state: tuple, t: float | None, block: bool | None) -> tuple[tuple, str]:
         tokens, last, until = state
         if t is not None and t < until:
             return state, "banned"
-        have = min(burst, tokens + (0.0 if t is None or last is None else t - last) * rate) if rate > 0 else burst
+        have = min(burst, tokens + (0.0 if t is None or last is None else max(0.0, t - last)) * rate) if rate > 0 else burst
         limited = have < 1
         what = "limited" if limited else ("blocked" if enforce else "flagged") if block else "allowed"
         if t is not None and what in ("limited", "blocked"):
             until = max(until, t + float(ban_s))
-        return (have - (0.0 if limited else 1.0), t, until), what
+        return (have - (0.0 if limited else 1.0), _later(last, t), until), what
+
+    return (burst, None, float("-inf")), step
+
+
+def _later(last: float | None, t: float | None) -> float | None:
+    """A request that arrives late doesn't set a bucket's time back."""
+    return last if t is None else t if last is None else max(last, t)
 
-    found = folded(scored, ["ip"], [_seconds(), F.col(order), F.col("block")], [_seconds(), F.col("block")], (burst, None, float("-inf")), step, "decision", StringType())
+
+def rate_limited(requests: DataFrame, rate: float, burst: float, order: str = "event_id") -> DataFrame:
+    """Adds allowed to requests (ip, ts, order): a token bucket for each ip; a rate of 0 or less allows all."""
+    if rate <= 0:
+        return requests.withColumn("allowed", F.lit(True))
+    found = folded(requests, ["ip"], [_seconds(), F.col(order)], [_seconds()], *bucket_step(rate, burst), "allowed", BooleanType())
+    return found.withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+
+
+def decisions(scored: DataFrame, rate: float, burst: float, ban_s: int, enforce: bool, order: str = "event_id") -> DataFrame:
+    """Adds decision to requests (ip, ts, order, block): banned, limited, blocked, flagged or allowed.
+
+    A request of a banned ip is denied first; one without a token is denied and bans its ip; one that the rules block is
+    denied and bans its ip if ``enforce``, else flagged. A ban holds ``ban_s`` seconds.
+    """
+    start, step = decision_step(rate, burst, ban_s, enforce)
+    found = folded(scored, ["ip"], [_seconds(), F.col(order), F.col("block")], [_seconds(), F.col("block")], start, step, "decision", StringType())
     return found.filter(F.col("ip").isNotNull())
 
 

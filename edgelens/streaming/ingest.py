@@ -75,37 +75,3 @@ def cube(spark: SparkSession, out: str) -> DataFrame:
 def compact(spark: SparkSession, out: str, to: str) -> None:
     """All batches as one cube, by hour."""
     cube(spark, out).withColumn("hour", F.date_format("minute", "yyyyMMddHH")).repartition("hour").write.mode("overwrite").partitionBy("hour").parquet(to)
-
-
-def token_bucket(requests: DataFrame, rate: float, burst: float) -> DataFrame:
-    """ip, ts, event_id and allowed of a stream of requests (ip, ts, event_id), with each ip's bucket as keyed state.
-
-    Requests of a micro-batch are taken in (ts, event_id) order. The bucket of an ip that is idle for five minutes of
-    processing time, and until it is full again, is dropped.
-    """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    size = max(1.0, float(burst))
-
-    def step(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        tokens, last = state.get if state.exists else (size, None)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        allowed = []
-        for t in rows["ts"].map(lambda x: x.timestamp()):
-            if rate > 0:
-                tokens = min(size, tokens + (0.0 if last is None else t - last) * rate)
-                last = t
-                allowed.append(tokens >= 1)
-                tokens -= 1.0 if tokens >= 1 else 0.0
-            else:
-                allowed.append(True)
-        state.update((tokens, last))
-        state.setTimeoutDuration(max(300_000, int((size - tokens) / rate * 1000) + 1 if rate > 0 else 0))
-        yield rows.assign(allowed=allowed)[["ip", "ts", "event_id", "allowed"]]
-
-    schema = "ip string, ts timestamp, event_id long, allowed boolean"
-    return requests.select("ip", "ts", "event_id").groupBy("ip").applyInPandasWithState(step, schema, "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
