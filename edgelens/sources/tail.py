@@ -1,12 +1,13 @@
-"""A streaming source that follows appended log files by byte offsets."""
+"""A source that follows appended log files by byte offsets, and reads what they held up to frozen ones."""
 
 from __future__ import annotations
 
 import glob
+import json
 import os
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 #: Bytes that one task reads; longer lines than LINE are left out unless the option maxline says otherwise.
 CHUNK, LINE = 64 << 20, 1 << 20
@@ -31,17 +32,25 @@ def last_line_end(path: str, start: int) -> int:
     return start
 
 
+def plain_files(pattern: str) -> list[str]:
+    """The files of a file's name, a folder or a glob, but for gzip archives."""
+    at = pattern if not os.path.isdir(pattern) else os.path.join(pattern, "*")
+    return sorted(p for p in glob.glob(at) if os.path.isfile(p) and not p.endswith(".gz"))
+
+
 class TailReader(DataSourceStreamReader):
     """Offsets are {path: bytes read}. A file that became shorter than its offset was replaced and is read from its start."""
 
-    def __init__(self, pattern: str, site: str, line: int = LINE, at_end: bool = False):
-        self.pattern, self.site, self.line, self.at_end = pattern, site, line, at_end
+    def __init__(self, pattern: str, site: str, line: int = LINE, at_end: bool = False, newest: bool = False, behind: dict | None = None):
+        self.pattern, self.site, self.line, self.at_end, self.newest, self.behind = pattern, site, line, at_end, newest, behind
 
     def _paths(self) -> list[str]:
-        at = self.pattern if not os.path.isdir(self.pattern) else os.path.join(self.pattern, "*")
-        return sorted(p for p in glob.glob(at) if os.path.isfile(p) and not p.endswith(".gz"))
+        found = plain_files(self.pattern)
+        return [max(found, key=os.path.getmtime)] if self.newest and found else found
 
     def initialOffset(self) -> dict:
+        if self.behind is not None:
+            return self.behind
         return self.latestOffset() if self.at_end else {}
 
     def latestOffset(self) -> dict:
@@ -72,12 +81,28 @@ class TailReader(DataSourceStreamReader):
         pass
 
 
+class FrozenReader(DataSourceReader):
+    """The lines of files up to the offsets given, which a tail goes on from."""
+
+    def __init__(self, tail: TailReader, until: dict):
+        self.tail, self.until = tail, until
+
+    def partitions(self) -> list[Range]:
+        return self.tail.partitions({}, self.until)
+
+    def read(self, partition: Range) -> Iterator[tuple]:
+        return self.tail.read(partition)
+
+
 class TailSource(DataSource):
     """``spark.readStream.format("logtail").option("site", "shop").load("/var/log/nginx/access.log")``.
 
     The path is a file, a folder or a glob that every executor can read; gzip archives are left to batch reads. Options:
     ``maxline`` (bytes of the longest line that is kept; 0: any), ``start`` (``end`` leaves out what the files hold when
-    the stream starts for the first time).
+    the stream starts for the first time), ``behind`` (offsets as JSON, from ``frozen``, at which it starts instead),
+    ``live`` (``newest`` follows only the plain file written last, as behind a rotation that renames files).
+
+    ``spark.read`` gives the lines up to the offsets of the option ``until``, or up to now.
     """
 
     @classmethod
@@ -87,6 +112,17 @@ class TailSource(DataSource):
     def schema(self) -> str:
         return "value string, site string, path string"
 
+    def reader(self, schema) -> FrozenReader:
+        tail = self.streamReader(schema)
+        return FrozenReader(tail, json.loads(self.options["until"]) if self.options.get("until") else tail.latestOffset())
+
     def streamReader(self, schema) -> TailReader:
-        pattern = self.options["path"]
-        return TailReader(pattern, self.options.get("site") or pattern, int(self.options.get("maxline") or LINE if self.options.get("maxline") != "0" else 0), self.options.get("start") == "end")
+        o, pattern = self.options, self.options["path"]
+        longest, behind = o.get("maxline"), o.get("behind")
+        line = 0 if longest == "0" else int(longest or LINE)
+        return TailReader(pattern, o.get("site") or pattern, line, o.get("start") == "end", o.get("live") == "newest", json.loads(behind) if behind else None)
+
+
+def frozen(pattern: str) -> str:
+    """Where each plain file's last whole line ends now, as JSON for the options ``until`` and ``behind``."""
+    return json.dumps({p: last_line_end(p, 0) for p in plain_files(pattern)})

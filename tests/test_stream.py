@@ -1,9 +1,10 @@
 import gzip
+import os
 
 from pyspark.sql import functions as F
 
 from edgelens.operators import alerts, rollup
-from edgelens.sources.logs import probe, read_lines
+from edgelens.sources.logs import probe, read_lines, with_history
 from edgelens.sources.tail import Range, TailReader, TailSource
 from edgelens.streaming import alerting, ingest
 
@@ -87,4 +88,35 @@ def test_tail_from_the_end_and_long_lines(tmp_path):
     (part,) = TailReader(str(log), "s").partitions({}, TailReader(str(log), "s").latestOffset())
     assert [len(r[0]) for r in TailReader(str(log), "s", line=10).read(part)] == [5]
     assert [len(r[0]) for r in TailReader(str(log), "s", line=0).read(part)] == [50, 5]
-    assert TailSource({"path": "p", "maxline": "0", "start": "end"}).streamReader(None).__dict__ == {"pattern": "p", "site": "p", "line": 0, "at_end": True}
+    assert TailSource({"path": "p", "maxline": "0", "start": "end"}).streamReader(None).__dict__ == {"pattern": "p", "site": "p", "line": 0, "at_end": True, "newest": False, "behind": None}
+
+
+def test_only_the_newest_file_is_followed(tmp_path):
+    for i, name in enumerate(["a.log", "b.log", "c.log.gz"]):
+        (tmp_path / name).write_bytes(b"x\n")
+        os.utime(tmp_path / name, (100 - i if name != "c.log.gz" else 500,) * 2)
+    assert TailReader(str(tmp_path), "s", newest=True).latestOffset() == {str(tmp_path / "a.log"): 2}
+    assert TailReader(str(tmp_path / "none*"), "s", newest=True).latestOffset() == {}
+
+
+def test_history_joins_the_tail_without_gap_or_overlap(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    with gzip.open(folder / "access.log.1.gz", "wt") as f:
+        f.write("old\n")
+    log = folder / "access.log"
+    log.write_text("one\ntwo\nhalf a ")
+    held, stream = with_history(spark, str(folder), "shop")
+
+    def tailed():
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+        return sorted(r.value for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    with log.open("a") as f:
+        f.write("line\nthree\n")
+    assert sorted(map(tuple, held.collect())) == [("old", "shop"), ("one", "shop"), ("two", "shop")]
+    assert tailed() == ["half a line", "three"]
+    with log.open("a") as f:
+        f.write("four\n")
+    assert tailed() == ["four", "half a line", "three"]
