@@ -7,9 +7,13 @@ import os
 import re
 import secrets
 import tempfile
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
+from edgelens.operators.alerts import AlertRule, AnomalyConfig
+from edgelens.streaming import notify
+
 # What holds where a setting is empty, not readable or not positive, in seconds.
 DEFAULTS = {"retention": 86_400, "snapshot": 120, "ban": 900, "window": 60, "cooldown": 600, "baseline": 3_600, "eval": 120, "anomaly_cooldown": 900}
 UNITS = {"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "ms": 1e-3, "s": 1.0, "m": 60.0, "h": 3600.0}
@@ -45,6 +49,41 @@ class Rule:
     channels: list[str] = field(default_factory=list)
 
 
+@dataclass
+class Mail:
+    host: str = ""
+    port: int = 587
+    sender: str = ""
+    to: list[str] = field(default_factory=list)
+    user: str = ""
+    password: str = ""
+
+
+@dataclass
+class Anomaly:
+    """Empty texts and numbers of 0 or less stand for the defaults."""
+
+    enabled: bool = False
+    baseline: str = ""
+    eval: str = ""
+    cooldown: str = ""
+    min_samples: int = 0
+    sensitivity: float = 0.0
+    floor: float = 0.0
+
+
+@dataclass
+class Guard:
+    """What becomes of requests: the score that blocks, the bucket (a rate of 0: none), bans; ``observe`` only flags."""
+
+    mode: str = "observe"
+    threshold: int = 10
+    rate: float = 0.0
+    burst: float = 0.0
+    ban: str = ""
+    line_score: int = 15
+
+
 @dataclass
 class Config:
     sites: list[Site] = field(default_factory=list)
@@ -56,10 +95,43 @@ class Config:
     webhook_secret: str = ""
     viewer_token: str = ""
     admin_token: str = ""
+    mail: Mail = field(default_factory=Mail)
+    anomaly: Anomaly = field(default_factory=Anomaly)
+    guard: Guard = field(default_factory=Guard)
 
     def retention_s(self) -> float:
         return duration(self.retention, DEFAULTS["retention"])
 
+    def alert_rules(self) -> list[AlertRule]:
+        """The rules as ``streaming.alerting.Tick`` takes them."""
+        return [
+            AlertRule(r.id, r.metric, r.site, tuple(r.status_classes), int(duration(r.window, DEFAULTS["window"])), r.threshold, int(duration(r.cooldown, DEFAULTS["cooldown"])), tuple(r.channels))
+            for r in self.rules
+        ]
+
+    def anomaly_config(self) -> AnomalyConfig | None:
+        """None where the detector is off."""
+        a = self.anomaly
+        if not a.enabled:
+            return None
+        told = {k: v for k in ("min_samples", "sensitivity", "floor") if (v := getattr(a, k)) > 0}
+        baseline, last = (max(1, int(duration(t, DEFAULTS[k]) // 60)) for t, k in ((a.baseline, "baseline"), (a.eval, "eval")))
+        return AnomalyConfig(baseline, last, int(duration(a.cooldown, DEFAULTS["anomaly_cooldown"])), **told)
+
+    def decision_options(self) -> dict[str, Any]:
+        """Rate, burst, ban and mode as ``enforce.decision_step`` takes them."""
+        return {"rate": self.guard.rate, "burst": self.guard.burst, "ban_s": int(duration(self.guard.ban, DEFAULTS["ban"])), "enforce": self.guard.mode == "enforce"}
+
+    def channels(self) -> dict[str, Callable[[dict], None]]:
+        """The channels that are set up, by name, as ``notify.deliver`` takes them."""
+        out: dict[str, Callable[[dict], None]] = {}
+        if self.webhook_url:
+            out["webhook"] = lambda alert: notify.webhook(self.webhook_url, alert, self.webhook_secret)
+        m = self.mail
+        if m.host and m.to:
+            out["email"] = lambda alert: notify.email(alert, m.host, m.port, m.sender, m.to, m.user, m.password)
+        return out
+
     def problems(self) -> list[tuple[str, str]]:
         """(field, message) of all that can't work."""
         out = []
@@ -84,6 +156,10 @@ class Config:
             out += [(f"rules[{i}].status_classes", f"{c} is none of 1 to 5") for c in r.status_classes if c not in range(1, 6)]
         if self.webhook_url and not re.match(r"https?://[^/]+", self.webhook_url):
             out.append(("webhook_url", "must be an http or https url"))
+        if self.guard.mode not in ("observe", "enforce"):
+            out.append(("guard.mode", "is neither observe nor enforce"))
+        if self.mail.host and not (self.mail.sender and self.mail.to):
+            out.append(("mail", "needs a sender and someone to send to"))
         return out
 
 
@@ -94,6 +170,9 @@ def load(path: str) -> Config:
     made = Config(**{k: v for k, v in raw.items() if k in Config.__dataclass_fields__ and v is not None})
     made.sites = [s if isinstance(s, Site) else Site(**s) for s in made.sites]
     made.rules = [r if isinstance(r, Rule) else Rule(**r) for r in made.rules]
+    for name, kind in (("mail", Mail), ("anomaly", Anomaly), ("guard", Guard)):
+        if isinstance(told := getattr(made, name), dict):
+            setattr(made, name, kind(**told))
     made.viewer_token = made.viewer_token or secrets.token_hex(24)
     made.admin_token = made.admin_token or secrets.token_hex(24)
     if found := made.problems():

@@ -68,3 +68,15 @@ def deliver(routed: DataFrame, channels: dict) -> list[str]:
         except Exception as e:  # a channel that is down doesn't keep the others from being used
             failed.append(f"{alert.get('id')}: {e}")
     return failed
+
+
+def send_test(channels: dict, wanted: list[str] | None = None) -> dict[str, str]:
+    """A test alert by each channel that is wanted and set up, or by all: its error as text, empty where it arrived."""
+    out = {}
+    for name in [c for c in channels if not wanted or c in wanted]:
+        try:
+            channels[name]({"id": "test", "kind": "test", "site": "", "message": "This is a test alert."})
+            out[name] = ""
+        except Exception as e:  # each channel is tried
+            out[name] = str(e) or type(e).__name__
+    return out

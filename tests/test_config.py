@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from edgelens.operators import alerts
 from edgelens.plans import config
 from edgelens.streaming import notify
 
@@ -45,3 +46,32 @@ def test_webhooks():
     with pytest.raises(OSError, match="500"):
         notify.webhook("https://example.org/h", alert, "", lambda r, timeout: Answer(500))
     assert notify.mail(alert, "a@x", ["b@y"])["Subject"] == "[alert] r5 shop"
+
+
+def test_settings_of_alerts_and_enforcement(tmp_path):
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps({
+        "rules": [{"id": "r", "status_classes": [5], "threshold": 3, "window": "2m", "cooldown": "x", "channels": ["email"]}],
+        "anomaly": {"enabled": True, "baseline": "30m", "sensitivity": 2.5}, "mail": {"host": "mx", "sender": "a@x", "to": ["b@y"]},
+        "guard": {"mode": "enforce", "rate": 5, "burst": 10, "ban": "1h"}, "webhook_url": "https://example.org/h",
+    }))
+    made = config.load(str(path))
+    assert made.alert_rules() == [alerts.AlertRule("r", classes=(5,), window_s=120, threshold=3, cooldown_s=600, channels=("email",))]
+    assert made.anomaly_config() == alerts.AnomalyConfig(baseline_min=30, sensitivity=2.5)
+    assert made.decision_options() == {"rate": 5, "burst": 10, "ban_s": 3600, "enforce": True}
+    assert list(made.channels()) == ["webhook", "email"] and made.guard.line_score == 15
+    config.save(made, str(path))
+    assert config.load(str(path)) == made
+    empty = config.Config()
+    assert (empty.anomaly_config(), empty.channels(), empty.decision_options()) == (None, {}, {"rate": 0.0, "burst": 0.0, "ban_s": 900, "enforce": False})
+    bad = config.Config(mail=config.Mail("mx"), guard=config.Guard("maybe"))
+    assert [f for f, _ in bad.problems()] == ["guard.mode", "mail"]
+
+
+def test_test_alerts():
+    def down(alert):
+        raise OSError("no route")
+
+    got = []
+    assert notify.send_test({"webhook": got.append, "email": down}) == {"webhook": "", "email": "no route"}
+    assert got[0]["id"] == "test" and notify.send_test({"webhook": got.append, "email": down}, ["email", "fax"]) == {"email": "no route"}
