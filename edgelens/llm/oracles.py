@@ -56,4 +56,35 @@ select query_id, cast(row_number() over (partition by query_id order by score de
 from scored qualify rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_secrets": _OP3, "op8_url_filter": _OP8, "op9_topk": _OP9}
+_OP11 = r"""
+with texts as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents
+), words as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from texts
+), marks as (select doc_id, max(coalesce(quality = 1, false)) as good, max(coalesce(toxic = 1, false)) as toxic from labels group by doc_id
+), failed as (
+  select part, coalesce(m.good, false) as good, coalesce(m.toxic, false) as toxic, {
+      'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w), 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+      'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(d.doc_id > min(d.doc_id) over (partition by text), false)} as f
+  from words d left join marks m on d.doc_id = m.doc_id
+), perms as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order from (values ('A'), ('B'), ('C'), ('D'), ('E')) a(x), (values ('A'), ('B'), ('C'), ('D'), ('E')) b(x),
+    (values ('A'), ('B'), ('C'), ('D'), ('E')) c(x), (values ('A'), ('B'), ('C'), ('D'), ('E')) d(x), (values ('A'), ('B'), ('C'), ('D'), ('E')) e(x)
+  where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), masks as (
+  select part, f, list_filter([case when f.A then 'A' end, case when f.B then 'B' end, case when f.C then 'C' end, case when f.D then 'D' end, case when f.E then 'E' end], lambda k: k is not null) as bad, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic
+  from failed group by part, f
+), steps as (select filter_order, step, filter_order[step] as letter from perms, (select unnest(range(1, 6)) as step) s
+), rows_ as (
+  select part, filter_order, step, letter, cast(sum(n) filter (len(list_filter(bad, lambda k: strpos(filter_order[1:step], k) > 0)) = 0) as bigint) as kept,
+    cast(sum(n) filter (list_contains(bad, letter) and len(list_filter(bad, lambda k: strpos(filter_order[1:step - 1], k) > 0)) = 0) as bigint) as removed,
+    cast(sum(n) filter (list_contains(bad, letter) and len(list_filter(bad, lambda k: strpos(filter_order[1:step - 1], k) > 0)) > 0) as bigint) as redundant,
+    cast(sum(n) filter (bad = [letter]) as bigint) as unique_fails,
+    cast(sum(good) filter (list_contains(bad, letter) and len(list_filter(bad, lambda k: strpos(filter_order[1:step - 1], k) > 0)) = 0) as bigint) as good_lost,
+    cast(sum(toxic) filter (list_contains(bad, letter) and len(list_filter(bad, lambda k: strpos(filter_order[1:step - 1], k) > 0)) = 0) as bigint) as toxic_lost
+  from masks, steps group by part, filter_order, step, letter
+)
+select part, filter_order, cast(step as int) as step, coalesce(kept, 0) as kept, coalesce(removed, 0) as removed, coalesce(redundant, 0) as redundant, coalesce(unique_fails, 0) as unique_fails,
+  coalesce(good_lost, 0) as good_lost, coalesce(toxic_lost, 0) as toxic_lost, cast(sum(coalesce(removed, 0)) over (partition by part, letter) as bigint) as shapley
+from rows_
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_secrets": _OP3, "op8_url_filter": _OP8, "op9_topk": _OP9, "op11_filter_audit": _OP11}
