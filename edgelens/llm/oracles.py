@@ -87,4 +87,66 @@ select part, filter_order, cast(step as int) as step, coalesce(kept, 0) as kept,
 from rows_
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_secrets": _OP3, "op8_url_filter": _OP8, "op9_topk": _OP9, "op11_filter_audit": _OP11}
+# Steps backward over each conversation's rows; a state's best way is a struct, so that lists of them have a least one.
+_CRC = """xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split({s}, ''), lambda c: ascii(c)::bigint)),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"""
+
+
+def _way(cost: str, edit: str, to: str) -> str:
+    return f"{{'c': {cost} + {to}.c, 'a': '{edit}' || {to}.a}}"
+
+
+def _after_row(state: int) -> str:
+    """The best way on from a state, the next row's symbol being y: K, R or D."""
+    x = "case when y between 'A' and 'Z' then 3 else 0 end"
+    turns = {0: [("u", "w2"), ("s", "w1")], 1: [("u", "w2")], 2: [("a", "w3")], 3: [("u", "w2")]}[state]
+    keeps = [f"case when lower(y) = '{role}' then {_way(x, 'K', to)} end" for role, to in turns]
+    rerole = f"case when y <> 'x' then {_way('3 + ' + x, 'R', turns[0][1])} end"
+    return f"list_aggregate([{', '.join([*keeps, rerole, _way('4', 'D', f'w{state}')])}], 'min')"
+
+
+def _with_inserts(state: int) -> str:
+    others = {0: [("3", "I", "r2"), ("6", "II", "r3")], 1: [("3", "I", "r2"), ("6", "II", "r3")], 2: [("3", "I", "r3")], 3: [("3", "I", "r2")]}[state]
+    return f"list_aggregate([r{state}, {', '.join(_way(*o) for o in others)}], 'min') as w{state}"
+
+
+_OP12 = rf"""
+with recursive k as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {_CRC.format(s="coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')")} % 20 as k from conversations
+), rows_ as (
+  select conv_id, turn, case when k = 4 then 'user' else role end as role, case k when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
+  from k, (select unnest([0, 1]) as copy) c where k <> 0 and (copy = 0 or k = 3)
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, md5(length(role) || ':' || role || text)) as i from rows_
+), faults as (
+  select *, substr(role, 1, 1) as initial, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+    when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 'truncated' else '' end as fault from placed
+), symbols as (
+  select *, case when fault in ('blank', 'duplicate') then 'x' when fault = 'truncated' then upper(case when initial in ('s', 'u', 'a') then initial else 'o' end)
+    when initial in ('s', 'u', 'a') then initial else 'o' end as y, initial || lead(initial) over (partition by conv_id order by i) as pair from faults
+), counted as (
+  select conv_id, cast(coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as bigint) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal, list(y order by i) as seq, count(*) as n
+  from symbols group by conv_id
+), ways as (
+  select conv_id, seq, n as i, {{'c': 0, 'a': ''}} as w0, {{'c': 6, 'a': 'II'}} as w1, {{'c': 3, 'a': 'I'}} as w2, {{'c': 0, 'a': ''}} as w3 from counted
+  union all
+  select conv_id, seq, i - 1, {", ".join(_with_inserts(s) for s in range(4))} from (
+    select conv_id, seq, i, {", ".join(f"{_after_row(s)} as r{s}" for s in range(4))} from (select *, seq[i] as y from ways where i > 0))
+), solved as (select conv_id, cast(w0.c as bigint) as cost, w0.a as audit from ways where i = 0
+), edits as (
+  select conv_id, p, audit[p] as e, length(replace(audit[1:p], 'I', '')) as i, length(replace(audit[1:p], 'D', '')) as place from solved, unnest(range(1, length(audit) + 1)) as u(p)
+), led as (
+  select e.*, s.role, s.text, max(case when place = 1 and e = 'K' and initial = 's' then 1 else 0 end) over (partition by e.conv_id) as led
+  from edits e left join symbols s on e.conv_id is not distinct from s.conv_id and e.e <> 'I' and s.i = e.i
+), texts as (
+  select conv_id, string_agg(case when e = 'K' then role || ':' || text else case when (place - led) % 2 = 1 then 'user:' else 'assistant:' end || case when e = 'I' then '' else text end end, chr(10) order by p) as t
+  from led where e <> 'D' group by conv_id
+)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(cost, 0) as cost, coalesce(audit, '') as audit, sha256(coalesce(t, '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counted c on o.conv_id is not distinct from c.conv_id left join solved s on o.conv_id is not distinct from s.conv_id
+  left join texts t on o.conv_id is not distinct from t.conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_secrets": _OP3, "op8_url_filter": _OP8, "op9_topk": _OP9, "op11_filter_audit": _OP11, "op12_conversation_repair": _OP12}

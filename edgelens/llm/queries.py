@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgelens.llm import audit, cover, minhash, packing, pieces, ppm, secrets, spans, suffix, topk, url_filter
+from edgelens.llm import audit, cover, minhash, packing, pieces, ppm, repair, secrets, spans, suffix, topk, url_filter
 from edgelens.llm.common import shared_dir
 from edgelens.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -76,6 +76,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_minhash": op2_minhash,
@@ -88,4 +92,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_topk": op9_topk,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_filter_audit": op11_filter_audit,
+    "op12_conversation_repair": op12_conversation_repair,
 }
