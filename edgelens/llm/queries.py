@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgelens.llm import audit, cover, minhash, packing, pieces, ppm, repair, secrets, spans, suffix, topk, url_filter
+from edgelens.llm import audit, cover, mil, minhash, packing, pieces, ppm, repair, secrets, spans, suffix, topk, url_filter
 from edgelens.llm.common import shared_dir
 from edgelens.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -80,6 +80,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digests(repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_minhash": op2_minhash,
@@ -93,4 +97,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_filter_audit": op11_filter_audit,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_quality": op13_quality,
 }
