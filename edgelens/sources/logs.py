@@ -33,8 +33,8 @@ def with_history(spark: SparkSession, path: str, site: str, **options: str) -> t
     history. ``options`` are those of the tail.
     """
     spark.dataSource.register(TailSource)
-    until = frozen(path)
     own = {"site": site or path, **options}
+    until = frozen(path, own["site"])
     held = spark.read.format("logtail").options(until=until, **own).load(path).select("value", "site")
     packed = sorted(p for p in glob.glob(os.path.join(path, "*") if os.path.isdir(path) else path) if p.endswith(".gz"))
     if packed:

@@ -11,20 +11,29 @@ from edgelens.streaming import alerting, ingest
 LINE = '10.0.0.{} - - [15/Jul/2026:13:04:05 +0000] "GET /api/users/{} HTTP/1.1" {} 512 "-" "curl/8"\n'
 
 
+def ends(offset, site="s"):
+    return {os.path.basename(f["path"]): f["at"] for f in offset["sites"][site]["files"].values()}
+
+
 def test_offsets_stop_at_line_ends(tmp_path):
     log = tmp_path / "a.log"
     log.write_bytes(b"one\ntwo\nthr")
     reader = TailReader(str(log), "s")
+    start = reader.initialOffset()
     end = reader.latestOffset()
-    assert end == {str(log): 8}
-    (part,) = reader.partitions({}, end)
+    assert ends(end) == {"a.log": 8}
+    (part,) = reader.partitions(start, end)
     assert [r[0] for r in reader.read(part)] == ["one", "two"]
     log.write_bytes(b"one\ntwo\nthree\n")
-    (part,) = reader.partitions(end, reader.latestOffset())
+    after = reader.latestOffset()
+    (part,) = reader.partitions(end, after)
     assert [r[0] for r in reader.read(part)] == ["three"]
     log.write_bytes(b"new\n")  # replaced by a shorter file
-    (part,) = reader.partitions({str(log): 14}, reader.latestOffset())
+    (part,) = reader.partitions(after, reader.latestOffset())
     assert [r[0] for r in reader.read(part)] == ["new"]
+    log.write_bytes(b"one\ntwo\nthree\n")
+    (part,) = TailReader(str(log), "s").partitions({str(log): 8}, reader.latestOffset())  # an earlier release's offsets
+    assert [r[0] for r in reader.read(part)] == ["three"]
     assert [r[0] for r in reader.read(Range(str(log), 1, 4))] == []
 
 
@@ -83,20 +92,24 @@ def test_alert_ticks_cool_down_and_old_batches_go(spark, tmp_path):
 def test_tail_from_the_end_and_long_lines(tmp_path):
     log = tmp_path / "a.log"
     log.write_bytes(b"old\n")
-    assert TailReader(str(log), "s", at_end=True).initialOffset() == {str(log): 4} and TailReader(str(log), "s").initialOffset() == {}
+    assert ends(TailReader(str(log), "s", at_end=True).initialOffset()) == {"a.log": 4} and ends(TailReader(str(log), "s").initialOffset()) == {}
     log.write_bytes(b"x" * 50 + b"\nshort\n")
     (part,) = TailReader(str(log), "s").partitions({}, TailReader(str(log), "s").latestOffset())
     assert [len(r[0]) for r in TailReader(str(log), "s", line=10).read(part)] == [5]
     assert [len(r[0]) for r in TailReader(str(log), "s", line=0).read(part)] == [50, 5]
-    assert TailSource({"path": "p", "maxline": "0", "start": "end"}).streamReader(None).__dict__ == {"pattern": "p", "site": "p", "line": 0, "at_end": True, "newest": False, "behind": None}
+    made = TailSource({"path": "p", "maxline": "0", "start": "end", "maxbytes": "7", "positions": "q", "gone": "skip"}).streamReader(None)
+    assert (made.pattern, made.site, made.line, made.at_end, made.newest, made.most, made.positions, made.skip_gone) == ("p", "p", 0, True, False, 7, "q", True)
 
 
 def test_only_the_newest_file_is_followed(tmp_path):
     for i, name in enumerate(["a.log", "b.log", "c.log.gz"]):
         (tmp_path / name).write_bytes(b"x\n")
         os.utime(tmp_path / name, (100 - i if name != "c.log.gz" else 500,) * 2)
-    assert TailReader(str(tmp_path), "s", newest=True).latestOffset() == {str(tmp_path / "a.log"): 2}
-    assert TailReader(str(tmp_path / "none*"), "s", newest=True).latestOffset() == {}
+    reader = TailReader(str(tmp_path), "s", newest=True)
+    start = reader.initialOffset()
+    assert [r.path for r in reader.partitions(start, reader.latestOffset())] == [str(tmp_path / "a.log")]
+    none = TailReader(str(tmp_path / "none*"), "s", newest=True)
+    assert none.partitions(none.initialOffset(), none.latestOffset()) == []
 
 
 def test_history_joins_the_tail_without_gap_or_overlap(spark, tmp_path):
