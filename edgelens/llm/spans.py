@@ -1,8 +1,8 @@
 """Removal of repeated passages by sliding spans of sentences.
 
-Each run of ``SIZE`` consecutive sentences, and as many more as make up ``LEAST`` words, is hashed; hashes are counted over
-all documents, and of each that occurs again the first place in (doc_id, row, sentence) order stays. A sentence goes if
-any span that is not the first of its hash covers it. Sentences end at ``.``, ``!`` or ``?`` before white space and at
+Each run of ``SIZE`` consecutive sentences is hashed, and so is the whole of a text with fewer; hashes are counted over all
+documents, and of each that occurs again the first place in (doc_id, row, sentence) order stays. A sentence goes if any
+span that is not the first of its hash covers it. Sentences end at ``.``, ``!`` or ``?`` before white space and at
 line ends. One of more than ``WORDS`` words is cut after each word whose hash is the least (the last of equals) of some
 ``WORDS`` words in a row of the sentence, so cuts depend on nearby words only, and no part has more than WORDS words.
 
@@ -20,12 +20,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from edgelens.llm.common import byte_slices, byte_table, drop, mix, written
 
-#: Sentences of a span at least, most words of a sentence, and fewest words of a span.
-SIZE, WORDS, LEAST = 3, 12, 12
+#: Sentences of a span, and most words of a sentence.
+SIZE, WORDS = 3, 12
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -87,46 +87,41 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return behind[order], n_words[order], np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(offsets) - 1))])
 
 
-def reach(n_words: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Sentences of the span that starts at each sentence; 0 where its text has too few from there on."""
-    n = len(n_words)
-    total = np.concatenate([[0], np.cumsum(n_words)])
-    end = np.maximum(np.arange(n) + SIZE, np.searchsorted(total, total[:-1] + LEAST))
-    return np.where(end <= np.repeat(before[1:], np.diff(before)), end - np.arange(n), 0)
+def span_ends(before: np.ndarray) -> np.ndarray:
+    """The sentence behind the span that starts at each sentence; 0 where its text has too few from there on."""
+    at = np.arange(before[-1])
+    start, stop = (np.repeat(x, np.diff(before)) for x in (before[:-1], before[1:]))
+    return np.where((at + SIZE <= stop) | (at == start), np.minimum(at + SIZE, stop), 0)
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds s, the sentences of a text, and of the span from each its hash and how many sentences it has (null if there is none)."""
+    """Adds s, the sentences of a text, and the hash of the span from each (null if there is none)."""
     md5 = hashlib.md5
     for batch in batches:
         texts = batch.column("text")
         for lo, hi, data, offsets in byte_slices(texts):
-            behind, n_words, before = sentences(data, offsets)
+            behind, _, before = sentences(data, offsets)
             flat, begin = data.tobytes(), np.concatenate([[0], behind[:-1]])[: len(behind)]
             each = b"".join([md5(flat[a:b].strip(b" \t\n\x0b\f\r")).digest() for a, b in zip(begin.tolist(), behind.tolist(), strict=True)])
-            size = reach(n_words, before)
-            whole = [md5(each[16 * i : 16 * (i + k)]).digest() if k else None for i, k in enumerate(size.tolist())]
+            whole = [md5(each[16 * i : 16 * k]).digest() if k else None for i, k in enumerate(span_ends(before).tolist())]
             null = pa.array(texts.slice(lo, hi - lo).is_null().to_numpy(zero_copy_only=False))
             edges = pa.array(before.astype(np.int32))
             s = pa.StringArray.from_buffers(len(behind), pa.py_buffer(np.concatenate([[0], behind]).astype(np.int32)), pa.py_buffer(flat))
-            lists = [pa.ListArray.from_arrays(edges, v, mask=null) for v in (s, pa.array(whole, pa.binary()), pa.array(size.astype(np.int32)))]
-            yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), batch.column("row").slice(lo, hi - lo), *lists], names=["doc_id", "row", "s", "hash", "size"])
-
-
-#: A span's first sentence and its number of sentences go as one number, so many bits for the latter.
-BITS = 20
+            lists = [pa.ListArray.from_arrays(edges, v, mask=null) for v in (s, pa.array(whole, pa.binary()))]
+            yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), batch.column("row").slice(lo, hi - lo), *lists], names=["doc_id", "row", "s", "hash"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is left of each text without the sentences of its marked spans, and the numbers of sentences."""
+    """What is left of each text without the spans that start at its marks, and the numbers of sentences."""
     for batch in batches:
         s, marks = batch.column("s"), batch.column("marks")
         first, edges = s.offsets.to_numpy(), marks.offsets.to_numpy()
         mark = marks.values.to_numpy(zero_copy_only=False)[edges[0] : edges[-1]].astype(np.int64)
-        begin = np.repeat(first[:-1], np.diff(edges)) + (mark >> BITS)
+        begin, stop = (np.repeat(x, np.diff(edges)) for x in (first[:-1], first[1:]))
+        begin = begin + mark
         change = np.zeros(len(s.values) + 1, np.int64)
         np.add.at(change, begin, 1)
-        np.add.at(change, begin + (mark & ((1 << BITS) - 1)), -1)
+        np.add.at(change, np.minimum(begin + SIZE, stop), -1)
         stays = np.cumsum(change[:-1]) <= 0
         before = np.concatenate([[0], np.cumsum(stays)])[first]
         null = pa.array(s.is_null().to_numpy(zero_copy_only=False))
@@ -138,21 +133,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, kept (what is left of the text), n_sentences and n_removed (sentences) of each row of ``docs`` (doc_id, text).
 
-    Two spans are equal if their sentences are, but for white space at their ends. Null texts have null kept and no
+    Two spans are equal if their sentences are, but for white space at their ends; white space at a text's start is a
+    sentence of its own. Three short sentences are a span like any others, so common short ones go where they repeat. Null texts have null kept and no
     sentences. Rows may repeat and doc_id may be null (first in order): rows are told apart by their place. Other columns
     are ignored; an empty table gives an empty table. Equal 128-bit hashes count as equal spans.
     """
     rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    lists = [StructField("s", ArrayType(StringType())), StructField("hash", ArrayType(BinaryType())), StructField("size", ArrayType(IntegerType()))]
+    lists = [StructField("s", ArrayType(StringType())), StructField("hash", ArrayType(BinaryType()))]
     rows = written(rows.mapInArrow(_spans, StructType([rows.schema["doc_id"], rows.schema["row"], *lists])), "sentences")
-    spans = rows.select("doc_id", "row", F.posexplode(F.arrays_zip("hash", "size")).alias("at", "span")).filter("span.size > 0")
-    spans = spans.select(F.col("span.hash").alias("hash"), "doc_id", "row", "at", F.col("span.size").alias("size"))
+    spans = rows.select("doc_id", "row", F.posexplode("hash").alias("at", "hash")).filter("hash is not null")
     first = spans.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "at")).alias("first")).filter("n > 1").select("hash", "first.row", "first.at")
     first = written(first.toDF("hash", "first_row", "first_at"), "first")
     gone = spans.drop("doc_id").join(first, "hash").filter("row != first_row or at != first_at")
-    mark = F.shiftleft(F.col("at").cast("long"), BITS) + F.col("size")
-    marked = written(gone.select("row", mark.alias("mark")).groupBy("row").agg(F.collect_list("mark").alias("marks")), "marked")  # at most one a sentence
+    marked = written(gone.groupBy("row").agg(F.collect_list("at").alias("marks")), "marked")  # at most one a sentence
     drop(first)
-    out = rows.select("doc_id", "row", "s").join(marked, "row", "left").select("doc_id", "s", F.coalesce("marks", F.array().cast("array<long>")).alias("marks"))
+    out = rows.select("doc_id", "row", "s").join(marked, "row", "left").select("doc_id", "s", F.coalesce("marks", F.array().cast("array<int>")).alias("marks"))
     kinds = [StructField("kept", StringType()), StructField("n_sentences", LongType()), StructField("n_removed", LongType())]
     return out.mapInArrow(_cut, StructType([rows.schema["doc_id"], *kinds]))

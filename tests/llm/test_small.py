@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from edgelens.llm import cover, minhash, packing, pieces, ppm, secrets, spans, suffix, topk, url_filter
+from edgelens.llm.common import byte_table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, row long"
 
@@ -283,8 +284,22 @@ def test_sentence_spans(spark):
     assert spans.dedup(docs(spark, ["a"]).filter("false")).isEmpty()
 
 
+def brute_cuts(long):
+    """The words behind which a sentence of more than 12 words is cut: the least hash of each 12 words in a row, of equal ones the last."""
+    table, limit = [int(x) for x in byte_table(5)], 1 << 64
+
+    def hashed(word):
+        x = sum(table[c] * pow(0x9E3779B97F4A7C15, i, limit) for i, c in enumerate(word.encode())) % limit
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % limit
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % limit
+        return x ^ x >> 31
+
+    h = [hashed(re.match(r"\S+", w, re.A)[0]) for w in long]
+    return {min(range(i, i + 12), key=lambda k: (h[k], -k)) for i in range(len(h) - 11)}
+
+
 def brute_spans(texts):
-    """Sentences as strings (cuts by trying each window of a long one), and the numbers of those that go."""
+    """Sentences as strings, and the numbers of those that go; nothing of the module is used."""
     out, seen, gone = [], {}, [set() for _ in texts]
     for t in texts:
         parts = re.findall(r"\A\s+|\S+\s*", t or "", re.A)
@@ -295,13 +310,7 @@ def brute_spans(texts):
                 whole, s = [*whole, s], []
         done = []
         for s in [*whole, s] if s else whole:
-            cut = set()
-            if len(s) > spans.WORDS:
-                data = "".join(s).encode()
-                behind, n_words, _ = spans.sentences(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-                at = np.cumsum(n_words) - 1
-                assert max(n_words) <= spans.WORDS and behind[-1] == len(data) and at[-1] == len(s) - 1
-                cut = set(at.tolist())
+            cut = brute_cuts(s) if len(s) > 12 else set()
             line = ""
             for i, w in enumerate(s):
                 line += w
@@ -310,13 +319,33 @@ def brute_spans(texts):
                     line = ""
         out.append(done)
     for d, s in enumerate(out):
-        for i in range(len(s)):
-            k = next((k for k in range(spans.SIZE, len(s) - i + 1) if sum(len(x.split()) for x in s[i : i + k]) >= spans.LEAST), None)
-            if k and seen.setdefault(tuple(x.strip() for x in s[i : i + k]), (d, i)) != (d, i):
-                gone[d] |= set(range(i, i + k))
+        for i in range(max(1, len(s) - 2) if s else 0):
+            if seen.setdefault(tuple(x.strip() for x in s[i : i + 3]), (d, i)) != (d, i):
+                gone[d] |= set(range(i, min(i + 3, len(s))))
     return out, gone
 
 
+def test_copies_lose_everything_however_short(spark):
+    texts = ["a b. c d. e f.", "One sentence of just these thirteen words, and it ends here. Second one.", "x", "x\n", "so. it. is. not. long. at. all.", "a b. c d.", "I. II. Q b1. c1. d1.", "b1. c1. d1."]
+    got = {r.doc_id: r for r in spans.dedup(docs(spark, texts + texts[:2] + [texts[2], texts[4], texts[5]])).collect()}
+    assert all(got[i].kept == texts[i] for i in (0, 1, 2, 4, 5, 6, 7)) and got[3].kept == ""
+    assert all(got[i].kept == "" for i in range(8, 13))
+    sentences, gone = brute_spans(texts)
+    assert all(got[i].n_removed == len(gone[i]) and got[i].n_sentences == len(sentences[i]) for i in range(8))
+
+
+def test_exact_copies_of_the_given_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    kept = {r.doc_id: r.kept for r in spans.dedup(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    seen, copies = set(), 0
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        if r.text in seen:
+            copies += 1
+            assert kept[r.doc_id] == ""
+        seen.add(r.text)
+    assert copies > 50
+
+
 def test_sentence_spans_at_any_place(spark):
     rng = random.Random(8)
     texts = [None, "", " \n ", "  led by  white\tspace\n\nand ended\x0b by it. \n"]
