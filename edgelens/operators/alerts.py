@@ -65,18 +65,18 @@ def window_ip_counts(cube: DataFrame, window_s: int, now: Column | None = None)
     return _in_window(cube, window_s, now).groupBy("ip").agg(F.sum("n").alias("n"))
 
 
-def status_alert(cube: DataFrame, rule: AlertRule) -> DataFrame:
+def status_alert(cube: DataFrame, rule: AlertRule, now: Column | None = None) -> DataFrame:
     """One row if the rule fires."""
-    row = window_status_count(cube, list(rule.classes), rule.window_s, rule.site)
+    row = window_status_count(cube, list(rule.classes), rule.window_s, rule.site, now)
     where = f" on {rule.site}" if rule.site else ""
     message = F.format_string(f"{rule.id}: %d matching requests in {rule.window_s}s (threshold {rule.threshold}){where}", "matched")
     fires = (F.col("matched") >= rule.threshold) & F.lit(bool(rule.classes))
     return row.filter(fires).select(F.lit(rule.id).alias("id"), F.lit("threshold").alias("kind"), F.lit(rule.site).alias("site"), F.lit("status_count").alias("metric"), F.col("matched").cast("double").alias("value"), F.lit(float(rule.threshold)).alias("threshold"), message.alias("message"))
 
 
-def flood_alert(cube: DataFrame, rule: AlertRule) -> DataFrame:
+def flood_alert(cube: DataFrame, rule: AlertRule, now: Column | None = None) -> DataFrame:
     """One row if the busiest ip reaches the threshold; of equally busy ones the first in text order."""
-    row = window_ip_counts(cube, rule.window_s).orderBy(F.desc("n"), "ip").limit(1).filter(F.col("n") >= rule.threshold)
+    row = window_ip_counts(cube, rule.window_s, now).orderBy(F.desc("n"), "ip").limit(1).filter(F.col("n") >= rule.threshold)
     message = F.format_string(f"{rule.id}: IP %s made %d requests in {rule.window_s}s (threshold {rule.threshold})", "ip", "n")
     return row.select(F.lit(rule.id).alias("id"), F.lit("threshold").alias("kind"), "ip", F.lit("ip_request_count").alias("metric"), F.col("n").cast("double").alias("value"), F.lit(float(rule.threshold)).alias("threshold"), message.alias("message"))
 

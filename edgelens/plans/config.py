@@ -163,21 +163,25 @@ class Config:
         return out
 
 
-def load(path: str) -> Config:
-    """The settings of a JSON file; missing tokens are made up. Raises ValueError with all problems."""
-    with open(path) as f:
-        raw: dict[str, Any] = json.load(f)
-    made = Config(**{k: v for k, v in raw.items() if k in Config.__dataclass_fields__ and v is not None})
-    made.sites = [s if isinstance(s, Site) else Site(**s) for s in made.sites]
-    made.rules = [r if isinstance(r, Rule) else Rule(**r) for r in made.rules]
+def made(raw: dict[str, Any]) -> Config:
+    """Settings of JSON; missing tokens are made up. Raises ValueError with all problems."""
+    out = Config(**{k: v for k, v in raw.items() if k in Config.__dataclass_fields__ and v is not None})
+    out.sites = [s if isinstance(s, Site) else Site(**s) for s in out.sites]
+    out.rules = [r if isinstance(r, Rule) else Rule(**r) for r in out.rules]
     for name, kind in (("mail", Mail), ("anomaly", Anomaly), ("guard", Guard)):
-        if isinstance(told := getattr(made, name), dict):
-            setattr(made, name, kind(**told))
-    made.viewer_token = made.viewer_token or secrets.token_hex(24)
-    made.admin_token = made.admin_token or secrets.token_hex(24)
-    if found := made.problems():
+        if isinstance(told := getattr(out, name), dict):
+            setattr(out, name, kind(**told))
+    out.viewer_token = out.viewer_token or secrets.token_hex(24)
+    out.admin_token = out.admin_token or secrets.token_hex(24)
+    if found := out.problems():
         raise ValueError("; ".join(f"{a}: {b}" for a, b in found))
-    return made
+    return out
+
+
+def load(path: str) -> Config:
+    """The settings of a JSON file, see ``made``."""
+    with open(path) as f:
+        return made(json.load(f))
 
 
 def save(config: Config, path: str) -> None:

@@ -9,3 +9,6 @@ JSON_LINE = "v int, time string, remote_addr string, forwarded_for string, metho
 
 #: Additive partial aggregate from which the views are answered.
 HITS = "minute timestamp, site string, method string, template string, ip string, status int, n long, first_ts timestamp, last_ts timestamp"
+
+#: Requests that failed, one by one.
+FAILURES = "ts timestamp, tz_offset_s int, site string, ip string, method string, path string, template string, query string, status int"

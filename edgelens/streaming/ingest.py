@@ -1,7 +1,8 @@
-"""Continuous ingest: lines to the cube and the failures, one folder for each micro-batch."""
+"""Continuous ingest: lines to the stored cube and the failures, by micro-batches that count once."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 from edgelens.functions.normalize import ignored
 from edgelens.functions.parse import parse_lines
 from edgelens.operators import rollup
+from edgelens.plans import settings as versions
+from edgelens.sources.versions import Files
+from edgelens.streaming.store import Store
 
 
 def records(lines: DataFrame, ingest_ts: Column, ignore: list[str] | None = None, since: Column | None = None, patterns: list[str] | None = None) -> DataFrame:
@@ -19,59 +23,62 @@ def records(lines: DataFrame, ingest_ts: Column, ignore: list[str] | None = None
     return rollup.templated(rows if since is None else rows.filter(F.col("ts") >= since), patterns)
 
 
-def ingest(lines: DataFrame, out: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None, trigger: dict | None = None, **options) -> StreamingQuery:
-    """Start writing ``out``/hits and ``out``/failures from a stream of lines; ``after`` sees each batch's cube.
+def ingest(lines: DataFrame, out: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None, trigger: dict | None = None, settings: str | None = None, **options) -> StreamingQuery:
+    """Start storing the cube and the failures of a stream of lines below ``out``; ``after`` sees each batch's cube.
 
-    A batch that is run again overwrites its own folder and takes the time of its first run for lines whose own can't be
-    read, so no request counts twice or moves. ``options`` go to ``records``.
+    A batch that is run again counts once, takes the time of its first run for lines whose own can't be read, and the
+    settings that it had then. ``settings`` is a table of versions (``plans.settings``): each batch takes the patterns and
+    ignored paths in force when it is run first, and what its retention, if it has one, says goes after it. ``options`` go
+    to ``records``.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = records(batch.select("value", "site"), _arrival(batch.sparkSession, f"{out}/times/{number}"), **options).persist()
+        spark = batch.sparkSession
+        store, run = Store(spark, out), json.loads(Files(spark, checkpoint).text("metadata"))["id"]
+        facts = store.begun(run, number, lambda: _facts(spark, settings))
+        if facts is None:
+            return
+        own, config = dict(options), None
+        if facts["version"]:
+            config = versions.version(spark, settings, facts["version"]).config
+            own |= {"patterns": config.route_patterns, "ignore": config.ignore_paths}
+        rows = records(batch.select("value", "site"), F.timestamp_micros(F.lit(facts["t"])), **own).persist()
         try:
-            rollup.hits(rows).write.mode("overwrite").parquet(f"{out}/hits/batch={number}")
-            rollup.failures(rows).write.mode("overwrite").parquet(f"{out}/failures/batch={number}")
+            store.add(run, number, {"hits": rollup.hits(rows), "failures": rollup.failures(rows)})
+            if config and config.retention:
+                store.evict(facts["t"] // 1_000_000, int(config.retention_s()))
+            if after:
+                after(rollup.hits(rows), number)
         finally:
             rows.unpersist()
-        if after:
-            after(batch.sparkSession.read.parquet(f"{out}/hits/batch={number}"), number)
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "500 milliseconds"})).start()
 
 
-def _files(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _arrival(spark: SparkSession, path: str) -> Column:
-    """The time at which a batch was run first, kept in a table of one row."""
-    at, files = _files(spark, f"{path}/_SUCCESS")
-    if not files.exists(at):
-        spark.range(1).select(F.unix_micros(F.current_timestamp()).alias("t")).write.mode("overwrite").parquet(path)
-    return F.timestamp_micros(F.lit(spark.read.schema("t long").parquet(path).first()["t"]))
+def _facts(spark: SparkSession, settings: str | None) -> dict:
+    t = spark.range(1).select(F.unix_micros(F.current_timestamp())).first()[0]
+    return {"t": t, "version": versions.in_force(spark, settings, t / 1e6) if settings else 0}
 
 
 def evict_stored(spark: SparkSession, out: str, now: Column, retention_s: int) -> int:
-    """Deletes the folders of batches that hold nothing of the retention any more; how many went.
+    """Drops the hours that hold nothing of the retention any more; how many folders of an hour went.
 
-    A batch that holds both stays as a whole, and ``rollup.evict`` leaves out its old minutes.
+    An hour that holds both stays as a whole, and ``rollup.evict`` leaves out its old minutes.
     """
-    gone = 0
-    for name, time in (("hits", "last_ts"), ("failures", "ts")):
-        rows = spark.read.parquet(f"{out}/{name}")
-        cut = F.timestamp_seconds(F.unix_seconds(now) - retention_s)
-        for r in rows.groupBy("batch").agg(F.max(time).alias("last")).filter(F.date_trunc("minute", "last") < F.date_trunc("minute", cut)).select("batch").toLocalIterator():
-            at, files = _files(spark, f"{out}/{name}/batch={r['batch']}")
-            gone += bool(files.delete(at, True))
-    return gone
+    return Store(spark, out).evict(spark.range(1).select(F.unix_seconds(now)).first()[0], retention_s)
+
+
+def cube(spark: SparkSession, out: str, since_s: int | None = None) -> DataFrame:
+    """The cube of all batches so far, or of the minutes from ``since_s`` on, of which only the hours are read."""
+    rows = Store(spark, out).read("hits", since_s)
+    return rollup.merged(rows if since_s is None else rows.filter(F.col("minute") >= F.timestamp_seconds(F.lit(since_s))))
 
 
-def cube(spark: SparkSession, out: str) -> DataFrame:
-    """The cube of all batches so far."""
-    return rollup.merged(spark.read.parquet(f"{out}/hits").drop("batch"))
+def failures(spark: SparkSession, out: str, since_s: int | None = None) -> DataFrame:
+    rows = Store(spark, out).read("failures", since_s)
+    return rows if since_s is None else rows.filter(F.col("ts") >= F.timestamp_seconds(F.lit(since_s)))
 
 
 def compact(spark: SparkSession, out: str, to: str) -> None:
-    """All batches as one cube, by hour."""
+    """All batches as one cube, by hour, in a table of its own."""
     cube(spark, out).withColumn("hour", F.date_format("minute", "yyyyMMddHH")).repartition("hour").write.mode("overwrite").partitionBy("hour").parquet(to)

@@ -54,7 +54,7 @@ def test_stream_equals_batch(spark, tmp_path):
     key = ["minute", "template", "ip", "status", "n"]
     assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, batch.select(key).collect()))
     assert got.agg(F.sum("n")).first()[0] == 60
-    assert spark.read.parquet(f"{out}/failures").count() == 15
+    assert ingest.failures(spark, out).count() == 15
 
 
 def test_gzip_and_probe(spark, tmp_path):
@@ -83,10 +83,11 @@ def test_alert_ticks_cool_down_and_old_batches_go(spark, tmp_path):
     assert go(1, 9) == ["flood", "errors", "errors"]
     assert go(2, 14) == ["flood", "errors", "errors", "flood", "errors"]
     assert alerting.Tick(out, rules, sent.append, every_s=60, clock=lambda: 5.0).last is None
-    ts = F.lit("2026-07-15 13:15:00").cast("timestamp")
-    assert ingest.evict_stored(spark, out, ts, 3600) == 0
-    assert ingest.evict_stored(spark, out, ts, 420) == 2  # the first batch's hits and failures
-    assert ingest.cube(spark, out).agg(F.sum("n")).first()[0] == 40
+    ts = F.lit("2026-07-15 15:15:00").cast("timestamp")
+    assert ingest.evict_stored(spark, out, ts, 3 * 3600) == 0
+    assert ingest.cube(spark, out).agg(F.sum("n")).first()[0] == 60
+    assert ingest.evict_stored(spark, out, ts, 3600) == 6  # the hour of three batches' hits and failures
+    assert ingest.cube(spark, out).isEmpty()
 
 
 def test_tail_from_the_end_and_long_lines(tmp_path):
