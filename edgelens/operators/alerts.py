@@ -114,7 +114,8 @@ def anomaly_backtest(cube: DataFrame, config: AnomalyConfig = AnomalyConfig(), m
 def cooled(fired: DataFrame, keys: list[str], time: str, cooldown_s: int) -> DataFrame:
     """The rows that are sent: of each key in time order, those that don't come within the cooldown of the one sent before.
 
-    Rows of one key and time are sent together. A fold over each key's rows; those with a null key are not sent.
+    Rows of one key and time are sent together. A fold over each key's rows between pauses as long as the cooldown; those with
+    a null key are not sent.
     """
 
     def step(state: tuple, t: int) -> tuple[tuple, bool]:
@@ -123,7 +124,7 @@ def cooled(fired: DataFrame, keys: list[str], time: str, cooldown_s: int) -> Dat
         return (t if send else last,), send
 
     at = F.unix_seconds(time)
-    return folded(fired.filter(F.col(time).isNotNull()), keys, [at], [at], (None,), step, "_sent", BooleanType()).filter("_sent").drop("_sent")
+    return folded(fired.filter(F.col(time).isNotNull()), keys, [at], [at], (None,), step, "_sent", BooleanType(), gap=max(1.0, float(cooldown_s))).filter("_sent").drop("_sent")
 
 
 def routed(alerts: DataFrame, enabled: list[str]) -> DataFrame:

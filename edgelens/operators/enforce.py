@@ -1,7 +1,8 @@
 """Bans, token buckets and the decision on each request, as folds over each ip's requests in time order.
 
 A fold reads one ip's sorted requests one by one with state of constant size; ``edgelens.streaming.guard`` runs the same
-steps over streams. All requests of an ip go through one task.
+steps over streams. Where an ip makes a pause after which its bucket is full and no ban holds, a new stretch begins, which
+is a group of its own; so only requests without such a pause go through one task.
 """
 
 from __future__ import annotations
@@ -66,6 +67,11 @@ def bucket_step(rate: float, burst: float) -> tuple[tuple, Callable[..., tuple]]
     return (burst, None), step
 
 
+def full_after(rate: float, burst: float) -> float:
+    """Seconds after which a bucket is full, whatever was taken from it, and one more; 1 without a bucket."""
+    return max(1.0, float(burst)) / rate + 1 if rate > 0 else 1.0
+
+
 def decision_step(rate: float, burst: float, ban_s: int, enforce: bool) -> tuple[tuple, Callable[..., tuple]]:
     """Start and step of an ip's decisions: (tokens, last time, end of its ban) and what becomes of a request at t."""
     burst = max(1.0, float(burst))
@@ -93,7 +99,7 @@ def rate_limited(requests: DataFrame, rate: float, burst: float, order: str = "e
     """Adds allowed to requests (ip, ts, order): a token bucket for each ip; a rate of 0 or less allows all."""
     if rate <= 0:
         return requests.withColumn("allowed", F.lit(True))
-    found = folded(requests, ["ip"], [_seconds(), F.col(order)], [_seconds()], *bucket_step(rate, burst), "allowed", BooleanType())
+    found = folded(requests, ["ip"], [_seconds(), F.col(order)], [_seconds()], *bucket_step(rate, burst), "allowed", BooleanType(), gap=full_after(rate, burst))
     return found.withColumn("allowed", F.coalesce("allowed", F.lit(False)))
 
 
@@ -104,7 +110,7 @@ def decisions(scored: DataFrame, rate: float, burst: float, ban_s: int, enforce:
     denied and bans its ip if ``enforce``, else flagged. A ban holds ``ban_s`` seconds.
     """
     start, step = decision_step(rate, burst, ban_s, enforce)
-    found = folded(scored, ["ip"], [_seconds(), F.col(order), F.col("block")], [_seconds(), F.col("block")], start, step, "decision", StringType())
+    found = folded(scored, ["ip"], [_seconds(), F.col(order), F.col("block")], [_seconds(), F.col("block")], start, step, "decision", StringType(), gap=max(full_after(rate, burst), float(max(0, ban_s)) + 1))
     return found.filter(F.col("ip").isNotNull())
 
 

@@ -214,3 +214,23 @@ SQL: dict[str, str] = {
     "page_url_templates": f"select {_template('path')} as template, count(*) as n from (select string_split(string_split(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '#')[1], '?')[1] as path from pages) group by 1",
     "page_query_keys": f"with r as (select case when contains(u, '?') then substr(u, strpos(u, '?') + 1) else '' end as q from (select string_split(url, '#')[1] as u from pages)) select key, count(*) as n, count(*) / (select count(*) from r) as coverage from (select {_PAIRS.format(q='q')} as key from r) group by key",
 }
+
+SQL |= {
+    "request_parameters": f"""with {_ACCESS} select event_id, case event_id % 6 when 0 then event_id when 1 then 7 when 4 then -3 else 50 end as limit_,
+      [90.0::double, 5400, 60, 60, 90.25, 60, 60][event_id % 7 + 1] as window_s, case event_id % 3 when 0 then event_id end as start,
+      ['4|5', event_id || '|-1', '', ''][event_id % 4 + 1] as classes, ['4|5|x', event_id || '|-1|2.5', '', 'a|b'][event_id % 4 + 1] as items from access""",
+    "templates_by_version": f"""with {_ACCESS}, v as (select *, cast(case when t >= timestamp '2024-01-01 00:40:00' then 3 when t >= timestamp '2024-01-01 00:20:00' then 2 else 1 end as bigint) as version from access)
+      select event_id, case when version = 2 and path like '/api/users/%' then '/api/users/{{user}}/orders/{{order}}' when version = 2 and path like '/api/products/%' then '/api/products/{{sku}}'
+        when version = 3 and path like '/download/%' then '/download/{{token}}/file' else {_template('path')} end as template, version from v where not (version = 3 and path = '/signup')""",
+    "ban_changes": f"""with {_ACCESS}, b as (select ip, epoch_us(t) as s, epoch_us(t) + 120000000 as e, cast(status as varchar) as reason from access where status >= 500),
+      o as (select *, coalesce(s > max(e) over (partition by ip order by s, reason rows between unbounded preceding and 1 preceding), true) as opens from b),
+      n as (select *, sum(opens::int) over (partition by ip order by s, reason rows unbounded preceding) as n from o),
+      i as (select ip, min(s) as s, max(e) as e, arg_min(reason, (s, reason)) as reason from n group by ip, n)
+      select ip, s as us, 'ban' as action, reason from i union all select ip, e, 'unban', reason from i""",
+    "blocked_asof": f"""with {_ACCESS} select event_id, ip, exists (select 1 from access b where b.status >= 500 and b.ip = a.ip and b.t < a.t and epoch_us(a.t) < epoch_us(b.t) + 120000000) as blocked from access a""",
+    "trap_port_bans": f"""with recursive {_ACCESS}, bad as (select ip, cast(epoch(ts) as bigint) as s, event_id % 3 + 2222 as port from access where status = 400), {_cooled("bad", "ip", 300)}
+      select ip, s as ts, 'sentinel: trap port ' || min(port) as reason, s + 300 as expires from bad semi join sent using (ip, s) group by ip, s""",
+    "guard_health": f"""select 'ok' as status, 'enforce' as mode, 11 as rules, cast(epoch(timestamp '2024-01-01 01:00:00') as bigint) as time, d.*, b.* from
+      (select count(*) as total, count(*) filter (decision in ('banned', 'limited', 'blocked')) as denied, count(*) filter (decision = 'flagged') as flagged from ({_DECISION})) d,
+      (with {_ACCESS} select count(*) as active_bans from (select max(epoch_us(t) // 1000000 + 900) as expires from access where status >= 500 group by ip) where expires > epoch(timestamp '2024-01-01 01:00:00')) b""",
+}

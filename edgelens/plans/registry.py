@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgelens.functions import normalize, query_string
+from edgelens.functions import normalize, parameters, query_string
 from edgelens.functions.parse import client_ip, parse_lines, path_of, query_of, since
-from edgelens.operators import alerts, enforce, report, rollup, series, signatures
+from edgelens.operators import alerts, enforce, history, report, rollup, series, signatures
+from edgelens.plans import config, settings
 from edgelens.sources import testlog
 from edgelens.sources.tables import stored
 
@@ -328,3 +329,55 @@ def since_argument(spark, sf_dir):
 @query
 def report_total(spark, sf_dir):
     return report.total(failed(spark, sf_dir), report.ReportFilter(classes=(5,), start="2024-01-01 00:10:00", end="2024-01-01 00:59:00"))
+
+
+@query
+def request_parameters(spark, sf_dir):
+    """Numbers, durations, times and lists as text, good and bad ones by event_id."""
+    k, own = F.col("event_id"), F.col("event_id").cast("string")
+
+    def of(*texts: Column | str) -> Column:
+        return F.element_at(F.array(*[t if isinstance(t, Column) else F.lit(t) for t in texts]), (k % len(texts) + 1).cast("int"))
+
+    limit, window, start, classes = of(own, "+7", "x9", "", "-3", "99999999999999999999"), of("90s", "1h30m", "-5s", "bad", "1.5m250ms", "0s", "5"), of(own, "soon", ""), of("4, 5,x", F.concat(own, F.lit(",,-1 ,2.5")), "", "a,b")
+    return testlog.access(spark, sf_dir).select(
+        "event_id", parameters.int_value(limit, 50).alias("limit_"), parameters.seconds_value(window, 60).alias("window_s"), F.unix_seconds(parameters.unix_value(start)).alias("start"),
+        F.array_join(F.transform(parameters.int_list(classes), lambda n: n.cast("string")), "|").alias("classes"), F.array_join(parameters.text_list(classes), "|").alias("items"),
+    )
+
+
+@query
+def templates_by_version(spark, sf_dir):
+    """Templates by the settings in force at each request's time, of three versions."""
+    start = 1_704_067_200
+    versions = [settings.Version(i + 1, start + 1200 * i, c) for i, c in enumerate([config.Config(), config.Config(route_patterns=PATTERNS), config.Config(route_patterns=["/download/:token/file"], ignore_paths=["/signup"])])]
+    return settings.templated(testlog.access(spark, sf_dir), versions, F.col("t")).select("event_id", "template", "version")
+
+
+def bad_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arrivals(spark, sf_dir).filter("status >= 500").withColumn("reason", F.col("status").cast("string"))
+
+
+@query
+def ban_changes(spark, sf_dir):
+    changes = history.ban_changes(history.ban_history(bad_requests(spark, sf_dir), 120))
+    return changes.select("ip", F.unix_micros("ts").alias("us"), "action", "reason")
+
+
+@query
+def blocked_asof(spark, sf_dir):
+    return history.blocked_asof(arrivals(spark, sf_dir), history.ban_history(bad_requests(spark, sf_dir), 120)).select("event_id", "ip", "blocked")
+
+
+@query
+def trap_port_bans(spark, sf_dir):
+    """Requests answered with 400 as connections to one of three ports."""
+    hits = arrivals(spark, sf_dir).filter("status = 400").withColumn("port", (F.col("event_id") % 3 + 2222).cast("int"))
+    return named(history.trap_bans(hits.withColumn("ts", F.timestamp_seconds(F.unix_seconds("ts"))), 300))
+
+
+@query
+def guard_health(spark, sf_dir):
+    decided = enforce.decisions(arrivals(spark, sf_dir).withColumn("block", F.col("status") == 500), 0.01, 3, 600, True)
+    held = enforce.bans(bad_requests(spark, sf_dir), 900)
+    return named(history.health(signatures.rule_count(), "enforce", decided, held, ts("2024-01-01 01:00:00")))
