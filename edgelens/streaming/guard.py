@@ -81,3 +81,53 @@ def decisions(scored: DataFrame, rate: float, burst: float, ban_s: int, enforcin
 
     block = F.coalesce(F.col("block"), F.lit(False))
     return _stepped(scored, [_seconds(), block], start, step, idle, "decision", "string", "tokens double, last double, until double")
+
+
+def ban_changes(events: DataFrame, seconds: int) -> DataFrame:
+    """ip, ts, action and reason of a stream of events (ip, ts, reason, and ``lift``: true takes a ban away): who is banned from when on, and until when.
+
+    The stream needs a watermark on ts. A ban's end is a timer: the ``unban`` row comes when the watermark has passed it, or
+    with a later event of the ip, and bears the ban's end as its ts. A ban that another one follows before or as it ends is
+    prolonged without a row; one that arrives after a later ban has begun doesn't move that one's row. Events without an ip
+    or a time give none. State is one number and a reason for each ip that is banned.
+    """
+    length = int(seconds) * 1_000_000
+    named = "lift" in events.columns
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
+        until, reason = held.get if held.exists else (None, None)
+        out = []
+        if held.hasTimedOut:
+            out.append((until, "unban", reason))
+            until = None
+        else:
+            for t, why, lift in sorted(((t, w, bool(x)) for f in frames for t, w, x in zip(f["us"], f["reason"], f["lift"], strict=True)), key=lambda r: (r[0], r[2], r[1] or "")):
+                if until is not None and t > until:
+                    out.append((until, "unban", reason))
+                    until = None
+                if lift:
+                    if until is not None:
+                        out.append((t, "unban", reason))
+                    until = None
+                elif until is None:
+                    out.append((t, "ban", why))
+                    until, reason = t + length, why
+                else:
+                    until = max(until, t + length)
+            if until is not None and until // 1000 < held.getCurrentWatermarkMs():
+                out.append((until, "unban", reason))
+                until = None
+        if until is None:
+            held.remove()
+        else:
+            held.update((until, reason))
+            held.setTimeoutTimestamp(-(-until // 1000))
+        yield pd.DataFrame({"ip": [key[0]] * len(out), "us": [x[0] for x in out], "action": [x[1] for x in out], "reason": [x[2] for x in out]})
+
+    lift = F.coalesce(F.col("lift"), F.lit(False)) if named else F.lit(False)
+    picked = events.filter((F.coalesce("ip", F.lit("")) != "") & F.col("ts").isNotNull() & F.lit(seconds > 0))
+    picked = picked.select("ip", "ts", F.unix_micros("ts").alias("us"), "reason", lift.alias("lift"))
+    found = picked.groupBy("ip").applyInPandasWithState(run, "ip string, us long, action string, reason string", "until long, reason string", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("ip", F.timestamp_micros("us").alias("ts"), "action", "reason")
