@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from edgelens.functions.parse import status_class
 from edgelens.operators.fold import folded
-from edgelens.operators.series import dense_minutes
+from edgelens.operators.rollup import counts
 
 
 @dataclass(frozen=True)
@@ -38,6 +38,8 @@ class AnomalyConfig:
 
 #: A baseline minute needs so many requests, and a baseline so many minutes.
 MIN_REQUESTS, MIN_MINUTES = 5, 5
+#: Minutes of a slice of a scope's history.
+SLICE = 1440
 
 
 def latest(cube: DataFrame) -> DataFrame:
@@ -84,31 +86,39 @@ def flood_alert(cube: DataFrame, rule: AlertRule, now: Column | None = None) ->
 def anomaly_backtest(cube: DataFrame, config: AnomalyConfig = AnomalyConfig(), minutes: int | None = None) -> DataFrame:
     """scope, label, minute and whether the rule fires there, for every minute of the data (or the last ``minutes``).
 
-    Each scope (a site, or all as an empty text) has its dense minutes in one window partition: 1440 rows a day.
+    A scope is a site, or all as an empty text. Minutes whose evaluation window holds no request of the scope have no row:
+    nothing can fire there, and a stray date adds only its own minutes. Windows run within slices of SLICE minutes, to
+    which the minutes before are given that a baseline reaches back to, so a scope's history is never one window partition.
     """
-    span = cube.agg(F.unix_seconds(F.min("minute")).alias("a"), F.unix_seconds(F.max("minute")).alias("b")).first()
     empty = "scope string, label string, minute timestamp, baseline_minutes long, mean double, stddev double, rate double, samples long, upper double, fires boolean"
-    if span["b"] is None:
+    last = latest(cube).select(F.unix_seconds("now")).first()[0]
+    if last is None:
         return cube.sparkSession.createDataFrame([], empty)
-    end, whole = F.timestamp_seconds(F.lit(span["b"])), (span["b"] - span["a"]) // 60 + 1
-    if minutes is not None:  # no more of the past than the last minutes' baselines need
-        whole = min(whole, minutes + config.eval_min + max(5, config.baseline_min))
-    dense = dense_minutes(cube, end, whole).withColumn("s", F.unix_seconds("minute"))
-    each = dense.select("scope", "minute", "s", "total", F.explode(F.array(F.struct(F.lit("5xx").alias("label"), F.col("c5xx").alias("hit")), F.struct(F.lit("4xx").alias("label"), F.col("c4xx").alias("hit")))).alias("x")).select("scope", "minute", "s", "total", "x.*")
     base = max(5, config.baseline_min)
-    by = Window.partitionBy("scope", "label").orderBy("s")
-    before = by.rangeBetween(-(config.eval_min + base - 1) * 60, -config.eval_min * 60)
+    reach = config.eval_min + base - 1
+    if minutes is not None:  # no more of the past than the last minutes' baselines need
+        cube = cube.filter(F.col("minute") > F.timestamp_seconds(F.lit(last - 60 * (minutes + reach))))
+    sums = cube.withColumn("scope", F.explode(F.array(F.lit(""), F.col("site")))).groupBy("scope", F.unix_seconds("minute").alias("s")).agg(*counts())
+    # The minutes behind one with requests are evaluated too, as long as it is in their window.
+    later = sums.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(config.eval_min - 1)))).withColumn("s", F.col("s") + 60 * F.col("k")).filter(F.col("s") <= last)
+    own = F.col("k") == 0
+    points = later.groupBy("scope", "s").agg(*[F.sum(F.when(own, F.col(c)).otherwise(0)).alias(c) for c in ("total", "c4xx", "c5xx")])
+    minute = F.floor(F.col("s") / 60)
+    dealt = points.withColumn("home", F.floor(minute / SLICE)).withColumn("slice", F.explode(F.sequence(F.col("home"), F.floor((minute + reach) / SLICE))))
+    each = dealt.select("scope", "s", "total", "home", "slice", F.explode(F.array(F.struct(F.lit("5xx").alias("label"), F.col("c5xx").alias("hit")), F.struct(F.lit("4xx").alias("label"), F.col("c4xx").alias("hit")))).alias("x")).select("scope", "s", "total", "home", "slice", "x.*")
+    by = Window.partitionBy("scope", "label", "slice").orderBy("s")
+    before = by.rangeBetween(-reach * 60, -config.eval_min * 60)
     now = by.rangeBetween(-(config.eval_min - 1) * 60, 0)
     rate = F.when(F.col("total") >= MIN_REQUESTS, F.col("hit") / F.col("total"))
     rows = each.withColumn("r", rate).select(
-        "scope", "label", "minute",
+        "scope", "label", F.timestamp_seconds("s").alias("minute"), (F.col("home") == F.col("slice")).alias("own"),
         F.count("r").over(before).alias("baseline_minutes"), F.avg("r").over(before).alias("mean"), F.stddev_pop("r").over(before).alias("stddev"),
         F.sum("hit").over(now).alias("hit"), F.sum("total").over(now).alias("samples"),
     )
-    rows = rows.withColumn("rate", F.when(F.col("samples") > 0, F.col("hit") / F.col("samples")).otherwise(0.0)).withColumn("upper", F.col("mean") + config.sensitivity * F.col("stddev"))
+    rows = rows.filter("own and samples > 0").withColumn("rate", F.col("hit") / F.col("samples")).withColumn("upper", F.col("mean") + config.sensitivity * F.col("stddev"))
     fires = (F.col("baseline_minutes") >= MIN_MINUTES) & (F.col("samples") >= config.min_samples) & (F.col("rate") >= config.floor) & (F.col("rate") > F.col("upper"))
-    out = rows.withColumn("fires", F.coalesce(fires, F.lit(False))).drop("hit")
-    return out if minutes is None else out.filter(F.col("minute") > F.timestamp_seconds(F.lit(span["b"] - 60 * minutes)))
+    out = rows.withColumn("fires", F.coalesce(fires, F.lit(False))).drop("hit", "own")
+    return out if minutes is None else out.filter(F.col("minute") > F.timestamp_seconds(F.lit(last - 60 * minutes)))
 
 
 def cooled(fired: DataFrame, keys: list[str], time: str, cooldown_s: int) -> DataFrame:

@@ -28,6 +28,10 @@ def merged(cubes: DataFrame) -> DataFrame:
     return cubes.groupBy("minute", "site", "method", "template", "ip", "status").agg(F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
 
 
+#: The names of what ``counts`` gives.
+COUNTS = ["total", *[f"c{i}xx" for i in range(1, 6)]]
+
+
 def counts() -> list[Column]:
     """total and c1xx to c5xx of hits; other statuses count in total alone."""
     k = status_class(F.col("status"))
@@ -39,8 +43,19 @@ def with_rates(df: DataFrame) -> DataFrame:
 
 
 def overview(cube: DataFrame) -> DataFrame:
-    """One row of totals, rates, distinct ips and endpoints, and the sites in order."""
-    row = cube.agg(*counts(), F.countDistinct("ip").alias("distinct_ips"), F.countDistinct("site", "method", "template").alias("distinct_endpoints"), F.array_join(F.array_sort(F.collect_set("site")), ",").alias("sites"))
+    """One row of totals, rates, distinct ips and endpoints, and the sites in order.
+
+    Distinct values are keys of groupings of their own, one below the other, so no row is multiplied.
+    """
+    narrow = cube.groupBy("ip", "site", "method", "template").agg(*counts())
+    by_ip = narrow.groupBy("ip").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    ends = narrow.groupBy("site", "method", "template").agg(F.lit(1).alias("one"))
+    zero = F.lit(0).cast("long")
+    parts = by_ip.select(*COUNTS, F.col("ip").isNotNull().cast("long").alias("ips"), zero.alias("ends"), F.lit(None).cast("string").alias("site"))
+    known = F.col("site").isNotNull() & F.col("method").isNotNull() & F.col("template").isNotNull()
+    parts = parts.union(ends.select(*[zero.alias(c) for c in COUNTS], zero.alias("ips"), known.cast("long").alias("ends"), "site"))
+    sums = [F.coalesce(F.sum(c), zero).alias(c) for c in COUNTS]
+    row = parts.agg(*sums, F.coalesce(F.sum("ips"), zero).alias("distinct_ips"), F.coalesce(F.sum("ends"), zero).alias("distinct_endpoints"), F.array_join(F.array_sort(F.collect_set("site")), ",").alias("sites"))
     return with_rates(row)
 
 

@@ -95,7 +95,7 @@ def ignore_since(spark, sf_dir):
 
 @query
 def overview(spark, sf_dir):
-    return rollup.overview(cube(spark, sf_dir))
+    return rollup.overview(stored_cube(spark, sf_dir))
 
 
 @query

@@ -13,6 +13,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="edgelens-")
         spark.sparkContext.setCheckpointDir(top)
     path = f"{top.rstrip('/')}/edgelens-{name}-{uuid.uuid4().hex}"

@@ -163,3 +163,43 @@ def test_folds_with_null_keys_ties_and_clashing_columns(spark):
     assert enforce.rate_limited(rows.filter("false"), 0.01, 1).isEmpty()
     scored = rows.withColumn("score", F.lit(15))
     assert {(r.ip, r.event_id) for r in enforce.line_bans(scored, 50).collect()} == {("a", 1), ("a", 4), ("b", 5)}
+
+
+def test_anomalies_of_slices_equal_one_window(spark, monkeypatch):
+    """Against each minute's definition, with gaps, a stray date, and slices shorter than a baseline."""
+    rng = random.Random(5)
+    rows = []
+    minutes = sorted(rng.sample(range(200), 120))
+    for m in minutes:
+        for site in ("a", "b"):
+            if rng.random() < 0.85:
+                bad = 0 if rng.random() < 0.8 else rng.randrange(9)
+                rows += [(m, site, 500, bad), (m, site, 404, rng.randrange(3)), (m, site, 200, rng.randrange(3, 30))]
+    rows.append((-29_000_000, "a", 500, 50))
+    cube = spark.createDataFrame([r for r in rows if r[3]], "m long, site string, status int, n long").withColumn("minute", F.timestamp_seconds(1_752_000_000 + F.col("m") * 60))
+    monkeypatch.setattr(alerts, "SLICE", 7)
+    config = alerts.AnomalyConfig(baseline_min=20, eval_min=3, min_samples=10, sensitivity=1.0, floor=0.01)
+    got = {(r.scope, r.label, r.m): r for r in alerts.anomaly_backtest(cube, config).withColumn("m", ((F.unix_seconds("minute") - 1_752_000_000) / 60).cast("long")).collect()}
+    last, fired, want = max(r[0] for r in rows if r[3]), 0, set()
+    for scope in ("", "a", "b"):
+        own = [r for r in rows if scope in ("", r[1])]
+        for label, k in (("5xx", 5), ("4xx", 4)):
+            total, hit = {}, {}
+            for m, _, status, n in own:
+                total[m] = total.get(m, 0) + n
+                hit[m] = hit.get(m, 0) + n * (status // 100 == k)
+            for m in {m + d for m in total for d in range(3) if total[m] and m + d <= last}:
+                samples, bad = (sum(x.get(j, 0) for j in range(m - 2, m + 1)) for x in (total, hit))
+                rates = [hit[j] / total[j] for j in range(m - 22, m - 2) if total.get(j, 0) >= 5]
+                want.add((scope, label, m))
+                r = got[scope, label, m]
+                assert (r.samples, r.baseline_minutes) == (samples, len(rates)) and abs(r.rate - bad / samples) < 1e-9
+                mean = sum(rates) / len(rates) if rates else None
+                upper = mean + (sum((x - mean) ** 2 for x in rates) / len(rates)) ** 0.5 if rates else None
+                assert (r.upper is None) == (upper is None) and (upper is None or abs(r.upper - upper) < 1e-9)
+                fires = len(rates) >= 5 and samples >= 10 and bad / samples >= 0.01 and bad / samples > upper
+                assert r.fires == fires or abs(bad / samples - upper) < 1e-9
+                fired += fires
+    assert set(got) == want and fired > 10
+    latest = {(r.scope, r.label): r.fires for r in alerts.anomaly_backtest(cube, config, minutes=1).collect()}
+    assert latest == {(s, k): r.fires for (s, k, m), r in got.items() if m == last}
