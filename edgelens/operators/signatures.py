@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
@@ -94,6 +96,51 @@ def any_present(text: Column, keywords: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(k)) for k in keywords if k], F.lit(False))
 
 
+#: Bytes of a gram, least buckets of the table of grams, and bytes of a text that are looked at together.
+GRAM, LEAST_BUCKETS, PIECE = 4, 1024, 1 << 16
+
+
+def gram_table(keywords: list[str]) -> list[list[int]]:
+    """By bucket the numbers of the keywords of GRAM bytes and more: each stands in the bucket of its gram that fewest keywords have.
+
+    There are 16 buckets a keyword at least, a power of two; a gram's bucket is its CRC-32 modulo that.
+    """
+    grams = {i: {b[j : j + GRAM] for j in range(len(b) - GRAM + 1)} for i, k in enumerate(keywords) if len(b := k.encode()) >= GRAM}
+    shared = Counter(g for own in grams.values() for g in own)
+    size = max(LEAST_BUCKETS, 1 << max(0, 16 * len(grams) - 1).bit_length())
+    out: list[list[int]] = [[] for _ in range(size)]
+    for i, own in grams.items():
+        out[zlib.crc32(min(own, key=lambda g: (shared[g], g))) % size].append(i)
+    return out
+
+
+def present_many(text: Column, keywords: list[str]) -> Column:
+    """As ``present``, for thousands of keywords: one pass over the text's grams picks the few that ``contains`` then confirms.
+
+    The work is that of the text's length and of the keywords whose gram it holds, not of their product. The table is a
+    constant of the expression: some hundred bytes a keyword. Keywords of fewer bytes than a gram are tried one by one.
+    """
+    known = [k for k in dict.fromkeys(keywords) if k]
+    few = [(i, k) for i, k in enumerate(known) if len(k.encode()) < GRAM]
+    table = gram_table(known)
+    buckets, names = F.from_json(F.lit(json.dumps(table)), "array<array<int>>"), F.from_json(F.lit(json.dumps(known)), "array<string>")
+
+    def hit(piece: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.octet_length(piece) - (GRAM - 1), F.lit(1)))
+        slots = F.array_distinct(F.transform(places, lambda i: (F.crc32(F.substring(piece, i, F.lit(GRAM))) % len(table) + 1).cast("int")))
+        return F.filter(slots, lambda s: F.size(F.element_at(buckets, s)) > 0)
+
+    def found(whole: Column, data: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.floor(F.octet_length(data) / PIECE)), lambda p: F.substring(data, (p * PIECE + 1).cast("int"), F.lit(PIECE + GRAM - 1)))
+        slots = F.array_distinct(F.flatten(F.transform(pieces, hit)))
+        many = F.filter(F.flatten(F.transform(slots, lambda s: F.element_at(buckets, s))), lambda i: F.contains(whole, F.element_at(names, i + 1)))
+        short = F.filter(F.array(*[F.lit(i) for i, _ in few]).cast("array<int>"), lambda i: F.contains(whole, F.element_at(names, i + 1)))
+        return F.transform(F.array_sort(F.concat(many, short)), lambda i: F.element_at(names, i + 1))
+
+    # The text is a lambda's variable, so that it is made once and not for each keyword.
+    return F.transform(F.array(F.struct(text.alias("t"), text.cast("binary").alias("b"))), lambda x: found(x["t"], x["b"]))[0]
+
+
 def fires(rule: Rule) -> Column:
     """Keywords are looked for in the whole request first, which spares most requests the rest."""
 

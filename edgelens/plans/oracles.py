@@ -230,6 +230,10 @@ SQL |= {
     "blocked_asof": f"""with {_ACCESS} select event_id, ip, exists (select 1 from access b where b.status >= 500 and b.ip = a.ip and b.t < a.t and epoch_us(a.t) < epoch_us(b.t) + 120000000) as blocked from access a""",
     "trap_port_bans": f"""with recursive {_ACCESS}, bad as (select ip, cast(epoch(ts) as bigint) as s, event_id % 3 + 2222 as port from access where status = 400), {_cooled("bad", "ip", 300)}
       select ip, s as ts, 'sentinel: trap port ' || min(port) as reason, s + 300 as expires from bad semi join sent using (ip, s) group by ip, s""",
+    "keyword_match_many": """with s as (select ['the', 'an', 're', 'in', 'on', 'er', 'nd', 'st', 'es', 'ti', 'ha', 'wh', 'ou', 'ed', 'ea', 'or', 'at', 'ing', 'tion', 'ly', 'ble', 'sh', 'en', 'éré', 'ci', 'ung'] as s),
+      k as (select flatten(list_transform(s, lambda a: list_transform(s, lambda b: a || b))) as k from s),
+      f as (select doc_id, list_filter((select k from k), lambda w: contains(lower(text), w)) as f from documents)
+      select doc_id, cast(coalesce(len(f), 0) as int) as n, md5(coalesce(array_to_string(f, ','), '')) as found_md5 from f""",
     "guard_health": f"""select 'ok' as status, 'enforce' as mode, 11 as rules, cast(epoch(timestamp '2024-01-01 01:00:00') as bigint) as time, d.*, b.* from
       (select count(*) as total, count(*) filter (decision in ('banned', 'limited', 'blocked')) as denied, count(*) filter (decision = 'flagged') as flagged from ({_DECISION})) d,
       (with {_ACCESS} select count(*) as active_bans from (select max(epoch_us(t) // 1000000 + 900) as expires from access where status >= 500 group by ip) where expires > epoch(timestamp '2024-01-01 01:00:00')) b""",

@@ -381,3 +381,15 @@ def guard_health(spark, sf_dir):
     decided = enforce.decisions(arrivals(spark, sf_dir).withColumn("block", F.col("status") == 500), 0.01, 3, 600, True)
     held = enforce.bans(bad_requests(spark, sf_dir), 900)
     return named(history.health(signatures.rule_count(), "enforce", decided, held, ts("2024-01-01 01:00:00")))
+
+
+#: Parts of words, of which each pair is a keyword.
+SYLLABLES = ["the", "an", "re", "in", "on", "er", "nd", "st", "es", "ti", "ha", "wh", "ou", "ed", "ea", "or", "at", "ing", "tion", "ly", "ble", "sh", "en", "éré", "ci", "ung"]
+
+
+@query
+def keyword_match_many(spark, sf_dir):
+    """All pairs of syllables as keywords, in whole documents."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = signatures.present_many(F.lower("text"), [a + b for a in SYLLABLES for b in SYLLABLES])
+    return rows.select("doc_id", F.coalesce(F.size(found), F.lit(0)).alias("n"), F.md5(F.coalesce(F.array_join(found, ","), F.lit(""))).alias("found_md5"))
