@@ -59,6 +59,7 @@ class Pieces:
                 a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
                 if a is not None and b is not None:
                     made[a * PAIR + b] = i
+        self.pairs, self.ranks = made, self.rank.tolist()
         self.table = np.arange(OTHER, OTHER + 0x110000, dtype=np.int32)
         for c, i in self.ids.items():
             if len(c) == 1 and c != SPACE:
@@ -158,33 +159,43 @@ def together(p: Pieces, symbols: np.ndarray, sizes: np.ndarray, marks: np.ndarra
     return s
 
 
-def alone(p: Pieces, symbols: list[int], mark: int, dropout: float, seed: int) -> list[int]:
-    """Segments one word of any length by its own agenda; equal to ``together``."""
+_MASK = (1 << 64) - 1
+
+
+def _mixed(x: int) -> int:
+    """``mix`` of one number."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _MASK
+    return x ^ x >> 31
+
+
+def alone(p: Pieces, symbols: np.ndarray, mark: int, dropout: float, seed: int) -> list[int]:
+    """Segments one word of any length by its own agenda; equal to ``together``.
+
+    The first candidates are found at once. Each merge then proposes two more, by plain numbers, so the work is that of
+    the agenda: the word's length times its logarithm.
+    """
     n = len(symbols)
-    s, after, before, end = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    agenda: list[tuple[int, int, int, int, int]] = []
-
-    def propose(lefts: list[int]) -> None:
-        lefts = [i for i in lefts if i >= 0 and after[i] < n]
-        if not lefts:
-            return
-        i, j = np.array(lefts), np.array([after[k] for k in lefts])
-        made = p.merge(np.array([s[k] for k in lefts]), np.array([s[k] for k in j.tolist()]))
-        ends = np.array([end[k] for k in j.tolist()])
-        lost = keyed(seed, np.full(len(lefts), mark, np.uint64), i, ends, j) < dropout
-        for a, b, m, e, x in zip(lefts, j.tolist(), made.tolist(), ends.tolist(), lost.tolist(), strict=True):
-            if m >= 0 and not x:
-                heapq.heappush(agenda, (int(p.rank[m]), a, b, e, m))
-
-    propose(list(range(n)))
+    at = np.arange(n - 1)
+    made = p.merge(symbols[:-1], symbols[1:])
+    kept = (made >= 0) & ~(keyed(seed, np.full(n - 1, mark, np.uint64), at, at + 2, at + 1) < dropout)
+    agenda = list(zip(p.rank[made[kept]].tolist(), at[kept].tolist(), (at[kept] + 1).tolist(), (at[kept] + 2).tolist(), made[kept].tolist(), strict=True))
+    heapq.heapify(agenda)
+    s, after, before, end = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    pairs, rank, base = p.pairs, p.ranks, _mixed((mark + seed) & _MASK)
     while agenda:
         _, i, j, e, m = heapq.heappop(agenda)
-        if s[i] < 0 or after[i] != j or j >= n or s[j] < 0 or end[j] != e or end[i] != j:
+        if s[i] < 0 or after[i] != j or s[j] < 0 or end[j] != e or end[i] != j:
             continue
         s[i], s[j], end[i], after[i] = m, -1, e, after[j]
         if after[i] < n:
             before[after[i]] = i
-        propose([before[i], i])
+        for a in (before[i], i):
+            if a < 0 or (b := after[a]) >= n:
+                continue
+            union = pairs.get(s[a] * PAIR + s[b])
+            if union is not None and (not dropout or (_mixed(base ^ ((a << 42 | b << 21 | end[b]) & _MASK)) >> 11) / 2.0**53 >= dropout):
+                heapq.heappush(agenda, (rank[union], a, b, end[b], union))
     return [x for x in s if x >= 0]
 
 
@@ -212,7 +223,7 @@ def encoder(model_path: str, dropout: float, seed: int):
             parts.append(found[some])
             count[lo:hi] = some.sum(1)
         for at, (i, symbols) in rest.items():
-            ids = p.spelled(alone(p, p.symbols(words[at]).tolist(), int(marks[i]), dropout, seed) if symbols is None else symbols)
+            ids = p.spelled(alone(p, p.symbols(words[at]), int(marks[i]), dropout, seed) if symbols is None else symbols)
             rest[at] = len(ids)
             parts.append(np.array(ids, np.int32))
         first, number = np.empty_like(count), np.empty_like(count)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -235,13 +236,65 @@ def test_merge_dropout(spark):
     assert len(some[6].ids) > len(plain[6].ids)
 
 
+def plain_agenda(word, mark, dropout, seed, rank):
+    """The pieces of a word by looking for the best candidate again and again; what is drawn is spelled out here."""
+    limit = 1 << 64
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % limit
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % limit
+        return x ^ x >> 31
+
+    parts = [(i, i + 1) for i in range(len(word))]
+    while True:
+        best = None
+        for k in range(len(parts) - 1):
+            (a, b), (_, c) = parts[k], parts[k + 1]
+            if word[a:c] in rank and word[a:b] in rank and word[b:c] in rank and (mixed(mixed((mark + seed) % limit) ^ (a << 42 | b << 21 | c) % limit) >> 11) / 2**53 >= dropout:
+                best = min(best or (rank[word[a:c]], k), (rank[word[a:c]], k))
+        if best is None:
+            return [word[a:b] for a, b in parts]
+        k = best[1]
+        parts[k : k + 2] = [(parts[k][0], parts[k + 1][1])]
+
+
+def test_merge_dropout_against_a_plain_agenda():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    whole = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    rank = {sp.id_to_piece(i): r for r, i in enumerate(sorted(whole, key=lambda i: (-sp.get_score(i), i)))}
+    model, rng = pieces.Pieces(path), random.Random(4)
+    base = "internationalization of unspaced writing systems 日本語のテキストには空白がありません ไม่มีช่องว่าง".split()
+    for size in (1, 2, 5, 23, 24, 25, 60, 200):
+        for dropout in (0.0, 0.1, 0.5):
+            word = ("▁" + "".join(rng.choice(base) for _ in range(size)))[:size]
+            mark, seed = rng.randrange(1 << 64), 7
+            want = plain_agenda(word, mark, dropout, seed, rank)
+            symbols = model.symbols(word.replace("▁", " "))
+            got = pieces.alone(model, symbols, mark, dropout, seed)
+            assert [sp.id_to_piece(i) if i < pieces.OTHER else chr(i - pieces.OTHER) for i in got] == want
+            grid = pieces.together(model, symbols, np.array([len(symbols)]), np.array([mark], np.uint64), dropout, seed)
+            assert grid[grid >= 0].tolist() == got
+
+
+def test_a_text_without_spaces_takes_time_by_its_length():
+    model, rng = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model")), random.Random(5)
+    text = "".join(rng.choice(["nation", "al", "ization", "ing", "の", "本", "un"]) for _ in range(300_000))
+    began = time.process_time()
+    ids = pieces.alone(model, model.symbols(" " + text), 5, 0.1, 1)
+    assert time.process_time() - began < 20
+    assert model.decode(model.spelled(ids)) == text
+
+
 def test_merge_dropout_is_drawn_for_each_occurrence(spark):
     path, text = public_tokenizers.path("piece_bpe_32k.model"), "international " * 300 + " " + "y" * 30
     rows = pieces.encode(docs(spark, [text, text]), path, dropout=0.3, seed=5).withColumn("key", F.xxhash64("doc_id")).collect()
     model = pieces.Pieces(path)
     for r in rows:
         at = pieces.occurrences(5, np.array([r.key]).view(np.uint64), np.array([301]))
-        each = [pieces.alone(model, model.symbols(w).tolist(), int(m), 0.3, 5) for w, m in zip([" international"] * 300 + ["  " + "y" * 30], at, strict=True)]
+        each = [pieces.alone(model, model.symbols(w), int(m), 0.3, 5) for w, m in zip([" international"] * 300 + ["  " + "y" * 30], at, strict=True)]
         assert [i for ids in each for i in model.spelled(ids)] == r.ids
         assert len({tuple(ids) for ids in each}) > 20
     assert rows[0].ids != rows[1].ids and all(r.decoded == text for r in rows)
@@ -593,3 +646,29 @@ def test_suffix_dedup(spark, monkeypatch, many, hot):
     assert whole == {i: x[3] for i, x in brute_suffix(texts, 130).items()}
     assert all("\ufffd" not in (r.text or "") for r in suffix.clean(docs(spark, texts), 130).collect())
     assert suffix.dedup(docs(spark, ["a"]).filter("false")).isEmpty()
+
+
+def test_a_second_version_scans_what_was_changed(spark, tmp_path):
+    rng = random.Random(6)
+    texts = ["key = password=hunter22 " + words(rng, n) + f" token: abcdef{n} " for n in (5, 20, 900, 1500)] + [None, ""]
+    df, ledger = docs(spark, texts), str(tmp_path / "ledger")
+    secrets.scan(df.select(secrets.earlier(F.col("text")).alias("text")), ledger)
+    first = spark.read.parquet(ledger)
+    seen, n = {r.blob for r in first.select("blob").distinct().collect()}, first.count()
+    found = {r.doc_id: [(f.kind, f.start, f.end) for f in r.findings] for r in secrets.find_secrets(df, ledger=ledger).collect()}
+    now = spark.read.parquet(ledger)
+    new = {r.blob for r in now.select("blob").distinct().collect()} - seen
+    assert new == {hashlib.sha256(texts[i].encode()).hexdigest() for i in (2, 3)}  # the long ones, which were added to
+    assert now.count() == n + len(new) * len(secrets.RULES)
+    assert found == {r.doc_id: [(f.kind, f.start, f.end) for f in r.findings] for r in secrets.find_secrets(df).collect()} and len(found[3]) == 2
+
+
+def test_pipeline_language_id_keeps_columns_of_the_same_names(spark):
+    import corpus_pipeline
+
+    texts = [("the cat and the dog are in the house " * 5, "en"), ("der hund und die katze sind im haus " * 5, "de")] * 30
+    rows = [(i, t, None if i % 7 == 0 else lang, "s", len(t), 1.0, "mine", True) for i, (t, lang) in enumerate(texts)] + [(99, "1234", "en", "s", 4, 2.0, "x", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, Lang_Pred string, held_out boolean")
+    got = corpus_pipeline.language_id(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == sorted((i, t, texts[i][1], *rest) for i, t, _, *rest in rows[:-1])
