@@ -1,7 +1,7 @@
 """A cleaning pipeline over ``documents``; each stage works on all that the one before kept.
 
 A stage's result is to be written before the next stage is called, as ``run`` does: the next one frees what the one
-before has left in the shared folder.
+before has left in the shared folder. As what a stage returns runs only then, the session keeps the setting TEXTS.
 """
 
 from __future__ import annotations
@@ -42,10 +42,13 @@ def stage(work: Stage) -> Stage:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose code under every language is longer than the text itself, go; lang becomes the language found.
 
-    Where no row has a lang, nothing can be learnt: documents with a letter stay then, as they are.
+    Where no row has a lang, nothing can be learnt: documents with a letter stay then, as they are. All columns but lang
+    stay as they are, also those that the operator has a use for.
     """
-    found = ppm.identify(docs).filter(F.col("text").rlike("\\p{L}") & (F.col("bits_per_byte") <= CHANCE))
-    return found.withColumn("lang", F.when(F.col("lang_pred") != "und", F.col("lang_pred")).otherwise(F.col("lang"))).select(docs.columns)
+    own = {c: f"own_{i}_{c}" for i, c in enumerate(docs.columns) if c.lower() in ("held_out", "lang_pred", "score", "bits_per_byte")}
+    found = ppm.identify(docs.withColumnsRenamed(own)).filter(F.col("text").rlike("\\p{L}") & (F.col("bits_per_byte") <= CHANCE))
+    lang = F.when(F.col("lang_pred") != "und", F.col("lang_pred")).otherwise(F.col("lang"))
+    return found.select(*[(lang if c == "lang" else F.col(f"`{own.get(c, c)}`")).alias(c) for c in docs.columns])
 
 
 @stage
