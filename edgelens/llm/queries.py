@@ -28,8 +28,8 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     ledger = f"{shared_dir(spark)}/ledger"
-    secrets.scan(docs, ledger)
-    found = secrets.find_secrets(docs, ledger=ledger)  # the next version of the table: its pairs are known, so that no text is scanned again
+    secrets.scan(docs.select(secrets.earlier(F.col("text")).alias("text")), ledger)  # the table's version before
+    found = secrets.find_secrets(docs, ledger=ledger)  # the version that is there now: only texts that were changed since are scanned
 
     def count(kind: str) -> Column:
         return F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")

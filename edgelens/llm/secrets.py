@@ -87,6 +87,15 @@ def blob_id(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
+#: Characters from which a text counts as one that was added to.
+GROWN = 4000
+
+
+def earlier(text: Column) -> Column:
+    """What a text was before its last change: its first half where it has GROWN characters or more, else what it is now."""
+    return F.when(F.length(text) >= GROWN, F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int"))).otherwise(text)
+
+
 def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Scan what the ledger lacks, and return the ledger's findings: blob, order, kind, version, spans, one row a pair.
 
