@@ -20,14 +20,14 @@ from edgelens.llm.common import TEXTS, drop, free, gathered, written
 CHANCE = 8.0
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: What the stage called last has left in the shared folder, by session.
-_LEFT: dict[int, list[str]] = {}
+#: What the stage called last has left in the shared folder, by application.
+_LEFT: dict[str, list[str]] = {}
 
 
 def stage(work: Stage) -> Stage:
     @functools.wraps(work)
     def called(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        left = _LEFT.setdefault(id(spark), [])
+        left = _LEFT.setdefault(spark.sparkContext.applicationId, [])
         free(spark, left)
         spark.conf.set(*TEXTS)  # for what a stage returns, as for what it writes itself
         with gathered() as held:
