@@ -3,9 +3,10 @@
 Each language has a tree of byte contexts of up to ``ORDER`` bytes with the counts of what followed. A byte costs
 -log2 of its probability in the longest context that the language has seen; a byte new to a context escapes to the
 context shorter by one (method C: of n follow-ups of d kinds, the escape has d / (n + d)), and at last to all bytes
-alike. Statistics are frozen after training, so the costs of all runs of bytes that any language has seen are worked
-out once, for all languages: a byte of a text takes the row of its longest such run, and the escapes of the contexts
-above it. The language with the shortest code length for the whole text wins.
+alike. Statistics are frozen after training, so the costs of all runs of bytes that any language of a group of GROUP
+has seen are worked out once, for all of them: a byte of a text takes the row of its longest such run, and the escapes of
+the contexts above it. Rows hold the group's languages only, so the model grows with what languages have seen, not with
+its product with their number. The language with the shortest code length for the whole text wins.
 """
 
 from __future__ import annotations
@@ -25,13 +26,15 @@ from edgelens.llm.common import byte_slices
 ORDER = 3
 #: Bounds of the training sample: documents of a language, characters of a document, and documents of all languages.
 TRAIN_DOCS, TRAIN_CHARS, SAMPLE_DOCS = 300, 8_192, 19_200
+#: Languages whose costs share a row, and bytes of a model at most: beyond them half of each language's sample is learnt.
+GROUP, MODEL_BYTES = 8, 400 << 20
 #: Costs (bytes of text times languages) that are summed at once.
 AT_ONCE = 1 << 19
 
 
 @dataclass
 class Table:
-    """Of one order: the runs (context and byte) that any language has seen and their costs, and the contexts and their escapes, in bits by language."""
+    """Of one order and group: the runs (context and byte) that any of its languages has seen and their costs, and the contexts and their escapes, in bits by language."""
 
     keys: np.ndarray
     costs: np.ndarray
@@ -43,7 +46,10 @@ class Table:
 class Model:
     langs: list[str]
     symbols: np.ndarray  # of each byte; what training has not seen shares the last
-    tables: list[Table]  # by order
+    groups: list[list[Table]]  # of each GROUP languages, by order
+
+    def size(self) -> int:
+        return sum(a.nbytes for tables in self.groups for t in tables for a in (t.keys, t.costs, t.contexts, t.escapes))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -79,11 +85,27 @@ def train(rows: list[tuple[str, str]]) -> Model | None:
     symbols = np.full(256, len(seen), np.int64)
     symbols[seen] = np.arange(len(seen))
     size = len(seen) + 1
+    return Model(langs, symbols, [_tables([symbols[data] for data in texts[i : i + GROUP]], size) for i in range(0, len(langs), GROUP)])
+
+
+def learn(rows: list[tuple[str, str]], most: int = MODEL_BYTES) -> Model | None:
+    """As ``train``, from all rows where the model takes ``most`` bytes at most, else from every second row of each language, and so on while they have two."""
+    while True:
+        model = train(rows)
+        if model is None or model.size() <= most or len(rows) == len(model.langs):
+            return model
+        by: dict[str, list[tuple[str, str]]] = {}
+        for row in sorted(rows):
+            by.setdefault(row[0], []).append(row)
+        rows = [row for own in by.values() for row in own[::2]]
+
+
+def _tables(texts: list[np.ndarray], size: int) -> list[Table]:
+    """The tables of a group's languages, given by the symbols of their texts."""
     tables: list[Table] = []
     for order in range(ORDER + 1):
         grams = []  # of each language its (context * size + symbol) keys and their counts
-        for data in texts:
-            s = symbols[data]
+        for s in texts:
             grams.append(np.unique(sum(s[k : len(s) - order + k] * size ** (order - k) for k in range(order + 1)), return_counts=True))
         keys = np.unique(np.concatenate([k for k, _ in grams]))
         contexts = np.unique(keys // size)
@@ -91,8 +113,8 @@ def train(rows: list[tuple[str, str]]) -> Model | None:
             lower = tables[-1]
             shorter = lower.costs[np.searchsorted(lower.keys, keys % size**order)].astype(np.float64)
         else:
-            shorter = np.full((len(keys), len(langs)), 8.0)
-        costs, escapes = np.empty((len(keys), len(langs)), np.float32), np.zeros((len(contexts), len(langs)), np.float32)
+            shorter = np.full((len(keys), len(texts)), 8.0)
+        costs, escapes = np.empty((len(keys), len(texts)), np.float32), np.zeros((len(contexts), len(texts)), np.float32)
         for i, (k, n) in enumerate(grams):
             at = np.searchsorted(contexts, k // size)
             total, kinds = np.bincount(at, n, len(contexts)), np.bincount(at, minlength=len(contexts))
@@ -101,24 +123,24 @@ def train(rows: list[tuple[str, str]]) -> Model | None:
             costs[:, i] = shorter[:, i] + escapes[np.searchsorted(contexts, keys // size), i]
             costs[np.searchsorted(keys, k), i] = -np.log2(n / whole[at])
         tables.append(Table(keys, costs, contexts, escapes))
-    return Model(langs, symbols, tables)
+    return tables
 
 
-def _bits(model: Model, key: np.ndarray, size: int) -> np.ndarray:
-    """Bits of the last symbol of each run of ORDER + 1 symbols, by language."""
+def _bits(tables: list[Table], key: np.ndarray, size: int) -> np.ndarray:
+    """Bits of the last symbol of each run of ORDER + 1 symbols, by language of a group."""
 
     def place(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
         return at, known[at] == wanted
 
-    whole = model.tables[ORDER]
+    whole = tables[ORDER]
     at, hit = place(whole.keys, key)
     out = whole.costs[at].astype(np.float64)
     todo = np.flatnonzero(~hit)
     out[todo] = 0
     key = key[todo]
     for order in reversed(range(ORDER + 1)):
-        table = model.tables[order]
+        table = tables[order]
         if order < ORDER:
             at, hit = place(table.keys, key)
             out[todo[hit]] += table.costs[at[hit]]
@@ -136,7 +158,7 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     """Bits of each text of a slice under each language; zero bytes stand before a text."""
     size, zero = int(model.symbols.max()) + 1, int(model.symbols[0])
     total = np.zeros((len(offsets) - 1, len(model.langs)))
-    step = max(1, AT_ONCE // len(model.langs))
+    step = max(1, AT_ONCE // min(GROUP, len(model.langs)))
     for lo in range(0, len(data), step):
         hi = min(len(data), lo + step)
         at = np.arange(lo, hi)
@@ -148,7 +170,8 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
         for back in range(1, ORDER + 1):
             key = key + np.where(place < back, zero, s[ORDER - back : len(s) - back]) * size**back
         edge = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-        total[text[edge]] += np.add.reduceat(_bits(model, key, size), edge, 0)
+        for i, tables in enumerate(model.groups):
+            total[text[edge], i * GROUP : (i + 1) * GROUP] += np.add.reduceat(_bits(tables, key, size), edge, 0)
     return total
 
 
@@ -163,17 +186,17 @@ def identify(docs: DataFrame) -> DataFrame:
     empty table. A text is held by one task; beyond its own bytes that takes memory of constant size.
     """
     spark = docs.sparkSession
-    model = train([tuple(r) for r in sample(docs).collect()])  # at most SAMPLE_DOCS * TRAIN_CHARS characters: 157 MB of ASCII
+    model = learn([tuple(r) for r in sample(docs).collect()])  # at most SAMPLE_DOCS * TRAIN_CHARS characters: 157 MB of ASCII
     added = ("held_out", "lang_pred", "score", "bits_per_byte")
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in added]
     held = F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
     if model is None:
         return docs.select(*kept, held, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
-    shared = spark.sparkContext.broadcast((model.langs, model.symbols, [(t.keys, t.costs, t.contexts, t.escapes) for t in model.tables]))
+    shared = spark.sparkContext.broadcast((model.langs, model.symbols, [[(t.keys, t.costs, t.contexts, t.escapes) for t in tables] for tables in model.groups]))  # MODEL_BYTES at most
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, symbols, tables = shared.value
-        known = Model(langs, symbols, [Table(*t) for t in tables])
+        langs, symbols, groups = shared.value
+        known = Model(langs, symbols, [[Table(*t) for t in tables] for tables in groups])
         for batch in batches:
             for lo, hi, data, offsets in byte_slices(batch.column(at)):
                 bits = code_lengths(known, data, offsets)

@@ -672,3 +672,19 @@ def test_pipeline_language_id_keeps_columns_of_the_same_names(spark):
     got = corpus_pipeline.language_id(spark, df, "")
     assert got.columns == df.columns
     assert sorted(map(tuple, got.collect())) == sorted((i, t, texts[i][1], *rest) for i, t, _, *rest in rows[:-1])
+
+
+def test_many_languages_take_memory_by_what_they_have_seen():
+    rng = random.Random(7)
+    rows = []
+    for i in range(200):
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzàéîõüßñçøåæœ") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+        rows += [(f"l{i:03}", " ".join(rng.choice(own) for _ in range(1300))) for _ in range(3)]
+    model = ppm.learn(rows)
+    assert len(model.langs) == 200 and model.size() < 500 << 20
+    tested = [(lang, " ".join(text.split()[:40])) for lang, text in rows[::41]]
+    data = [t.encode() for _, t in tested]
+    bits = ppm.code_lengths(model, np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in data])]))
+    assert [model.langs[i] for i in bits.argmin(1)] == [lang for lang, _ in tested]
+    small = ppm.learn(rows, most=model.size() // 2)
+    assert small.langs == model.langs and small.size() < model.size()
