@@ -117,8 +117,12 @@ FEW_KEYS = 500_000
 
 def semi_join(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """The rows of ``df`` whose ``on`` is among ``keys`` (a written table): up to FEW_KEYS distinct ones are broadcast, more are shuffled."""
-    keys = written(keys.select(on).distinct(), "keys")
-    return df.join(F.broadcast(keys) if keys.count() <= FEW_KEYS else keys, on, "left_semi")
+    return df.join(sent(written(keys.select(on).distinct(), "keys")), on, "left_semi")
+
+
+def sent(keys: DataFrame) -> DataFrame:
+    """A written table of short rows, to be joined: broadcast where it has FEW_KEYS rows at most."""
+    return F.broadcast(keys) if keys.count() <= FEW_KEYS else keys
 
 
 def byte_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from edgelens.llm.common import byte_slices, drop, semi_join, written
+from edgelens.llm.common import byte_slices, drop, semi_join, sent, written
 from edgelens.llm.components import connected_components
 from edgelens.llm.shingles import shingle_sets
 
@@ -246,12 +246,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, size: in
     mixed = labelled.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("value")
     groups = written(labelled.join(mixed, "value", "left_semi").select("pivot", "cid", "n", "component").distinct(), "groups")
     drop(members)
-    sizes = groups.groupBy("pivot").agg(F.count("*").alias("members"))
-    few = groups.join(sizes.filter(F.col("members") <= FEW), "pivot")
+    # Large groups are told by a small table of their pivots, so that no task is dealt a whole one by its pivot.
+    large = sent(written(groups.groupBy("pivot").agg(F.count("*").alias("members")).filter(F.col("members") > FEW), "large"))
+    few = groups.join(large, "pivot", "left_anti")
     other = few.select("pivot", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("component").alias("own"))
     pairs = few.join(other, "pivot").filter((F.col("cid") < F.col("other")) & (F.col("component") != F.col("own")) & near("n", "m"))
     links = links.union(new_links(pairs.select(F.col("other").alias("a"), F.col("cid").alias("b")).distinct()))
-    many = groups.join(sizes.filter(F.col("members") > FEW), "pivot").join(classes.select("cid", "text_key"), "cid")
+    many = groups.join(large, "pivot").join(classes.select("cid", "text_key"), "cid")
     links = written(links.union(_blocks(written(many, "large groups"), docs, words, percent)), "links")
     found = written(connected_components(links, "a", "b"), "components")
 
