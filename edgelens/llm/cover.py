@@ -1,13 +1,16 @@
 """Near-duplicate embeddings by dual traversal of cover trees.
 
 Vectors of one label are scaled to length 1, where a cosine of c is a distance of sqrt(2 - 2c). A label's tree is grown
-on Spark, level by level: a node with more than ``NODE`` vectors takes some of its own as centres, which lie more than
-half its radius apart; the vectors within half the radius of their nearest centre form the children, and what no centre
+on Spark, level by level: a node with more than ``NODE`` vectors, or a small one wider than the threshold, takes some of
+its own as centres, which lie more than half its radius apart; the vectors within half the radius of their nearest centre form the children, and what no centre
 covers stays with the node's own centre for the next level. Nodes so tight that all their vectors link, and rests that
 centres don't thin out, are cut by hash. The traversal starts with each label's root and itself; a pair of nodes whose
 centres lie farther apart than their radii and the threshold allow is dropped, one that lies so close that all its
-vectors link is taken whole, and any other is replaced by the pairs of its children. Pairs of leaves go to tasks, which
-refine each leaf into levels with halving radii and go on in the same way down to single vectors.
+vectors link is taken whole, and any other is replaced by the pairs of its children. Leaves are dealt to bins of about
+``NODE`` vectors, and the pairs of leaves of two bins go to one task together, which refines each leaf once into levels
+with halving radii and goes on in the same way down to single vectors. So a vector goes to a task for each bin that holds
+a leaf near its own: to few where vectors lie in clusters, and to one for each NODE vectors of its label, the half of them
+on average, where they lie so evenly that no pair of leaves is far apart.
 
 Links are not written out: of each vector only their number and a link that keeps it with its component are.
 """
@@ -77,12 +80,12 @@ class Tree:
             members = members[~near]
 
 
-def pairs_within(x: np.ndarray, y: np.ndarray | None, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of all pairs of unit vectors of x and y, or i < j of x alone, at most ``reach`` apart, by dual traversal."""
+def pairs_within(x: np.ndarray, y: np.ndarray | None, reach: float, one: Tree | None = None, two: Tree | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of all pairs of unit vectors of x and y, or i < j of x alone, at most ``reach`` apart, by dual traversal of their trees."""
     other = x if y is None else y
     left, right = [], []
-    one = Tree(x, np.arange(len(x)))
-    todo = [(one, one if y is None else Tree(y, np.arange(len(y))))]
+    one = one or Tree(x, np.arange(len(x)))
+    todo = [(one, one if y is None else two or Tree(y, np.arange(len(y))))]
     while todo:
         a, b = todo.pop()
         ca, cb = a.children or [a], b.children or [b]
@@ -219,7 +222,9 @@ def _level(active: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
     rows = written(rows.select(F.col("node").alias("parent"), "child", "i", "cut", "cid", "copies", "u", "path", "far"), "members")
     nodes = rows.groupBy("child", "parent", "i").agg(F.max("far").alias("radius"), F.count("*").alias("size"), F.sum("copies").alias("copies"), F.min("cid").alias("least"), F.first("cut").alias("cut"))
     nodes = nodes.join(centres.withColumnRenamed("node", "parent"), ["parent", "i"])
-    leaf = F.col("cut") | (F.col("size") <= NODE)
+    # A node within reach of its centre, or what centres left over, is a leaf once it is small; a wide one goes on as long as children can be made.
+    tight = (F.col("i") < 0) | (F.col("radius") <= reach) | (F.col("size") < 2 * max(2, NODE // 32))
+    leaf = F.col("cut") | ((F.col("size") <= NODE) & tight)
     nodes = written(nodes.select(F.col("child").alias("node"), "parent", "centre", "radius", "size", "copies", "least", leaf.alias("leaf")), "nodes")
     path = F.array_append("path", F.col("child"))
     made = rows.select(F.col("child").alias("node"), "cid", F.col("copies").alias("n"), "u", path.alias("path"))
@@ -279,31 +284,50 @@ def traversed(nodes: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
     return near[0], whole[0]
 
 
+def _shipped(near: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The vectors that each pair of bins (one, two) needs, with their leaf and the leaves that it is to be compared with there."""
+    # Leaves in the tree's order, so that a bin holds neighbours.
+    leaves = vectors.groupBy("node").agg(F.first("path").alias("path"), F.count("*").alias("size"))
+    before = F.sum("size").over(Window.partitionBy(F.col("path")[0]).orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
+    bins = written(leaves.select("node", F.xxhash64(F.col("path")[0], F.floor(F.coalesce(before, F.lit(0)) / NODE)).alias("bin")), "bins")
+    pairs = near.join(bins.toDF("na", "x"), "na").join(bins.toDF("nb", "y"), "nb").select("na", "nb", F.least("x", "y").alias("one"), F.greatest("x", "y").alias("two"))
+    none = F.lit(None).cast("long")
+    sides = pairs.select("one", "two", F.col("na").alias("node"), F.col("nb").alias("partner")).union(pairs.filter("na != nb").select("one", "two", "nb", none))
+    sides = sides.groupBy("one", "two", "node").agg(F.collect_list("partner").alias("partners"))  # at most a bin's leaves
+    return sides.join(vectors.select("node", "cid", "copies", "u"), "node")
+
+
 def links(classes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
     """((cid, others) with the rows of other classes that each class links with, (a, b) links that join the components)."""
     reach = math.sqrt(max(0.0, 2 - 2 * cosine)) + ROUND
     vectors, nodes = grown(classes, reach)
     near, whole = traversed(nodes, reach)
-    sides = near.select("na", "nb", F.col("na").alias("node")).union(near.filter("na != nb").select("na", "nb", F.col("nb").alias("node")))
 
     def compare(group: pa.Table) -> pa.Table:
         own, cid, copies = (group.column(c).to_numpy() for c in ("node", "cid", "copies"))
-        order = np.argsort(cid)
+        order = np.lexsort((cid, own))
+        partners = group.column("partners").take(pa.array(order))
         own, cid, copies, u = own[order], cid[order], copies[order], _matrix(group.column("u"))[order]
-        first = own == own[0]
-        if first.all():
-            i, j = pairs_within(u, None, reach)
-        else:
-            p, q = np.flatnonzero(first), np.flatnonzero(~first)
-            i, j = pairs_within(u[p], u[q], reach)
-            i, j = p[i], q[j]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        spans = {int(own[f]): (int(f), int(t)) for f, t in zip(first, [*first[1:], len(own)], strict=True)}
+        trees = {k: Tree(u[f:t], np.arange(t - f)) for k, (f, t) in spans.items()}
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, (f, t) in spans.items():
+            for other in partners[f].as_py():
+                g, h = spans[other]
+                i, j = pairs_within(u[f:t], None if other == k else u[g:h], reach, trees[k], trees[other])
+                left.append(i + f)
+                right.append(j + g)
+        i, j = np.concatenate(left), np.concatenate(right)
         hit = (u[i] * u[j]).sum(1) >= cosine
         i, j = i[hit], j[hit]
         n = np.bincount(i, copies[j], len(cid)) + np.bincount(j, copies[i], len(cid))
-        low, some = least_of_group(len(cid), i, j), n > 0
-        return pa.table({"cid": cid[some], "others": n[some].astype(np.int64), "to": cid[low[some]]})
+        rank = np.argsort(np.argsort(cid))  # components are named by the least cid
+        low = np.sort(cid)[least_of_group(len(cid), rank[i], rank[j])][rank]
+        some = n > 0
+        return pa.table({"cid": cid[some], "others": n[some].astype(np.int64), "to": low[some]})
 
-    found = sides.join(vectors.select("node", "cid", "copies", "u"), "node").groupBy("na", "nb").applyInArrow(compare, "cid long, others long, to long")
+    found = _shipped(near, vectors).groupBy("one", "two").applyInArrow(compare, "cid long, others long, to long")
     # Of nodes that link as a whole: a vector links with all of the other node, so with that node's first vector too.
     size = nodes.select("node", F.col("copies").alias("all"), "least")
     ends = whole.select("na", "nb").union(whole.filter("na != nb").select(F.col("nb"), F.col("na"))).toDF("node", "other")

@@ -517,6 +517,46 @@ def test_cover_tree_of_many_levels(spark, monkeypatch, node):
     assert got == {i: (int(linked[i].sum()) - 1, c := int(np.flatnonzero(reach[i])[0]), c == i) for i in range(len(x))}
 
 
+def figures(spark, x):
+    """Leaves, pairs of leaves left, how often a vector is shipped on average, and the rows of the query, of one label."""
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int").repartition(8)
+    reach = float(np.sqrt(2 - 2 * 0.93)) + cover.ROUND
+    vectors, nodes = cover.grown(cover._classes(df), reach)
+    near, _ = cover.traversed(nodes, reach)
+    leaves = vectors.select("node").distinct().count()
+    shipped = cover._shipped(near, vectors).count() / vectors.count()
+    return leaves, near.count(), shipped, {r.vec_id: (r.n_links, r.component_id) for r in cover.near_duplicates(df, 0.93).collect()}
+
+
+def brute_links(x):
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float64)
+    parts, i, j = np.arange(len(x)), [], []
+    for lo in range(0, len(x), 1000):
+        a, b = np.nonzero(unit[lo : lo + 1000] @ unit.T >= 0.93)
+        keep = a + lo != b
+        i.append(a[keep] + lo)
+        j.append(b[keep])
+    i, j = np.concatenate(i), np.concatenate(j)
+    parts = cover.least_of_group(len(x), i, j)
+    return {k: (int(n), int(c)) for k, (n, c) in enumerate(zip(np.bincount(i, minlength=len(x)), parts, strict=True))}
+
+
+def test_clustered_vectors_are_pruned(spark):
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(75, 16))
+    x = base[rng.integers(0, 75, 6_000)] + rng.normal(size=(6_000, 16)) * 0.14
+    leaves, near, shipped, got = figures(spark, x)
+    assert got == brute_links(x)
+    assert leaves > 40 and near < 0.6 * leaves * (leaves + 1) / 2 and shipped <= 6
+
+
+def test_evenly_spread_vectors_are_shipped_once_a_bin(spark):
+    x = np.random.default_rng(22).normal(size=(6_000, 16))
+    leaves, near, shipped, got = figures(spark, x)
+    assert got == brute_links(x)
+    assert shipped <= -(-6_000 // cover.NODE) + 1
+
+
 def test_url_rules(spark):
     rules = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "b.org/x")]
     urls = [(1, "http://A.Example.COM/en/71?q"), (2, "http://example.com/en/8#f"), (3, "x://com/en/"), (4, "http://notcom/en/"), (5, None), (6, "no url"), (7, "http://b.org"), (8, "http://c.b.org/xy"), (9, "")]
