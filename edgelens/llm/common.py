@@ -111,8 +111,8 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
-#: Keys that semi_join may broadcast; with their overhead about 50 MB.
-FEW_KEYS = 500_000
+#: Keys that semi_join may broadcast; with their overhead about 5 MB.
+FEW_KEYS = 50_000
 
 
 def semi_join(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
