@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +97,22 @@ def test_a_tick_reads_its_window_only_and_outlives_its_channel(spark, tmp_path):
     assert tick.run(spark) == [] and sent == ["errors"]  # in its cooldown, though it wasn't sent
 
 
+def test_ticks_by_the_clock(spark, tmp_path):
+    out, sent = str(tmp_path / "out"), []
+    s = store.Store(spark, out)
+    tick = alerting.Tick(out, [alerts.AlertRule("errors", classes=(5,), window_s=120, threshold=5)], sent.append, every_s=0)
+    query = alerting.every(spark, tick, 0.3, str(tmp_path / "at"))
+    try:
+        s.add("r", 0, batch_of(spark, [(START + k, "/a", 500) for k in range(9)]))
+        ends = time.time() + 60
+        while not sent and time.time() < ends:
+            time.sleep(0.2)
+        assert query.exception() is None
+    finally:
+        query.stop()
+    assert [a["id"] for a in sent] == ["errors"]
+
+
 def test_ticks_take_settings_in_force(spark, tmp_path):
     out, table, clock, sent = str(tmp_path / "out"), str(tmp_path / "settings"), [0.0], []
     s = store.Store(spark, out)
