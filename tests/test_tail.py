@@ -3,11 +3,16 @@
 import json
 import os
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from edgelens.plans import config
+from edgelens.plans import config, settings
 from edgelens.sources.tail import TailReader, TailSource, frozen
+from edgelens.streaming import ingest
+
+LINE = '10.0.0.1 - - [15/Jul/2026:13:{:02}:05 +0000] "GET {} HTTP/1.1" 200 5 "-" "curl/8"\n'
 
 
 class Polls:
@@ -203,3 +208,44 @@ def test_options(tmp_path):
     append(tmp_path / "a.log", "a\nb")
     held = json.loads(frozen(str(tmp_path), "shop"))
     assert [f["at"] for f in held["sites"]["shop"]["files"].values()] == [2]
+
+
+def test_a_running_stream_takes_up_sites_and_settings(spark, tmp_path):
+    """One query, never stopped: a site is added, patterns change, the log is rotated, the first site goes."""
+    spark.dataSource.register(TailSource)
+    table, sites, out = str(tmp_path / "settings"), str(tmp_path / "sites.json"), str(tmp_path / "out")
+    logs = {n: tmp_path / n / "access.log" for n in ("shop", "blog")}
+    for log in logs.values():
+        log.parent.mkdir()
+        append(log, LINE.format(0, "/old/1"))
+    both = [config.Site(n, str(log.parent)) for n, log in logs.items()]
+    settings.apply(spark, config.Config(sites=both[:1]), table, sites=sites)
+    lines = spark.readStream.format("logtail").option("sites", sites).option("maxbytes", "500").load()
+    query = ingest.ingest(lines, out, str(tmp_path / "at"), trigger={"processingTime": "200 milliseconds"}, settings=table)
+
+    def holds(want):
+        ends, got = time.time() + 90, None
+        while time.time() < ends and got != want:
+            assert query.exception() is None
+            time.sleep(0.3)
+            got = sorted((r.site, r.template, r.n) for r in ingest.cube(spark, out).groupBy("site", "template").agg(F.sum("n").alias("n")).collect())
+        assert got == want
+
+    try:
+        holds([("shop", "/old/{id}", 1)])
+        settings.apply(spark, config.Config(sites=both, route_patterns=["/new/:what"]), table, sites=sites)
+        time.sleep(4)  # the new site is met at its end
+        for log in logs.values():
+            append(log, "".join(LINE.format(m, "/new/x") for m in range(20)))
+        holds([("blog", "/new/{what}", 20), ("shop", "/new/{what}", 20), ("shop", "/old/{id}", 1)])
+        append(logs["shop"], LINE.format(30, "/new/y"))
+        os.rename(logs["shop"], tmp_path / "shop" / "access.log.1")
+        append(logs["shop"], LINE.format(31, "/new/z"))
+        holds([("blog", "/new/{what}", 20), ("shop", "/new/{what}", 22), ("shop", "/old/{id}", 1)])
+        settings.apply(spark, config.Config(sites=both[1:]), table, sites=sites)
+        time.sleep(4)
+        for log in logs.values():
+            append(log, LINE.format(40, "/last"))
+        holds([("blog", "/last", 1), ("blog", "/new/{what}", 20), ("shop", "/new/{what}", 22), ("shop", "/old/{id}", 1)])
+    finally:
+        query.stop()
