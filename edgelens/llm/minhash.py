@@ -146,9 +146,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
 
     needed = pairs.select(F.col("ka").alias("text_key")).union(pairs.select("kb"))
     texts = semi_join(docs.select(F.unhex(F.md5("text")).alias("text_key"), "text"), needed, "text_key").groupBy("text_key").agg(F.first("text").alias("text"))
+    # A pivot that many pairs hold is dealt to several tasks, FEW of its pairs each: its text goes there once a task.
+    many = sent(written(pairs.groupBy("kb").count().filter(F.col("count") > FEW).select("kb", F.ceil(F.col("count") / FEW).alias("salts")), "pivots"))
+    salts = F.coalesce("salts", F.lit(1))
     left = texts.select(F.col("text_key").alias("ka"), F.col("text").alias("ta"))
-    right = texts.select(F.col("text_key").alias("kb"), F.col("text").alias("tb"))
-    return pairs.join(left, "ka").join(right, "kb").select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long")
+    right = texts.select(F.col("text_key").alias("kb"), F.col("text").alias("tb")).join(many, "kb", "left").select("kb", "tb", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    dealt = pairs.join(many, "kb", "left").withColumn("salt", F.pmod(F.xxhash64("ka"), salts)).drop("salts")
+    return dealt.join(left, "ka").join(right, ["kb", "salt"]).select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long")
 
 
 def _blocks(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
