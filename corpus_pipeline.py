@@ -18,6 +18,8 @@ from edgelens.llm.common import TEXTS, drop, free, gathered, written
 
 #: Bits a byte beyond which no language's model fits a text better than chance.
 CHANCE = 8.0
+#: Words from which on a passage that repeats goes, whatever its bytes: all of over 50 words.
+PASSAGE = 51
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: What the stage called last has left in the shared folder, by application.
@@ -66,8 +68,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What strings of 400 bytes cover that start twice goes, whole characters only; documents of which no word is left go."""
-    return suffix.clean(docs).filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).withColumn("n_chars", F.length("text").cast("long"))
+    """What strings of 400 bytes or of PASSAGE words cover that start twice goes, whole characters only; documents of which no word is left go."""
+    return suffix.clean(docs, words=PASSAGE).filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 @stage

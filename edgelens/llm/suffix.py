@@ -6,12 +6,16 @@ segment; segments with equal bytes are repeats as a whole, and need no sorting.
 segments one copy of each segment is gathered, and the suffixes at its string starts are sorted: by multikey passes
 over eight bytes at a time to a shallow depth, then, what still hangs together, by blind tries, which compare a suffix
 with one leaf and hang it off where the two part. Suffixes that reach ``length`` together are repeats.
+
+Strings are counted in bytes or in words. A word is sorted as a code of eight bytes, and suffixes begin with words then.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,29 +25,59 @@ from pyspark.sql import types as T
 
 from edgelens.llm.common import byte_slices, byte_table, drop, mix, shared_dir, taken, tidy, written
 
-#: Bytes of an anchor gram; a power of two.
-GRAM = 32
+
+class Unit(NamedTuple):
+    """What strings are counted in."""
+
+    #: Bytes of a unit where it is sorted.
+    size: int
+    #: Units of an anchor gram; a power of two.
+    gram: int
+    #: String starts in a block of an anchor with more than MANY segments; no string is shorter.
+    block: int
+
+
+BYTES = Unit(1, 32, 64)
+#: Words are what lies between white space.
+WORDS = Unit(8, 8, 8)
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Bytes that the multikey passes look at.
 SHALLOW = 64
 #: Anchors with more different segments are dealt by block and core, see _dealt.
 MANY = 512
-#: String starts in a block of such an anchor.
-BLOCK = 64
 #: Blocks of one anchor and core with more segments have their strings counted by hash, see _counted_repeats.
 HOT = 2048
 #: Bytes of segments that are sorted together.
 SORT_BYTES = 1 << 20
 
 
-def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(text, first start, number of starts, anchor's place, anchor's hash) of each segment of a slice of texts."""
+def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(64-bit code of each word, its first byte, the byte after it, offsets of the texts in words) of a slice of texts."""
+    solid = (data != 0x20) & ((data < 0x09) | (data > 0x0D))
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
+    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    first[inner], last[inner - 1] = solid[inner], solid[inner - 1]
+    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    size = end - begin
+    ahead = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(ahead, size)
+    # A sum of a random value for each byte at its place in the word.
+    value = mix(data[solid].astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(0x9E3779B97F4A7C15))
+    code = mix(np.add.reduceat(value, ahead)) if len(begin) else np.zeros(0, np.uint64)
+    return code, begin, end, np.searchsorted(begin, offsets)
+
+
+def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int, grams: int) -> tuple[np.ndarray, ...]:
+    """(text, first start, number of starts, anchor's place, anchor's hash) of each segment of a slice of texts, in bytes or words as ``data`` is."""
     none = tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
-    width = length - GRAM + 1  # grams in a string
-    n = len(data) - GRAM + 1
+    width = length - grams + 1  # grams in a string
+    n = len(data) - grams + 1
     if n < width:
         return none
-    h, step, base = byte_table(3)[data], 1, np.uint64(0x9E3779B97F4A7C15)
-    while step < GRAM:
+    h, step, base = byte_table(3)[data] if data.dtype == np.uint8 else data, 1, np.uint64(0x9E3779B97F4A7C15)
+    while step < grams:
         h = h[:-step] * base + h[step:]
         base, step = np.uint64(int(base) ** 2 % (1 << 64)), 2 * step
     h = mix(h)
@@ -132,51 +166,70 @@ def _texts(docs: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-SEGMENT = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("gram", T.LongType()), T.StructField("seg", T.BinaryType()), T.StructField("lo", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("at", T.IntegerType())])
+def _segments(texts: DataFrame, length: int, unit: Unit) -> DataFrame:
+    """One row for each segment: key, gram (the anchor's hash), seg (MD5-sized hash of its units), lo, n and at (its starts, and the anchor, in the text).
 
-
-def _segments(texts: DataFrame, length: int) -> DataFrame:
-    """One row for each segment: key, gram (the anchor's hash), seg (MD5-sized hash of its bytes), lo, n and at (its starts, and the anchor, in the text)."""
+    For words, also first and width, the segment's bytes in the text.
+    """
+    places = ["lo", "n", "at"] + ["first", "width"] * (unit is WORDS)
+    schema = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("gram", T.LongType()), T.StructField("seg", T.BinaryType()), *[T.StructField(c, T.IntegerType()) for c in places]])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for batch in batches:
             for row, _, data, offsets in byte_slices(batch.column("data")):
-                text, lo, size, at, gram = anchor_runs(data, offsets, length)
-                view, base = memoryview(np.ascontiguousarray(data)), offsets[text]
-                seg = [hashlib.blake2b(view[a : a + b + length - 1], digest_size=16).digest() for a, b in zip(lo.tolist(), size.tolist(), strict=True)]
-                yield pa.record_batch([batch.column("key").take(pa.array(text + row)), pa.array(gram.view(np.int64)), pa.array(seg, pa.binary()), pa.array((lo - base).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array((at - base).astype(np.int32))], names=SEGMENT.names)
-
-    return texts.select("key", "data").mapInArrow(find, SEGMENT)
-
-
-def _dealt(rows: DataFrame, length: int) -> DataFrame:
-    """Sort groups of segments: by anchor, or, for anchors with more than MANY, by block of starts and the bytes that all strings of the block share."""
+                begin = None
+                if unit is WORDS:
+                    byte, (data, begin, end, offsets) = offsets, word_codes(data, offsets)
+                text, lo, size, at, gram = anchor_runs(data, offsets, length, unit.gram)
+                view, base = memoryview(np.ascontiguousarray(data)).cast("B"), offsets[text]
+                seg = [hashlib.blake2b(view[unit.size * a : unit.size * (a + b + length - 1)], digest_size=16).digest() for a, b in zip(lo.tolist(), size.tolist(), strict=True)]
+                found = [lo - base, size, at - base]
+                if begin is not None:
+                    found += [begin[lo] - byte[text], end[lo + size + length - 2] - begin[lo]]
+                yield pa.record_batch([batch.column("key").take(pa.array(text + row)), pa.array(gram.view(np.int64)), pa.array(seg, pa.binary()), *[pa.array(x.astype(np.int32)) for x in found]], names=schema.names)
+
+    return texts.select("key", "data").mapInArrow(find, schema)
+
+
+def _dealt(rows: DataFrame, length: int, unit: Unit) -> DataFrame:
+    """Sort groups of segments: by anchor, or, for anchors with more than MANY, by block of starts and the units that all strings of the block share. Words become their codes."""
+    size = unit.size
+
+    def units(column: pa.Array) -> list[bytes]:
+        if unit is not WORDS:
+            return column.to_pylist()
+        out = []
+        for _, _, data, offsets in byte_slices(column):
+            code, _, _, at = word_codes(data, offsets)
+            out += [code[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return out
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for batch in batches:
             out = []
-            for key, gram, lo, n, at, many, copies, data in zip(*[batch.column(c).to_pylist() for c in ("key", "gram", "lo", "n", "at", "many", "copies", "bytes")], strict=True):
+            for key, gram, lo, n, at, many, copies, data in zip(*[batch.column(c).to_pylist() for c in ("key", "gram", "lo", "n", "at", "many", "copies")], units(batch.column("bytes")), strict=True):
                 mark = gram.to_bytes(8, "little", signed=True)
                 if not many:
                     out.append((mark, key if copies == 1 else None, lo, n, data))
                     continue
                 far = at - lo  # the anchor's place in the string at the first start; it falls by one with each start
-                for block in range((far - n + 1) // BLOCK, far // BLOCK + 1):
-                    a, b = max(0, far - block * BLOCK - BLOCK + 1), min(n - 1, far - block * BLOCK)  # starts of this block
-                    core = data[far - block * BLOCK : far - block * BLOCK + length - BLOCK + 1]
+                for block in range((far - n + 1) // unit.block, far // unit.block + 1):
+                    top = far - block * unit.block
+                    a, b = max(0, top - unit.block + 1), min(n - 1, top)  # starts of this block
+                    core = data[size * top : size * (top + length - unit.block + 1)]
                     name = hashlib.blake2b(mark + block.to_bytes(4, "little") + core, digest_size=16).digest()
-                    out.append((name, key if copies == 1 else None, lo + a, b - a + 1, data[a : b + length]))
+                    out.append((name, key if copies == 1 else None, lo + a, b - a + 1, data[size * a : size * (b + length)]))
             cols = list(zip(*out, strict=True)) if out else [()] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["mark", "key", "lo", "n", "bytes"])
 
     return rows.mapInArrow(cut, "mark binary, key binary, lo int, n int, bytes binary")
 
 
-def _sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
+def _sorted_repeats(rows: DataFrame, length: int, unit: Unit) -> DataFrame:
     """(key, lo, hi) of what repeats in segments that have one copy."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +241,7 @@ def _sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
             count = np.array([r[3] for r in part], np.int64)
             owner = np.repeat(np.arange(len(part)), count)
             place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-            hit = same(np.frombuffer(b"".join(r[4] for r in part) + bytes(8), np.uint8), base[owner] + place, length)
+            hit = same(np.frombuffer(b"".join(r[4] for r in part) + bytes(8), np.uint8), base[owner] + unit.size * place, unit.size * length)
             edge = np.zeros(len(hit) + 1, bool)
             edge[1:-1] = (owner[1:] != owner[:-1]) | (hit[1:] != hit[:-1])
             edge[[0, -1]] = True
@@ -215,7 +268,7 @@ def _sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
     return rows.repartition("mark").sortWithinPartitions("mark").mapInArrow(sort, "key binary, lo int, hi int")
 
 
-def _counted_repeats(rows: DataFrame, length: int) -> DataFrame:
+def _counted_repeats(rows: DataFrame, length: int, unit: Unit) -> DataFrame:
     """As ``_sorted_repeats``, for groups without a bound: strings are counted by a 128-bit hash, with partial counts before the exchange."""
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +277,7 @@ def _counted_repeats(rows: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             out = []
             for key, lo, n, data in zip(*[batch.column(c).to_pylist() for c in ("key", "lo", "n", "bytes")], strict=True):
-                out += [(hashlib.blake2b(data[i : i + length], digest_size=16).digest(), key, lo + i) for i in range(n)]
+                out += [(hashlib.blake2b(data[unit.size * i : unit.size * (i + length)], digest_size=16).digest(), key, lo + i) for i in range(n)]
             cols = list(zip(*out, strict=True)) if out else [()] * 3
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.int32()), strict=True)], names=["string", "key", "lo"])
 
@@ -233,23 +286,24 @@ def _counted_repeats(rows: DataFrame, length: int) -> DataFrame:
     return each.filter("key is not null").join(twice, "string", "left_semi").select("key", "lo", (F.col("lo") + length).alias("hi"))
 
 
-def _repeats(texts: DataFrame, length: int) -> DataFrame:
-    """key and found (lo, hi): bytes that repeated strings cover; ranges may overlap. Texts with several copies are left out as owners."""
-    segments = written(_segments(texts, length), "segments")
-    kinds = segments.groupBy("gram", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("key", "lo", "n", "at")).alias("one"))
+def _repeats(texts: DataFrame, length: int, unit: Unit) -> DataFrame:
+    """key and found (lo, hi): units that repeated strings cover; ranges may overlap. Texts with several copies are left out as owners."""
+    segments = written(_segments(texts, length, unit), "segments")
+    kinds = segments.groupBy("gram", "seg").agg(F.count("*").alias("copies"), F.min(F.struct(*[c for c in segments.columns if c not in ("gram", "seg")])).alias("one"))
     kinds = written(kinds, "kinds")
     whole = segments.join(kinds.filter("copies > 1").select("gram", "seg"), ["gram", "seg"], "left_semi").select("key", "lo", (F.col("lo") + F.col("n") - 1 + length).alias("hi"))
     whole = written(whole, "whole")
     drop(segments)
     shared = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     open_ = kinds.join(shared, "gram").select("gram", "copies", "one.*", (F.col("kinds") > MANY).alias("many"))
-    bytes_ = open_.join(texts.select("key", "data"), "key").select("key", "gram", "lo", "n", "at", "many", "copies", F.substring("data", F.col("lo") + 1, F.col("n") + length - 1).alias("bytes"))
-    few = written(_sorted_repeats(_dealt(bytes_.filter("not many"), length), length), "few")
-    blocks = written(_dealt(bytes_.filter("many"), length), "blocks")
+    part = F.substring("data", F.col("first") + 1, F.col("width")) if unit is WORDS else F.substring("data", F.col("lo") + 1, F.col("n") + length - 1)
+    bytes_ = open_.join(texts.select("key", "data"), "key").select("key", "gram", "lo", "n", "at", "many", "copies", part.alias("bytes"))
+    few = written(_sorted_repeats(_dealt(bytes_.filter("not many"), length, unit), length, unit), "few")
+    blocks = written(_dealt(bytes_.filter("many"), length, unit), "blocks")
     drop(kinds)
     hot = written(blocks.groupBy("mark").count().filter(F.col("count") > HOT).select("mark"), "hot")
-    cold = written(_sorted_repeats(blocks.join(hot, "mark", "left_anti"), length), "cold")
-    counted = written(_counted_repeats(blocks.join(hot, "mark", "left_semi"), length), "counted")
+    cold = written(_sorted_repeats(blocks.join(hot, "mark", "left_anti"), length, unit), "cold")
+    counted = written(_counted_repeats(blocks.join(hot, "mark", "left_semi"), length, unit), "counted")
     drop(blocks, hot)
     parts = (whole, few, cold, counted)
     found = whole.union(few).union(cold).union(counted).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))  # at most a range for each string start of a text
@@ -261,11 +315,13 @@ def _repeats(texts: DataFrame, length: int) -> DataFrame:
 RESULT = "key binary, n_bytes long, n_removed long, spans array<struct<lo: long, hi: long>>, kept binary"
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, whole: bool = True) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, whole: bool = True, words: int | None = None) -> DataFrame:
     """Of each different text of ``docs`` that isn't null: key (its MD5), n_bytes, n_removed, spans and kept (null unless ``whole``).
 
     spans are the maximal runs of bytes that strings of ``length`` bytes cover which start at another place too, of the
     same or another text; kept is what is left. Strings count as equal if they, and the hashes above, are; MD5 names texts.
+    With ``words`` (16 or more), spans also cover, from the first word to the last, each sequence of so many words that
+    starts at another place too, whatever its bytes and the white space between its words.
     """
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,6 +333,12 @@ def repeated_spans(docs: DataFrame, length: int = 400, whole: bool = True) -> Da
                 data = bytes(data) if data is not None else b""
                 if copies > 1 and len(data) >= length:
                     found = [{"lo": 0, "hi": len(data)}]
+                passages = batch.column("passages")[i].as_py() or [] if words else []
+                if words and (passages or copies > 1):
+                    place = [m.span() for m in WORD.finditer(data)]
+                    if copies > 1 and len(place) >= words:
+                        passages = [{"lo": 0, "hi": len(place)}]
+                    found = found + [{"lo": place[p["lo"]][0], "hi": place[p["hi"] - 1][1]} for p in passages]
                 runs: list[list[int]] = []
                 for s in sorted(found, key=lambda s: s["lo"]):
                     if runs and s["lo"] <= runs[-1][1]:
@@ -292,7 +354,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, whole: bool = True) -> Da
             yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["key", "n_bytes", "n_removed", "spans", "kept"])
 
     texts = _texts(docs)
-    return texts.join(_repeats(texts, length), "key", "left").select("key", "data", "copies", "found").mapInArrow(finish, RESULT)
+    rows = texts.join(_repeats(texts, length, BYTES), "key", "left").select("key", "data", "copies", "found")
+    if words:
+        rows = rows.join(_repeats(texts, words, WORDS).withColumnRenamed("found", "passages"), "key", "left")
+    return rows.mapInArrow(finish, RESULT)
 
 
 def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -317,10 +382,10 @@ def dedup_digest(docs: DataFrame, length: int = 400) -> DataFrame:
     return rows.select("doc_id", *[F.coalesce(c, zero).alias(c) for c in ("n_bytes", "n_removed", "n_spans")], F.coalesce("kept_sha256", F.sha2(F.lit(""), 256)).alias("kept_sha256"))
 
 
-def clean(docs: DataFrame, length: int = 400) -> DataFrame:
+def clean(docs: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:
     """The rows of ``docs`` with text cut by ``dedup``; of a character that a run covers in part, all bytes stay.
 
-    All columns but text stay as they are, whatever their names. Null texts stay null.
+    With ``words``, sequences of so many words that start twice go as well, see ``repeated_spans``. All columns but text stay as they are, whatever their names. Null texts stay null.
     """
 
     def inside(data: Column, p: Column, back: bool) -> Column:
@@ -345,7 +410,7 @@ def clean(docs: DataFrame, length: int = 400) -> DataFrame:
 
         return F.transform(F.array(F.aggregate("spans", start, step)), joined)[0]
 
-    found = repeated_spans(docs, length, whole=False).filter("n_removed > 0").select("key", "spans")
+    found = repeated_spans(docs, length, whole=False, words=words).filter("n_removed > 0").select("key", "spans")
     # The row's own columns stay apart in a struct, so that none clashes with the names used here.
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(row, F.unhex(F.md5("text")).alias("key")).join(found, "key", "left")

@@ -106,5 +106,18 @@ def test_suffix_dedup(stages):
     assert sum(r[4] for r in stages[3]) < sum(len(r[1]) for r in stages[2]) - 1000 and len(stages[3]) < len(stages[2])
 
 
+def test_suffix_dedup_takes_short_passages(spark):
+    """A passage of over 50 words that two documents hold goes from both, also where it has under 400 bytes; one of 50 words stays."""
+    rng = random.Random(5)
+    passage, under = " ".join(rng.choices(EN, k=55)), " ".join(rng.choices(DE, k=50))
+    assert len(passage.encode()) < 400
+    ends = [prose(rng, EN, 12) for _ in range(8)]
+    texts = [f"{ends[2 * k]} {(passage, passage, under, under)[k]} {ends[2 * k + 1]}" for k in range(4)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t), "", 0, 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: (r.text, r.n_chars) for r in dict(corpus_pipeline.STAGES)["suffix-array dedup"](spark, df, "").collect()}
+    left = [f"{ends[0]}  {ends[1]}", f"{ends[2]}  {ends[3]}", *texts[2:]]
+    assert got == {i: (t, len(t)) for i, t in enumerate(left)}
+
+
 def test_mask_secrets(stages):
     assert stages[4] == mask_plain(stages[3]) and sum(r[1].count("[secret]") for r in stages[4]) == 3

@@ -5,6 +5,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -688,6 +689,54 @@ def test_suffix_dedup(spark, monkeypatch, many, hot):
     assert suffix.dedup(docs(spark, ["a"]).filter("false")).isEmpty()
 
 
+def brute_passages(text, texts, length, least):
+    """``text`` without what strings of ``length`` bytes or of ``least`` words cover that start twice in ``texts``."""
+    seen, data = Counter(), text.encode()
+    spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t.encode())] for t in texts]
+    for t, place in zip(texts, spans, strict=True):
+        b = t.encode()
+        seen.update(b[p : p + length] for p in range(len(b) - length + 1))
+        seen.update(tuple(b[lo:hi] for lo, hi in place[i : i + least]) for i in range(len(place) - least + 1))
+    gone = bytearray(len(data))
+    for p in range(len(data) - length + 1):
+        if seen[data[p : p + length]] > 1:
+            gone[p : p + length] = b"\1" * length
+    place = spans[texts.index(text)]
+    for i in range(len(place) - least + 1):
+        if seen[tuple(data[lo:hi] for lo, hi in place[i : i + least])] > 1:
+            lo, hi = place[i][0], place[i + least - 1][1]
+            gone[lo:hi] = b"\1" * (hi - lo)
+    return bytes(x for x, m in zip(data, gone, strict=True) if not m).decode()
+
+
+@pytest.mark.parametrize(("many", "hot"), [(512, 2048), (1, 0), (1, 3)])
+def test_suffix_clean_by_words(spark, monkeypatch, many, hot):
+    """Passages of 20 words, whose bytes are under 130, go from wherever they stand; ASCII only, so that runs hold whole characters."""
+    monkeypatch.setattr(suffix, "MANY", many)
+    monkeypatch.setattr(suffix, "HOT", hot)
+    rng = random.Random(17)
+    base = [rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(300)]
+    texts = ["", " \n", "la " * 19, "la " * 40, " ".join(base[:20]), " ".join(base[:19]), "z" * 140, "z" * 129 + " y"]
+    texts += [" ".join(base[40:70])] * 2 + ["\t\n".join(base[100:125]) + "\n", words(rng, 20) + " " + words(rng, 20), "q " + "\t".join(base[:20]) + " r"]
+    for k in range(14):
+        at = rng.randrange(270)
+        texts.append(words(rng, 6) + "\n" + " ".join(base[at : at + rng.randrange(15, 30)]) + " " * (k % 3) + words(rng, 9))
+    got = {r.doc_id: r.text for r in suffix.clean(docs(spark, [*texts, None]), 130, words=20).collect()}
+    assert got == {i: brute_passages(t, texts, 130, 20) for i, t in enumerate(texts)} | {len(texts): None}
+    assert sum(got[i] != t for i, t in enumerate(texts)) > 8 and got[4] == "" and got[5] == texts[5]
+
+
+def test_suffix_words_at_text_ends():
+    """Words end with their text, and equal words have equal codes wherever they stand."""
+    data = ["ab c", "", "c ab\n", "abc", " ", "b\u00a0a"]
+    raw = [t.encode() for t in data]
+    offsets = np.concatenate([[0], np.cumsum([len(b) for b in raw])])
+    code, begin, end, at = suffix.word_codes(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    found = [b"".join(raw)[a:b] for a, b in zip(begin, end, strict=True)]
+    assert found == [w for b in raw for w in re.findall(rb"[^\x20\x09-\x0D]+", b)] and at.tolist() == [0, 2, 2, 4, 5, 5, 6]
+    assert len(set(code.tolist())) == len(set(found)) and code[0] == code[3] and code[1] == code[2]
+
+
 def test_a_second_version_scans_what_was_changed(spark, tmp_path):
     rng = random.Random(6)
     texts = ["key = password=hunter22 " + words(rng, n) + f" token: abcdef{n} " for n in (5, 20, 900, 1500)] + [None, ""]
