@@ -312,21 +312,33 @@ def _repeats(texts: DataFrame, length: int, unit: Unit) -> DataFrame:
     return found
 
 
-RESULT = "key binary, n_bytes long, n_removed long, spans array<struct<lo: long, hi: long>>, kept binary"
+RESULT = "key binary, n_bytes long, n_removed long, spans array<struct<lo: long, hi: long>>, kept binary, passages array<struct<lo: long, hi: long>>"
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, whole: bool = True, words: int | None = None) -> DataFrame:
-    """Of each different text of ``docs`` that isn't null: key (its MD5), n_bytes, n_removed, spans and kept (null unless ``whole``).
+def maximal(found: list[dict[str, int]]) -> list[dict[str, int]]:
+    """The maximal runs (lo, hi) of ranges that may overlap or touch."""
+    runs: list[dict[str, int]] = []
+    for s in sorted(found, key=lambda s: s["lo"]):
+        if runs and s["lo"] <= runs[-1]["hi"]:
+            runs[-1]["hi"] = max(runs[-1]["hi"], s["hi"])
+        else:
+            runs.append(dict(s))
+    return runs
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, whole: bool = True, words: int | None = None, apart: bool = False) -> DataFrame:
+    """Of each different text of ``docs`` that isn't null: key (its MD5), n_bytes, n_removed, spans, kept (null unless ``whole``) and passages.
 
     spans are the maximal runs of bytes that strings of ``length`` bytes cover which start at another place too, of the
     same or another text; kept is what is left. Strings count as equal if they, and the hashes above, are; MD5 names texts.
     With ``words`` (16 or more), spans also cover, from the first word to the last, each sequence of so many words that
-    starts at another place too, whatever its bytes and the white space between its words.
+    starts at another place too, whatever its bytes and the white space between its words; passages are the maximal runs of
+    bytes that these sequences cover. With ``apart``, passages are told only: spans are those without ``words``.
     """
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, removed, spans, kept, sizes = [], [], [], [], []
+            keys, removed, spans, kept, sizes, told = [], [], [], [], [], []
             for i in range(batch.num_rows):
                 data, copies = batch.column("data")[i].as_buffer(), batch.column("copies")[i].as_py()
                 found = batch.column("found")[i].as_py() or []
@@ -338,20 +350,16 @@ def repeated_spans(docs: DataFrame, length: int = 400, whole: bool = True, words
                     place = [m.span() for m in WORD.finditer(data)]
                     if copies > 1 and len(place) >= words:
                         passages = [{"lo": 0, "hi": len(place)}]
-                    found = found + [{"lo": place[p["lo"]][0], "hi": place[p["hi"] - 1][1]} for p in passages]
-                runs: list[list[int]] = []
-                for s in sorted(found, key=lambda s: s["lo"]):
-                    if runs and s["lo"] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], s["hi"])
-                    else:
-                        runs.append([s["lo"], s["hi"]])
+                    passages = [{"lo": place[p["lo"]][0], "hi": place[p["hi"] - 1][1]} for p in passages]
+                runs = maximal(found if apart else found + passages)
+                told.append(maximal(passages))
                 keys.append(batch.column("key")[i].as_py())
                 sizes.append(len(data))
-                removed.append(sum(b - a for a, b in runs))
-                spans.append([{"lo": a, "hi": b} for a, b in runs])
-                kept.append(None if not whole else b"".join(data[a:b] for a, b in zip([0, *[r[1] for r in runs]], [*[r[0] for r in runs], len(data)], strict=True)))
+                removed.append(sum(r["hi"] - r["lo"] for r in runs))
+                spans.append(runs)
+                kept.append(None if not whole else b"".join(data[a:b] for a, b in zip([0, *[r["hi"] for r in runs]], [*[r["lo"] for r in runs], len(data)], strict=True)))
             span = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-            yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["key", "n_bytes", "n_removed", "spans", "kept"])
+            yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), pa.array(told, span)], names=["key", "n_bytes", "n_removed", "spans", "kept", "passages"])
 
     texts = _texts(docs)
     rows = texts.join(_repeats(texts, length, BYTES), "key", "left").select("key", "data", "copies", "found")
@@ -374,12 +382,20 @@ def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     return rows.select("doc_id", *[F.coalesce(c, zero).alias(c) for c in ("n_bytes", "n_removed", "n_spans")], F.coalesce("kept", F.unhex(F.lit(""))).alias("kept"))
 
 
-def dedup_digest(docs: DataFrame, length: int = 400) -> DataFrame:
-    """As ``dedup``, with kept_sha256 (lowercase hex) in place of kept, which then stays where it was made."""
-    found = repeated_spans(docs, length).select("key", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+def dedup_digest(docs: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:
+    """As ``dedup``, with kept_sha256 (lowercase hex) in place of kept, which then stays where it was made.
+
+    With ``words``, also n_passages and n_passage_bytes: the maximal runs, and their bytes, that sequences of so many words
+    cover which start at another place too, see ``repeated_spans``. They are told only; what is removed is as without.
+    """
+    counts = {"n_bytes": F.col("n_bytes"), "n_removed": F.col("n_removed"), "n_spans": F.size("spans").cast("long")}
+    told = {"n_passages": F.size("passages").cast("long"), "n_passage_bytes": F.aggregate("passages", F.lit(0).cast("long"), lambda n, p: n + p["hi"] - p["lo"])} if words else {}
+    found = repeated_spans(docs, length, words=words, apart=True)
+    found = found.select("key", *[c.alias(name) for name, c in (counts | told).items()], F.sha2("kept", 256).alias("kept_sha256"))
     rows = docs.select("doc_id", F.unhex(F.md5("text")).alias("key")).join(found, "key", "left")
     zero = F.lit(0).cast("long")
-    return rows.select("doc_id", *[F.coalesce(c, zero).alias(c) for c in ("n_bytes", "n_removed", "n_spans")], F.coalesce("kept_sha256", F.sha2(F.lit(""), 256)).alias("kept_sha256"))
+    filled = {c: F.coalesce(c, zero).alias(c) for c in counts | told}
+    return rows.select("doc_id", *[filled[c] for c in counts], F.coalesce("kept_sha256", F.sha2(F.lit(""), 256)).alias("kept_sha256"), *[filled[c] for c in told])
 
 
 def clean(docs: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:

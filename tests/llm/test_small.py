@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from edgelens.llm import cover, minhash, packing, pieces, ppm, secrets, spans, suffix, topk, url_filter
+from edgelens.llm import cover, minhash, packing, pieces, ppm, queries, secrets, spans, suffix, topk, url_filter
 from edgelens.llm.common import byte_table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, row long"
@@ -726,6 +726,52 @@ def test_suffix_clean_by_words(spark, monkeypatch, many, hot):
     assert sum(got[i] != t for i, t in enumerate(texts)) > 8 and got[4] == "" and got[5] == texts[5]
 
 
+def brute_runs(text, texts, least):
+    """The maximal runs of bytes of ``text`` that sequences of ``least`` words cover which start twice in ``texts``."""
+    seen, spans = Counter(), {}
+    for t in texts:
+        b = (t or "").encode()
+        spans[t] = [(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        seen.update(tuple(w for _, _, w in spans[t][i : i + least]) for i in range(len(spans[t]) - least + 1))
+    gone = bytearray(len((text or "").encode()))
+    for i in range(len(spans[text]) - least + 1):
+        part = spans[text][i : i + least]
+        if seen[tuple(w for _, _, w in part)] > 1:
+            lo, hi = part[0][0], part[-1][1]
+            gone[lo:hi] = b"\1" * (hi - lo)
+    return [m.span() for m in re.finditer(b"\1+", bytes(gone))]
+
+
+@pytest.mark.parametrize(("many", "hot"), [(512, 2048), (1, 0)])
+def test_suffix_digest_tells_passages(spark, monkeypatch, many, hot):
+    """Passages of 20 words are told of, also where they have under 130 bytes; what goes is as without them."""
+    monkeypatch.setattr(suffix, "MANY", many)
+    monkeypatch.setattr(suffix, "HOT", hot)
+    rng = random.Random(23)
+    base = [rng.choice("abcdéfgh") * rng.randrange(1, 4) for _ in range(200)]
+    texts = [None, "", " \n", "la " * 19, "lo " * 40, " ".join(base[:20]), " ".join(base[:19]), "z" * 140, "z" * 140, "y " * 300, "y " * 300]
+    texts += [" ".join(base[40:70])] * 2 + [words(rng, 20), "q " + "\t".join(base[:20]) + " r " + "\n".join(base[100:120]) + " ", " ".join(base[100:120]) + "\x0b" + " ".join(base[:20])]
+    for _ in range(8):
+        at = rng.randrange(170)
+        texts.append(words(rng, 6) + "\n" + " ".join(base[at : at + rng.randrange(15, 30)]) + " " + words(rng, 9))
+    got = {r.doc_id: r for r in suffix.dedup_digest(docs(spark, texts), 130, words=20).collect()}
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == brute_suffix(texts, 130)
+    runs = [brute_runs(t, texts, 20) for t in texts]
+    assert {i: (r.n_passages, r.n_passage_bytes) for i, r in got.items()} == {i: (len(x), sum(b - a for a, b in x)) for i, x in enumerate(runs)}
+    assert got[5].n_passages == 1 and got[5].n_removed == 0 and got[14].n_passages == 2 and got[7].n_removed == 140 and got[7].n_passages == 0
+
+
+def test_suffix_query_tells_passages_of_over_50_words(spark, tmp_path):
+    """Two documents share 51 words of under 400 bytes, two others 50."""
+    rng = random.Random(29)
+    shared = [words(rng, n, 60) for n in (51, 50)]
+    assert all(len(p) < 400 for p in shared)
+    texts = [f"{words(rng, 9)} {shared[k // 2]} {words(rng, 9)}" for k in range(4)]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_removed, r.n_passages, r.n_passage_bytes) for r in queries.op10_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: (0, 1, len(shared[0])), 1: (0, 1, len(shared[0])), 2: (0, 0, 0), 3: (0, 0, 0)}
+
+
 def test_suffix_words_at_text_ends():
     """Words end with their text, and equal words have equal codes wherever they stand."""
     data = ["ab c", "", "c ab\n", "abc", " ", "b\u00a0a"]
